@@ -5,8 +5,8 @@ coordinate, sqrt(M^2 - |x|^2), that is 0 for queries. Augmented vectors are
 projected to a few dimensions by a fixed Gaussian (2-stable) matrix, so that a
 squared projected distance over the squared true distance is chi-square with
 that many degrees of freedom. Projections are indexed by a kd-tree whose
-leaves are met in order of their projected distance from the query. Every
-point of a leaf is verified on its original vector, and the search of a query
+leaves are met in order of their projected distance from the query, in
+strides that double. Every point of a leaf is verified on its original vector, and the search of a query
 stops once a point nearer than its kth would, with probability `confidence`
 by the chi-square distribution, have had a smaller projection than any leaf
 not yet met.
@@ -81,10 +81,13 @@ def projected_search(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: n
         gap = np.maximum(np.maximum(low - PQ[i], PQ[i] - high), 0)
         near = np.einsum("ij,ij->i", gap, gap)
         got_ids, got = np.empty(0, np.int64), np.empty(0)
-        for leaf in np.argsort(near, kind="stable"):
-            if len(got) == k and near[leaf] > quantile * max(q_norms[i] + peak - 2 * got[-1], 0.0):
+        way = np.argsort(near, kind="stable")
+        met, stride = 0, 4
+        while met < len(way):
+            if len(got) == k and near[way[met]] > quantile * max(q_norms[i] + peak - 2 * got[-1], 0.0):
                 break
-            rows = leaves[leaf]
+            rows = np.concatenate([leaves[x] for x in way[met : met + stride]])
+            met, stride = met + stride, stride * 2
             rows = rows[ids[rows] != qid]
             got_ids = np.concatenate([got_ids, ids[rows]])
             got = np.concatenate([got, (X[rows] * Q[i]).sum(1)])

@@ -2,8 +2,8 @@
 
 Components become floor(scale * x) as integers; the score is their inner
 product. In each shard every dimension has a list of the rows sorted by that
-component. A query walks its lists from their best end for it, a stride of
-rows at a time; rows met for the first time are scored in full by random
+component. A query walks its lists from their best end for it, in strides
+that double; rows met for the first time are scored in full by random
 access, and the walk stops once the sum of the lists' current contributions,
 which bounds every row not yet met, cannot equal the kth score. A row whose
 score ties with the kth is therefore always met, so ties go to the smaller id
@@ -40,18 +40,19 @@ def threshold_search(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: n
     for i, (qid, q) in enumerate(zip(query_ids, Q, strict=True)):
         live = every[q != 0]
         rising = q[live] < 0
-        seen = np.zeros(n, bool)
+        seen, done = np.zeros(n, bool), np.zeros(n, bool)
         got_ids, got = np.empty(0, np.int64), np.empty(0, np.int64)
-        for depth in range(0, n, stride):
-            end = min(depth + stride, n)
+        depth, step_rows = 0, stride
+        while depth < n:
+            end = min(depth + step_rows, n)
             step = np.arange(depth, end)
             if len(live):
                 rows = order[np.where(rising[None, :], step[:, None], n - 1 - step[:, None]), live[None, :]]
             else:
                 rows = step
-            new = np.unique(rows)
-            new = new[~seen[new]]
-            seen[new] = True
+            seen[rows] = True
+            new = np.flatnonzero(seen & ~done)
+            done[new] = True
             new = new[ids[new] != qid]
             if len(new):
                 got_ids = np.concatenate([got_ids, ids[new]])
@@ -63,6 +64,7 @@ def threshold_search(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: n
                 bound = last.sum() if small else sum(map(int, last))
                 if bound < got[-1]:
                     break
+            depth, step_rows = end, step_rows * 2
         out_at.append(np.full(len(got), i))
         out_ids.append(got_ids)
         out_scores.append(got)
