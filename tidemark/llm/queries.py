@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, packing, pieces, simhash, tokens, topk_search
+from . import ann, line_dedup, packing, pieces, simhash, substring_dedup, suffix_dedup, tokens, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,10 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer file, the same on every machine that has the library."""
     import public_tokenizers
@@ -35,6 +39,10 @@ def op5_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, 20)
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.digest(table(spark, sf_dir, "documents"))
 
@@ -52,9 +60,9 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op4_token_counts, op5_nearest_neighbours, op7_simhash, op8_best_fit_packing, op9_exact_top_k, op10_pieces]
+    own = [op1_line_dedup, op2_substring_dedup, op4_token_counts, op5_nearest_neighbours, op6_suffix_dedup, op7_simhash, op8_best_fit_packing, op9_exact_top_k, op10_pieces]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_line_dedup": line_dedup.LINE_SQL, "op9_exact_top_k": topk_search.TOPK_SQL}
+    return {"op1_line_dedup": line_dedup.LINE_SQL, "op2_substring_dedup": substring_dedup.SUBSTRING_SQL, "op9_exact_top_k": topk_search.TOPK_SQL}
