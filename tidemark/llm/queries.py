@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, line_dedup, packing, pieces, simhash, substring_dedup, suffix_dedup, tokens, topk_search
+from . import ann, langid, line_dedup, packing, pieces, simhash, substring_dedup, suffix_dedup, tokens, topk_search
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,10 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(table(spark, sf_dir, "documents"))
 
 
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.digest(table(spark, sf_dir, "documents"))
+
+
 def tokenizer(name: str) -> str:
     """The place of a public tokenizer file, the same on every machine that has the library."""
     import public_tokenizers
@@ -60,7 +64,7 @@ def op10_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    own = [op1_line_dedup, op2_substring_dedup, op4_token_counts, op5_nearest_neighbours, op6_suffix_dedup, op7_simhash, op8_best_fit_packing, op9_exact_top_k, op10_pieces]
+    own = [op1_line_dedup, op2_substring_dedup, op3_language_id, op4_token_counts, op5_nearest_neighbours, op6_suffix_dedup, op7_simhash, op8_best_fit_packing, op9_exact_top_k, op10_pieces]
     return {f.__name__: f for f in own}
 
 

@@ -25,7 +25,7 @@ own. An empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, per_row, text_or_empty
+from .common import col, materialize, per_row, text_key, text_or_empty
 from .components import components
 
 LONG_LIST = 2048
@@ -102,24 +102,39 @@ def linked(x: np.ndarray, max_distance: int) -> np.ndarray:
         group = least
 
 
-def _list_stars(max_distance: int):
+def nearest(x: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of each fingerprint and its nearest other, where that is within max_distance."""
+    differ = np.bitwise_count(x[:, None] ^ x[None, :])
+    np.fill_diagonal(differ, 255)
+    best = differ.argmin(axis=1)
+    near = np.flatnonzero(differ[np.arange(len(x)), best] <= max_distance)
+    return near, best[near]
+
+
+def _list_stars(max_distance: int, and_nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            column = b.column(0)
+            column = b.column(1)
+            table = b.column(0).to_numpy()
             ends = column.offsets.to_numpy()
             flat = column.values.to_numpy(zero_copy_only=False)
             size = np.diff(ends)
             pair = ends[:-1][size == 2]
             differ = flat[pair] ^ flat[pair + 1]
             near = np.bitwise_count(differ.view(np.uint64)) <= max_distance
-            a, to = [flat[pair][near]], [flat[pair + 1][near]]
-            for start, end in zip(ends[:-1][size > 2].tolist(), ends[1:][size > 2].tolist(), strict=True):
+            a, to, of = [flat[pair][near]], [flat[pair + 1][near]], [table[size == 2][near]]
+            for start, end, which in zip(ends[:-1][size > 2].tolist(), ends[1:][size > 2].tolist(), table[size > 2].tolist(), strict=True):
                 x = np.sort(flat[start:end])
                 root = linked(x.view(np.uint64), max_distance)
                 rest = root != np.arange(len(x))
                 a.append(x[rest])
                 to.append(x[root[rest]])
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(to))], names=["a", "b"])
+                if and_nearest:
+                    one, other = nearest(x.view(np.uint64), max_distance)
+                    a.append(x[one])
+                    to.append(x[other])
+                of.append(np.full(sum(map(len, a)) - sum(map(len, of)), which, table.dtype))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (of, a, to)], names=["table", "a", "b"])
 
     return run
 
@@ -134,35 +149,41 @@ def _patterns(sets: list[tuple[int, ...]], radius: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
         for b in batches:
-            which = (b.column(0).to_numpy() >> (8 * len(sets[0]))).astype(int)
-            fps = b.column(1).to_numpy()
+            which = (b.column(1).to_numpy() >> (8 * len(sets[0]))).astype(int)
+            fps = b.column(2).to_numpy()
+            table = b.column(0)
             for i in range(len(fps)):
                 k = int(which[i])
                 if k not in known:
                     known[k] = flips(sets[k])
                 made = (known[k] ^ fps[i : i + 1].view(np.uint64)).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(made), pa.array(np.full(len(made), fps[i]))], names=["u", "v"])
+                of = pa.array(np.full(len(made), table[i].as_py(), np.int32))
+                yield pa.RecordBatch.from_arrays([of, pa.array(made), pa.array(np.full(len(made), fps[i]))], names=["table", "u", "v"])
 
     return run
 
 
-def links(fps: DataFrame, max_distance: int = 4, key_bytes: int | None = None) -> DataFrame:
-    """Edges (a, b) over distinct fingerprints `fp` whose components are those of all links."""
+def links(fps: DataFrame, max_distance: int = 4, key_bytes: int | None = None, and_nearest: bool = False) -> DataFrame:
+    """Edges (table, a, b) over distinct fingerprints (table, fp) whose components are those of all links of a table.
+
+    and_nearest: also an edge from each fingerprint of a list to its nearest there.
+    """
     if max_distance not in (0, 2, 4):
         raise ValueError("max_distance is 0, 2 or 4")
     if key_bytes is None:
         key_bytes = 3 if fps.count() < 50_000_000 else 4
     sets = position_sets(key_bytes)
-    posted = fps.select(_posting_keys(F.col("fp"), sets).alias("key"), "fp")
-    sizes = materialize(posted.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "simhash-lists")
-    members = posted.join(sizes, "key")
-    lists = members.filter(F.col("n") <= LONG_LIST).groupBy("key").agg(F.collect_list("fp").alias("x")).select("x")
-    edges = lists.mapInArrow(_list_stars(max_distance), "a long, b long")
+    by = ["table", "key"]
+    posted = fps.select("table", _posting_keys(F.col("fp"), sets).alias("key"), "fp")
+    sizes = materialize(posted.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1"), "simhash-lists")
+    members = posted.join(sizes, by)
+    lists = members.filter(F.col("n") <= LONG_LIST).groupBy(by).agg(F.collect_list("fp").alias("x")).select("table", "x")
+    edges = lists.mapInArrow(_list_stars(max_distance, and_nearest), "table int, a long, b long")
     if sizes.filter(F.col("n") > LONG_LIST).isEmpty():
         return edges
-    near = members.filter(F.col("n") > LONG_LIST).select("key", "fp").mapInArrow(_patterns(sets, max_distance // 2), "u long, v long")
-    least = materialize(near.groupBy("u").agg(F.min("v").alias("m"), F.max("v").alias("x")).filter("m < x").select("u", "m"), "simhash-patterns")
-    return edges.unionByName(near.join(least, "u").filter("v <> m").select(F.col("v").alias("a"), F.col("m").alias("b")))
+    near = members.filter(F.col("n") > LONG_LIST).select("table", "key", "fp").mapInArrow(_patterns(sets, max_distance // 2), "table int, u long, v long")
+    least = near.groupBy("table", "u").agg(F.min("v").alias("m"), F.max("v").alias("x")).filter("m < x").select("table", "u", "m")
+    return edges.unionByName(near.join(materialize(least, "simhash-patterns"), ["table", "u"]).filter("v <> m").select("table", F.col("v").alias("a"), F.col("m").alias("b")))
 
 
 def near_duplicates(
@@ -172,14 +193,13 @@ def near_duplicates(
     shingle: int = 4,
     max_distance: int = 4,
     seed: int = 42,
-    features: Callable[[bytes], list[bytes]] | None = None,
 ) -> DataFrame:
     """(doc_id, fp long, component_id): a row of docs each."""
-    own = features or (lambda t: shingles(t, shingle))
     read = docs.select(col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
-    rows = materialize(read.mapInArrow(per_row(lambda t: (fingerprint(own(t), seed),), ["fp"], [pa.int64()]), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "simhash-rows")
+    rows = materialize(read.mapInArrow(per_row(lambda t: (fingerprint(shingles(t, shingle), seed),), ["fp"], [pa.int64()]), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "simhash-rows")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    roots = components(links(fps.select("fp"), max_distance), "simhash-components")
+    edges = links(fps.select(F.lit(0).alias("table"), "fp"), max_distance).select("a", "b")
+    roots = components(edges, "simhash-components")
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = materialize(named, "simhash-named")
     names = materialize(named.groupBy("root").agg(F.min("least").alias("component_id")), "simhash-names")
@@ -187,6 +207,84 @@ def near_duplicates(
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
+def _word_prints(seeds: tuple[int, ...]):
+    """A fingerprint per seed of a text's distinct words."""
+
+    def prints(text: bytes) -> tuple[list[int]]:
+        words = sorted(set(text.lower().split()))
+        return ([fingerprint(words, s) for s in seeds],)
+
+    return per_row(prints, ["fps"], [pa.list_(pa.int64())])
+
+
+def _shingle_sets(shingle: int):
+    """The distinct shingles of texts, as sorted 32-bit hashes; copies within a task count once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[bytes] = set()
+        for b in batches:
+            for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
+                if k not in seen:
+                    seen.add(k)
+                    packed = b"".join([xxhash.xxh32_digest(x) for x in shingles(t, shingle)])
+                    x = np.unique(np.frombuffer(packed, ">u4").astype(np.uint32)).view(np.int32)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.binary()), pa.array([x], pa.list_(pa.int32()))], names=["k", "x"])
+
+    return run
+
+
+def _alike(similarity: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keep = []
+            for x, y in zip(b.column("x"), b.column("y"), strict=True):
+                x, y = x.values.to_numpy(), y.values.to_numpy()
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                keep.append(both >= similarity * (len(x) + len(y) - both))
+            mask = pa.array(keep, pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+
+    return run
+
+
+def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44, 45), max_distance: int = 4) -> DataFrame:
+    """(k, root): groups of the texts k that have a similar one, as components of verified pairs.
+
+    Fingerprints of distinct words change little where a word is edited, so
+    texts that share most of their shingles link at max_distance under one of
+    several seeds. Links are candidates: a pair stays only if the Jaccard
+    similarity of the two texts' distinct word shingles is at least `similarity`.
+    """
+    texts = docs.select(text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
+    prints = materialize(texts.mapInArrow(_word_prints(seeds), "k binary, fps array<long>").dropDuplicates(["k"]), "similar-prints")
+    each = prints.select("k", F.posexplode("fps").alias("table", "fp"))
+    first = materialize(each.groupBy("table", "fp").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "similar-fps")
+    same = each.join(first.filter("n > 1"), ["table", "fp"]).filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    near = links(first.select("table", "fp"), max_distance, and_nearest=True).distinct()
+    rep = first.select("table", "fp", "rep")
+    near = near.join(rep.withColumnsRenamed({"fp": "a", "rep": "ka"}), ["table", "a"]).join(rep.withColumnsRenamed({"fp": "b", "rep": "kb"}), ["table", "b"])
+    pairs = same.unionByName(near.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
+    pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
+    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "similar-involved")
+    sets = materialize(texts.join(involved, "k", "left_semi").mapInArrow(_shingle_sets(shingle), "k binary, x array<int>").dropDuplicates(["k"]), "similar-sets")
+    both = pairs.join(sets.withColumnRenamed("k", "a"), "a").join(sets.withColumnsRenamed({"k": "b", "x": "y"}), "b")
+    edges = both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a binary, b binary")
+    return components(edges, "similar-components").withColumnRenamed("node", "k")
+
+
+def one_per_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
+    """docs with one row of each group of similar texts: that of the smallest id, nulls last; copies are similar."""
+    roots = materialize(similar_groups(docs, text_col, **how), "similar-roots")
+    keys = docs.select(text_key(text_col).alias("k"), col(id_col).alias("id"))
+    grouped = keys.groupBy("k", "id").agg(F.count("*").alias("n")).join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")).alias("b"))
+    best = materialize(best.select(F.col("b.k").alias("__k"), F.col("b.id").alias("__id"), F.col("b.n").alias("__n")), "similar-kept")
+    rows = docs.withColumn("__key", text_key(text_col))
+    kept = rows.join(best, (F.col("__key") == F.col("__k")) & rows[id_col].eqNullSafe(best["__id"]))
+    once, often = kept.filter("__n = 1"), kept.filter("__n > 1").dropDuplicates(["__key"])
+    return once.unionByName(often).select(*[col(c) for c in docs.columns])
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """The digest columns of the op7 query."""
     out = near_duplicates(docs)

@@ -16,8 +16,7 @@ common passage) would land in one task; its strings are settled by grouping
 two hashes of each string instead, which spreads over tasks, with the same result.
 
 Texts are UTF-8 bytes. What is left of a character that is cut goes as bytes:
-kept bytes are binary, and the text column decodes them with U+FFFD for broken
-characters. A null or empty text has no bytes. Repeated rows repeat each other.
+kept bytes are binary, and without_repeats() leaves broken characters out. A null or empty text has no bytes. Repeated rows repeat each other.
 An empty table gives an empty result.
 """
 
@@ -261,6 +260,20 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, buck
     return made.select(*uncarried("row", rest), "kept", "n_bytes", "n_removed", "n_spans")
 
 
+def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        text = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["row", "text"])
+
+
+def without_repeats(docs: DataFrame, text_col: str = "text", width: int = 400) -> DataFrame:
+    """docs with repeated strings of `width` bytes removed from their texts."""
+    rest = others(docs, text_col)
+    out = suffix_dedup(docs, text_col, width).select(carried(docs, rest).alias("row"), "kept")
+    made = out.mapInArrow(_whole_characters, schema_of(out, ["row"], "text string"))
+    return made.select(*uncarried("row", rest), F.col("text").alias(text_col))
+
+
 def digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 400) -> DataFrame:
     """The op6 query: doc_id, n_bytes, n_removed, n_spans, kept_sha256."""
     out = suffix_dedup(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), "text", width)
