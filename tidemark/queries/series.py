@@ -1,4 +1,22 @@
-"""Queries."""
-from .registry import Registry
+"""Generated tables, sources and layouts."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..plans import generator
+from .registry import Registry, read
 
 REGISTRY = Registry()
+frame, pair = REGISTRY.frame, REGISTRY.pair
+
+for preset in generator.PRESETS:
+    frame(
+        f"g_{preset}",
+        lambda s, d, p=preset: generator.generate(s, 2000, p).agg(F.count("*").alias("n"), F.min("attr").alias("lo_attr"), F.max("attr").alias("hi_attr"), F.count_if(F.col("hi") <= F.col("lo")).alias("bad"), (F.abs(F.count_if(F.col("hi").isNull()) / 2000 - generator.PRESETS[p].open_ratio) < 0.05).alias("open_ok")),
+        "SELECT 2000 AS n, 1 AS lo_attr, 100 AS hi_attr, 0 AS bad, true AS open_ok",
+    )
+pair("g_random", "SELECT count(*) AS n, count_if(x >= 0 AND x < 1) AS inside FROM (SELECT rand(7) AS x FROM range(1000))", "SELECT 1000 AS n, 1000 AS inside")
+pair("g_setseed", "SELECT count(DISTINCT x) AS same FROM (SELECT round(sum(r), 6) AS x FROM (SELECT rand(3) AS r FROM range(0, 100, 1, 1)) UNION ALL SELECT round(sum(r), 6) FROM (SELECT rand(3) AS r FROM range(0, 100, 1, 1)))", "SELECT 1 AS same")
+frame("g_file_metadata", lambda s, d: read(s, d, "nation").select("n_nationkey", F.col("_metadata.file_name").alias("f")), "SELECT n_nationkey, 'nation.parquet' AS f FROM nation")
+frame("g_row_address", lambda s, d: read(s, d, "nation").filter("_metadata.row_index BETWEEN 5 AND 9").select("n_nationkey"), "SELECT n_nationkey FROM (SELECT n_nationkey, row_number() OVER () - 1 AS r FROM nation) z WHERE r BETWEEN 5 AND 9")
