@@ -22,7 +22,7 @@ def oracle(sf_dir):
 
 
 def plain(value):
-    if value is None or value is pd.NaT or (isinstance(value, float) and value != value):
+    if value is None or value is pd.NaT or value is pd.NA or (isinstance(value, float) and value != value):
         return None
     if isinstance(value, (float, np.floating)) or type(value).__name__ == "Decimal":
         return f"{float(value):.9g}"
