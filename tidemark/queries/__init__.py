@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, functions, relational, series, streams, temporal, windows
+from . import aggregates, functions, more, relational, series, streams, temporal, windows
 
-MODULES = (temporal, relational, aggregates, windows, functions, series, streams)
+MODULES = (temporal, relational, aggregates, windows, functions, more, series, streams)
 
 
 def queries() -> dict:
