@@ -108,3 +108,61 @@ def overlaps_periods(s1: Column, e1: Column, s2: Column, e2: Column) -> Column:
 
 def num_nulls(*cols: Column) -> Column:
     return sum((c.isNull().cast("int") for c in cols), F.lit(0))
+
+
+def hostmask(net: Column) -> Column:
+    return inet_text(F.pow(F.lit(2.0), 32 - masklen(net)).cast("long") - 1)
+
+
+def inet_merge(a: Column, b: Column) -> Column:
+    """The smallest network that holds both."""
+    differ = inet_number(a).bitwiseXOR(inet_number(b))
+    width = F.when(differ == 0, 0).otherwise(F.length(F.bin(differ)))
+    shared = F.least(32 - width, masklen(a), masklen(b))
+    step = F.pow(F.lit(2.0), 32 - shared).cast("long")
+    return F.concat(inet_text(inet_number(a) - inet_number(a) % step), F.lit("/"), shared.cast("string"))
+
+
+def macaddr_trunc(mac: Column) -> Column:
+    """Last three bytes zero."""
+    return F.concat(F.substring(mac, 1, 8), F.lit(":00:00:00"))
+
+
+def common_ancestor(a: Column, b: Column) -> Column:
+    """lca: the longest label path strictly above both."""
+    x, y = F.split(a, r"\."), F.split(b, r"\.")
+    most = F.least(F.size(x), F.size(y)) - 1
+    same = F.filter(F.sequence(F.lit(0), most), lambda i: F.array_join(F.slice(x, F.lit(1), i), ".") == F.array_join(F.slice(y, F.lit(1), i), "."))
+    return F.array_join(F.slice(x, F.lit(1), F.array_max(same)), ".")
+
+
+def headline(text: Column, *words: str) -> Column:
+    """ts_headline: the words, whatever their case, between <b> and </b>."""
+    return F.regexp_replace(text, "(?i)\\b(" + "|".join(words) + ")\\b", "<b>$1</b>")
+
+
+def websearch(vector: Column, query: str) -> Column:
+    """websearch_to_tsquery: words must occur, those after a minus must not, `or` joins alternatives."""
+    out = None
+    for part in query.lower().split(" or "):
+        one = F.lit(True)
+        for w in part.split():
+            one = one & (~matches_all(vector, w[1:]) if w.startswith("-") else matches_all(vector, w))
+        out = one if out is None else out | one
+    return out
+
+
+def justify_days(months: Column, days: Column) -> Column:
+    """Thirty days make a month."""
+    return F.struct((months + F.floor(days / 30)).cast("int").alias("months"), F.pmod(days, F.lit(30)).cast("int").alias("days"))
+
+
+def age(a: Column, b: Column) -> Column:
+    """Symbolic difference a - b of two times of a >= b: whole months, then days."""
+    months = F.floor(F.months_between(a, b)).cast("int")
+    return F.struct(F.floor(months / 12).cast("int").alias("years"), (months % 12).alias("months"), F.datediff(a, F.add_months(b, months)).alias("days"))
+
+
+def segments_overlap(lo1: Column, hi1: Column, lo2: Column, hi2: Column) -> Column:
+    """seg &&: closed intervals of floats."""
+    return (lo1 <= hi2) & (lo2 <= hi1)

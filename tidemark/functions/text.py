@@ -123,3 +123,40 @@ def string_to_array(s: Column, delimiter: str, null: str | None = None) -> Colum
     quoted = "".join("\\" + c if not c.isalnum() else c for c in delimiter)
     parts = F.when(s == "", F.array().cast("array<string>")).otherwise(F.split(s, quoted, -1))
     return parts if null is None else F.transform(parts, lambda p: F.when(p != null, p))
+
+
+def format_sql(template: str, *args: Column) -> Column:
+    """format(): %s text (null as nothing), %I identifier, %L literal (null as NULL), %% a percent sign."""
+    parts: list[Column] = []
+    rest, i = template, 0
+    while "%" in rest:
+        before, _, rest = rest.partition("%")
+        kind, rest = rest[:1], rest[1:]
+        parts.append(F.lit(before))
+        if kind == "%":
+            parts.append(F.lit("%"))
+            continue
+        a = args[i].cast("string")
+        i += 1
+        parts.append({"s": F.coalesce(a, F.lit("")), "I": quote_ident(a), "L": quote_nullable(a)}[kind])
+    return F.concat(*parts, F.lit(rest))
+
+
+def input_is_valid(s: Column, kind: str) -> Column:
+    """Whether the text reads as a value of the type; a date or time has to name year, month and day."""
+    valid = s.try_cast(kind).isNotNull()
+    return valid & s.rlike(r"^\s*[+-]?\d{4,}-\d{1,2}-\d{1,2}") if kind.startswith(("date", "timestamp")) else valid
+
+
+def regexp_substr(s: Column, pattern: str, n: int = 1) -> Column:
+    """The nth match, null if there are fewer."""
+    return F.get(F.regexp_extract_all(s, F.lit(f"({pattern})"), F.lit(1)), F.lit(n - 1))
+
+
+def like_with_escape(s: Column, pattern: str, escape: str) -> Column:
+    return F.like(s, F.lit(pattern), F.lit(escape))
+
+
+def bits(n: Column, width: int) -> Column:
+    """A bit string of fixed width."""
+    return F.lpad(F.bin(n), width, "0")
