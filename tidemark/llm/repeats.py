@@ -58,7 +58,9 @@ class Settled:
     """Steps 2 and 3 above for the runs of repeated anchors (a, uniform)."""
 
     def __init__(self, rows: DataFrame, repeated: DataFrame, width: int, name: str):
-        kept = rows.join(repeated, "a").groupBy("k", "a", "c", "lo", "hi", "at", "uniform").agg(F.count("*").alias("m"))
+        # Grouped without the join's key, which the place in the text implies: Spark may then split a hot anchor.
+        same = [F.first(c).alias(c) for c in ("a", "c", "uniform")]
+        kept = rows.join(repeated, "a").groupBy("k", "lo", "hi", "at").agg(F.count("*").alias("m"), *same)
         kept = materialize(kept, f"{name}-runs")
         mixed = kept.filter(~F.col("uniform")).groupBy("a", "c").agg(F.sum("m").alias("m"), F.min(F.struct("k", "lo", "hi", "at")).alias("r"))
         mixed = materialize(mixed, f"{name}-mixed")
