@@ -12,7 +12,7 @@ the common extension to the left within each interval of equal prefix follow,
 for each suffix exactly, the strings around its anchor that start elsewhere too.
 
 A bucket of more than `bucket_rows` different contents (text around a very
-common passage) would land in one task; its strings are settled by grouping
+common passage), some 5 MB, would land in one task; its strings are settled by grouping
 two hashes of each string instead, which spreads over tasks, with the same result.
 
 Texts are UTF-8 bytes. What is left of a character that is cut goes as bytes:
@@ -204,7 +204,9 @@ def _sorted_buckets(width: int):
                 if bucket and r["a"] != bucket[0]["a"]:
                     close()
                     bucket = []
-                bucket.append(r)
+                # Another copy of a text may have been met by another task.
+                if not bucket or any(r[c] != bucket[-1][c] for c in ("k", "at", "place")):
+                    bucket.append(r)
             yield batch()
         if bucket:
             close()
@@ -216,9 +218,8 @@ def _sorted_buckets(width: int):
 def suffix_spans(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Spans of the open rows, bucket by bucket."""
     contexts = with_text(texts, rows, _contexts(width), "a m lo hi at", "k binary, a long, wanted boolean, at int, place int, content binary")
-    # Another copy of a text may have been met by another task.
-    contexts = contexts.dropDuplicates(["a", "k", "at", "place"])
-    sorted_ = contexts.repartition(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a").sortWithinPartitions("a")
+    dealt = contexts.repartition(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a")
+    sorted_ = dealt.sortWithinPartitions("a", "k", "at", "place")
     return sorted_.mapInArrow(_sorted_buckets(width), SPAN)
 
 
@@ -242,7 +243,7 @@ def _without_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         )
 
 
-def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, bucket_rows: int = 512) -> DataFrame:
+def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, bucket_rows: int = 4096) -> DataFrame:
     """docs with `kept` (binary) and n_bytes, n_removed, n_spans: repeated strings of `width` bytes removed."""
     texts = keyed(docs, text_col)
     entries = anchor_entries(run_rows(texts, Bytes, width)).filter("n > 1")
