@@ -93,6 +93,18 @@ def spread(df: DataFrame, per: int = 1) -> DataFrame:
     return df.repartition(n * per)
 
 
+#: Bytes of a batch that a Python worker unpacks at once.
+PORTION_BYTES = 2_000_000
+
+
+def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about PORTION_BYTES, so that few rows at a time become Python objects."""
+    for b in batches:
+        step = max(1, b.num_rows * PORTION_BYTES // max(b.nbytes, 1))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def binary_values(column: pa.Array) -> list[bytes]:
     """A string column as a list of UTF-8 bytes; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.large_binary()).to_pylist()]
@@ -114,7 +126,7 @@ def per_row(fn: Callable[[bytes], tuple], names: list[str], types: list[pa.DataT
     """A mapInArrow function: column `t` (text) becomes what fn returns, the rest is carried."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             at = b.schema.get_field_index("t")
             rows = [fn(x) for x in binary_values(b.column(at))]
             cols = [pa.array([r[i] for r in rows], t) for i, t in enumerate(types)]

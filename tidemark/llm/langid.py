@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, schema_of, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, schema_of, text_or_empty, uncarried
 
 DIMS = 8192
 SAMPLE = 400
@@ -162,7 +162,7 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in portions(batches):
             found = m.predict([v.decode() for v in binary_values(b.column(1))])
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([bool(x[2]) for x in found], pa.bool_())], names=["row", "lang_pred", "score", "rejected"]

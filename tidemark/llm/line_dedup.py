@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, schema_of, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, schema_of, text_key, text_or_empty, uncarried
 
 
 def line_key(line: bytes) -> bytes:
@@ -33,7 +33,7 @@ def _hash(key: bytes) -> bytes:
 
 def _line_hashes(min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             keys, hashes = [], []
             for k, text in zip(b.column(0).to_pylist(), binary_values(b.column(1)), strict=True):
                 found = set(map(line_key, text.split(b"\n")))
@@ -48,7 +48,7 @@ def _line_hashes(min_chars: int):
 
 
 def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in portions(batches):
         kept, n_lines, n_dropped = [], [], []
         names = b.schema.names
         for text, drop in zip(binary_values(b.column(names.index("t"))), b.column(names.index("drop")).to_pylist(), strict=True):

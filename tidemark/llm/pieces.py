@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import binary_values, carried, col, others, schema_of, slices, text_or_empty, uncarried
+from .common import binary_values, carried, col, others, portions, schema_of, slices, text_or_empty, uncarried
 
 MARK = "▁"
 #: Text worked through at once, and segments remembered by a worker, both to bound its memory.
@@ -327,7 +327,7 @@ def _digest_rows(e: Encoder, texts: list[str]) -> list[tuple[int, str, str]]:
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
+        for b in portions(batches):
             values = binary_values(b.column(1))
             rows = []
             for i, j in slices(values, SLICE_BYTES):
@@ -354,7 +354,7 @@ def decode(e: Encoder, ids: list[int]) -> str:
 def _encoded(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         e = encoder(path)
-        for b in batches:
+        for b in portions(batches):
             texts = [v.decode() for v in binary_values(b.column(1))]
             for i in range(0, len(texts), 256):
                 made = [encode(e, t) for t in texts[i : i + 256]]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, materialize, text_key, text_or_empty
+from .common import binary_values, materialize, portions, text_key, text_or_empty
 from .windows import SLICE, runs, window_hashes
 
 RUN = "k binary, a long, c long, lo int, hi int, at int"
@@ -34,7 +34,7 @@ def keyed(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _run_rows(kind, width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             keys = b.column(0)
             for owner, a, c, lo, hi, at in runs(kind, binary_values(b.column(1)), width):
                 yield pa.RecordBatch.from_arrays(
@@ -79,7 +79,7 @@ def with_text(texts: DataFrame, rows: DataFrame, fn: Callable[[bytes, bytes, lis
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
+        for b in portions(batches):
             for k, text, x in zip(b.column("k").to_pylist(), binary_values(b.column("t")), b.column("x"), strict=True):
                 if k not in seen:
                     seen.add(k)

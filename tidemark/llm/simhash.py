@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, per_row, text_key, text_or_empty
+from .common import col, materialize, per_row, portions, text_key, text_or_empty
 from .components import components
 
 LONG_LIST = 2048
@@ -113,7 +113,7 @@ def nearest(x: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _list_stars(max_distance: int, and_nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             column = b.column(1)
             table = b.column(0).to_numpy()
             ends = column.offsets.to_numpy()
@@ -148,7 +148,7 @@ def _patterns(sets: list[tuple[int, ...]], radius: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: dict[int, np.ndarray] = {}
-        for b in batches:
+        for b in portions(batches):
             which = (b.column(1).to_numpy() >> (8 * len(sets[0]))).astype(int)
             fps = b.column(2).to_numpy()
             table = b.column(0)
@@ -222,7 +222,7 @@ def _shingle_sets(shingle: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
-        for b in batches:
+        for b in portions(batches):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if k not in seen:
                     seen.add(k)
@@ -235,7 +235,7 @@ def _shingle_sets(shingle: int):
 
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in portions(batches):
             keep = []
             for x, y in zip(b.column("x"), b.column("y"), strict=True):
                 x, y = x.values.to_numpy(), y.values.to_numpy()

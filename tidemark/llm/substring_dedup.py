@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, schema_of, table_path, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, schema_of, table_path, text_key, text_or_empty, uncarried
 from .repeats import Settled, anchor_entries, keyed, merged, run_rows, spans_by_text, window_spans
 from .windows import Words
 
@@ -82,7 +82,7 @@ class FingerprintIndex:
 
 
 def _without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in portions(batches):
         kept, n, removed = [], [], []
         for text, x in zip(binary_values(b.column("t")), b.column("x").to_pylist(), strict=True):
             words = text.split()

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, schema_of, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, schema_of, text_key, text_or_empty, uncarried
 from .repeats import SPAN, Settled, anchor_entries, keyed, merged, run_rows, spans_by_text, window_spans, with_text
 from .windows import Bytes
 
@@ -199,7 +199,7 @@ def _sorted_buckets(width: int):
             out.clear()
             return made
 
-        for b in batches:
+        for b in portions(batches):
             for r in b.to_pylist():
                 if bucket and r["a"] != bucket[0]["a"]:
                     close()
@@ -224,7 +224,7 @@ def suffix_spans(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
 
 
 def _without_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in portions(batches):
         kept, n, removed, count = [], [], [], []
         for text, x in zip(binary_values(b.column("t")), b.column("x").to_pylist(), strict=True):
             spans = merged(x or [])
@@ -262,7 +262,7 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, buck
 
 
 def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in portions(batches):
         text = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["row", "text"])
 

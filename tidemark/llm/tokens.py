@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tokenizers import Regex
 from tokenizers.pre_tokenizers import Split
 
-from .common import binary_values, carried, col, others, schema_of, slices, text_or_empty, uncarried
+from .common import binary_values, carried, col, others, portions, schema_of, slices, text_or_empty, uncarried
 
 SLICE_BYTES = 2_000_000
 REMEMBERED = 400_000
@@ -313,7 +313,7 @@ def text_slices(text: str, limit: int) -> Iterator[str]:
 def _counted(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = counter(path)
-        for b in batches:
+        for b in portions(batches):
             values = binary_values(b.column(1))
             n: list[int] = []
             for i, j in slices(values, SLICE_BYTES):
