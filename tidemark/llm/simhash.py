@@ -111,19 +111,28 @@ def nearest(x: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
     return near, best[near]
 
 
-def _list_stars(max_distance: int, and_nearest: bool):
+def _elsewhere(a: np.ndarray, b: np.ndarray, sets: list[tuple[int, ...]], own: np.ndarray, max_distance: int) -> np.ndarray:
+    """Pairs that link directly and also meet in the list of an earlier set, whose edges connect them."""
+    differ = (a ^ b).view(np.uint64)
+    same = differ.view(np.uint8).reshape(-1, 8) == 0
+    first = same[:, np.array(sets)].all(axis=2).argmax(axis=1)
+    return (np.bitwise_count(differ) <= max_distance) & (first < own)
+
+
+def _list_stars(sets: list[tuple[int, ...]], max_distance: int, and_nearest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            column = b.column(1)
+            column = b.column(2)
             table = b.column(0).to_numpy()
+            which_set = (b.column(1).to_numpy() >> (8 * len(sets[0]))).astype(np.int64)
             ends = column.offsets.to_numpy()
             flat = column.values.to_numpy(zero_copy_only=False)
             size = np.diff(ends)
             pair = ends[:-1][size == 2]
             differ = flat[pair] ^ flat[pair + 1]
             near = np.bitwise_count(differ.view(np.uint64)) <= max_distance
-            a, to, of = [flat[pair][near]], [flat[pair + 1][near]], [table[size == 2][near]]
-            for start, end, which in zip(ends[:-1][size > 2].tolist(), ends[1:][size > 2].tolist(), table[size > 2].tolist(), strict=True):
+            a, to, of, own = [flat[pair][near]], [flat[pair + 1][near]], [table[size == 2][near]], [which_set[size == 2][near]]
+            for start, end, which, i in zip(ends[:-1][size > 2].tolist(), ends[1:][size > 2].tolist(), table[size > 2].tolist(), which_set[size > 2].tolist(), strict=True):
                 x = np.sort(flat[start:end])
                 root = linked(x.view(np.uint64), max_distance)
                 rest = root != np.arange(len(x))
@@ -133,8 +142,12 @@ def _list_stars(max_distance: int, and_nearest: bool):
                     one, other = nearest(x.view(np.uint64), max_distance)
                     a.append(x[one])
                     to.append(x[other])
-                of.append(np.full(sum(map(len, a)) - sum(map(len, of)), which, table.dtype))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (of, a, to)], names=["table", "a", "b"])
+                more = sum(map(len, a)) - sum(map(len, of))
+                of.append(np.full(more, which, table.dtype))
+                own.append(np.full(more, i))
+            of, a, to, own = map(np.concatenate, (of, a, to, own))
+            keep = ~_elsewhere(a, to, sets, own, max_distance)
+            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (of, a, to)], names=["table", "a", "b"])
 
     return run
 
@@ -177,8 +190,8 @@ def links(fps: DataFrame, max_distance: int = 4, key_bytes: int | None = None, a
     posted = fps.select("table", _posting_keys(F.col("fp"), sets).alias("key"), "fp")
     sizes = materialize(posted.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1"), "simhash-lists")
     members = posted.join(sizes, by)
-    lists = members.filter(F.col("n") <= LONG_LIST).groupBy(by).agg(F.collect_list("fp").alias("x")).select("table", "x")
-    edges = lists.mapInArrow(_list_stars(max_distance, and_nearest), "table int, a long, b long")
+    lists = members.filter(F.col("n") <= LONG_LIST).groupBy(by).agg(F.collect_list("fp").alias("x")).select("table", "key", "x")
+    edges = lists.mapInArrow(_list_stars(sets, max_distance, and_nearest), "table int, a long, b long")
     if sizes.filter(F.col("n") > LONG_LIST).isEmpty():
         return edges
     near = members.filter(F.col("n") > LONG_LIST).select("table", "key", "fp").mapInArrow(_patterns(sets, max_distance // 2), "table int, u long, v long")
