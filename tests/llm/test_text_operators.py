@@ -202,6 +202,36 @@ def test_one_per_group(spark):
     assert sorted(x["doc_id"] for x in got) == [2, 3, 9]
 
 
+def brute_groups(texts):
+    """The sets of texts that chains of pairs of Jaccard similarity 0.8 or more hold together."""
+    sets = [set(simhash.shingles(t.encode(), 5)) for t in texts]
+    group = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if group[i] != group[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                group = [group[j] if g == group[i] else g for g in group]
+    return sorted(sorted(t for t, g in zip(texts, group, strict=True) if g == name) for name in set(group))
+
+
+def similar_found(spark, texts):
+    df, _ = frame(spark, texts)
+    by_key = {hashlib.md5(t.encode()).digest(): t for t in texts}
+    root = {bytes(x["k"]): bytes(x["root"]) for x in simhash.similar_groups(df).collect()}
+    names = {k: root.get(k, k) for k in by_key}
+    return sorted(sorted(t for k, t in by_key.items() if names[k] == name) for name in set(names.values()))
+
+
+def test_appended_and_truncated_texts_are_found(spark):
+    r = random.Random(8)
+    texts = ["", "  ", "one two"]
+    for i in range(30):
+        base = [f"w{r.randint(0, 99999)}" for _ in range(200)]
+        texts += [" ".join(base), " ".join(base + [f"v{r.randint(0, 99999)}" for _ in range(44 + i % 12)])]
+    want = brute_groups(texts)
+    assert 10 < sum(len(g) == 2 for g in want) < 31
+    assert similar_found(spark, texts) == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -25,6 +25,7 @@ own. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -230,8 +231,14 @@ def _word_prints(seeds: tuple[int, ...]):
     return per_row(prints, ["fps"], [pa.list_(pa.int64())])
 
 
+def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
+    """The distinct shingles of a text, as sorted 64-bit hashes."""
+    packed = b"".join([xxhash.xxh64_digest(x) for x in shingles(text, shingle)])
+    return np.unique(np.frombuffer(packed, ">u8").astype(np.uint64))
+
+
 def _shingle_sets(shingle: int):
-    """The distinct shingles of texts, as sorted 32-bit hashes; copies within a task count once."""
+    """The distinct shingles of texts, as sorted 64-bit hashes; copies within a task count once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[bytes] = set()
@@ -239,13 +246,55 @@ def _shingle_sets(shingle: int):
             for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
                 if k not in seen:
                     seen.add(k)
-                    packed = b"".join([xxhash.xxh32_digest(x) for x in shingles(t, shingle)])
-                    x = np.unique(np.frombuffer(packed, ">u4").astype(np.uint32)).view(np.int32)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.binary()), pa.array([x], pa.list_(pa.int32()))], names=["k", "x"])
+                    x = _shingle_hashes(t, shingle).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.binary()), pa.array([x], pa.list_(pa.int64()))], names=["k", "x"])
 
     return run
 
 
+def _prefix_length(n: int, similarity: float) -> int:
+    """So many of n shingles, least hashes first, that any similar text has one of them among its own."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def _prefixes(shingle: int, similarity: float):
+    """Of each text the number of its distinct shingles, and their least hashes.
+
+    A text without shingles has one hash, zero: such texts are similar to each other.
+    """
+
+    def prefix(text: bytes) -> tuple[int, list[int]]:
+        x = _shingle_hashes(text, shingle)
+        return len(x), x[: _prefix_length(len(x), similarity)].view(np.int64).tolist() or [0]
+
+    return per_row(prefix, ["n", "h"], [pa.int32(), pa.list_(pa.int64())])
+
+
+def _pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b): candidates among texts (k, t) of different groups (node, root); no similar pair is missing.
+
+    Two similar texts share one of their least shingle hashes (prefix filter).
+    At the first that they share, what both have left must suffice for the
+    similarity (positional filter); their sizes must, too. Only lists that meet
+    several groups are joined, and a list's most frequent group not with itself.
+    """
+    read = texts.mapInArrow(_prefixes(shingle, similarity), "k binary, n int, h array<long>").dropDuplicates(["k"])
+    read = materialize(read.join(roots, read.k == roots.node, "left").select("k", F.xxhash64("k").alias("id"), F.xxhash64(F.coalesce("root", "k")).alias("g"), "n", "h"), "similar-prefixes")
+    posted = read.select("id", "g", "n", F.posexplode("h").alias("i", "h"))
+    lists = materialize(posted.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h"), "similar-lists")
+    met = materialize(posted.join(lists, "h"), "similar-met")
+    sizes = met.groupBy("h", "g").agg(F.count("*").alias("c"))
+    main = materialize(sizes.groupBy("h").agg(F.max(F.struct("c", "g")).alias("m")).select("h", F.col("m.g").alias("main")), "similar-main")
+    one = met.join(main, "h").filter("g <> main")
+    other = met.withColumnsRenamed({"id": "id2", "g": "g2", "n": "n2", "i": "i2"})
+    fits = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
+    left = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6
+    pairs = one.join(other, "h").filter((F.col("g") != F.col("g2")) & ((F.col("g2") == F.col("main")) | (F.col("id") < F.col("id2"))) & fits & left)
+    pairs = materialize(pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct(), "similar-across")
+    names = read.select("id", "k")
+    return pairs.join(names.withColumnRenamed("k", "a"), "id").join(names.withColumnsRenamed({"id": "id2", "k": "b"}), "id2").select("a", "b")
+
+
 def _alike(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -260,6 +309,14 @@ def _alike(similarity: float):
     return run
 
 
+def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """Those of the pairs (a, b) of texts (k, t) that are similar."""
+    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "similar-involved")
+    sets = materialize(texts.join(involved, "k", "left_semi").mapInArrow(_shingle_sets(shingle), "k binary, x array<long>").dropDuplicates(["k"]), "similar-sets")
+    both = pairs.join(sets.withColumnRenamed("k", "a"), "a").join(sets.withColumnsRenamed({"k": "b", "x": "y"}), "b")
+    return both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a binary, b binary")
+
+
 def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44, 45), max_distance: int = 4) -> DataFrame:
     """(k, root): groups of the texts k that have a similar one, as components of verified pairs.
 
@@ -267,6 +324,8 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     texts that share most of their shingles link at max_distance under one of
     several seeds. Links are candidates: a pair stays only if the Jaccard
     similarity of the two texts' distinct word shingles is at least `similarity`.
+    What the links leave apart is then joined on shingles, so that the groups
+    are those of all similar pairs.
     """
     texts = docs.select(text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
     prints = materialize(texts.mapInArrow(_word_prints(seeds), "k binary, fps array<long>").dropDuplicates(["k"]), "similar-prints")
@@ -278,11 +337,14 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     near = near.join(rep.withColumnsRenamed({"fp": "a", "rep": "ka"}), ["table", "a"]).join(rep.withColumnsRenamed({"fp": "b", "rep": "kb"}), ["table", "b"])
     pairs = same.unionByName(near.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "similar-involved")
-    sets = materialize(texts.join(involved, "k", "left_semi").mapInArrow(_shingle_sets(shingle), "k binary, x array<int>").dropDuplicates(["k"]), "similar-sets")
-    both = pairs.join(sets.withColumnRenamed("k", "a"), "a").join(sets.withColumnsRenamed({"k": "b", "x": "y"}), "b")
-    edges = both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a binary, b binary")
-    return components(edges, "similar-components").withColumnRenamed("node", "k")
+    found = materialize(_verified(texts, pairs, shingle, similarity), "similar-found")
+    roots = components(found, "similar-components")
+    across = materialize(_pairs_across(texts, roots, shingle, similarity), "similar-candidates")
+    more = materialize(_verified(texts, across, shingle, similarity), "similar-more")
+    if more.isEmpty():
+        return roots.withColumnRenamed("node", "k")
+    joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
+    return components(joined, "similar-components").withColumnRenamed("node", "k")
 
 
 def one_per_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
