@@ -232,6 +232,26 @@ def test_appended_and_truncated_texts_are_found(spark):
     assert similar_found(spark, texts) == want
 
 
+@pytest.mark.parametrize("long_list", [2048])
+def test_template_families_are_grouped_whole(spark, monkeypatch, long_list):
+    monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+    r = random.Random(9)
+    texts = ["", "  ", "one two"]
+    for _ in range(6):
+        base = [f"w{r.randint(0, 99999)}" for _ in range(150)]
+        for i in range(12):
+            words = list(base)
+            for _ in range(r.randint(1, 5)):
+                words[r.randint(0, 149)] = f"v{r.randint(0, 99999)}"
+            texts.append(" ".join(words))
+            if i % 3 == 0:
+                r.shuffle(words)  # the same words, other shingles: nearest by fingerprint, never similar
+                texts.append(" ".join(words))
+    want = brute_groups(texts)
+    assert len({len(g) for g in want}) > 3
+    assert similar_found(spark, texts) == want
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, 100 + i) for i in range(1, 40)] + [(7, 7)]
     got = {x["node"]: x["root"] for x in components(spark.createDataFrame(edges, "a long, b long")).collect()}

@@ -257,17 +257,44 @@ def _prefix_length(n: int, similarity: float) -> int:
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def _sketch(x: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes x, set if an odd number of them has it; a power of two of bits, from len(x) on."""
+    size = 64 << max(0, math.ceil(math.log2(max(len(x), 1) / 64)))
+    return np.packbits(np.bincount((x % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
+def _differing(a: bytes, b: bytes) -> int:
+    """Two sketches' differing bits, at most as many as their texts have shingles that the other lacks."""
+    short, long = sorted((a, b), key=len)
+    while len(long) > len(short):
+        half = len(long) // 2
+        long = (int.from_bytes(long[:half], "big") ^ int.from_bytes(long[half:], "big")).to_bytes(half, "big")
+    return (int.from_bytes(short, "big") ^ int.from_bytes(long, "big")).bit_count()
+
+
 def _prefixes(shingle: int, similarity: float):
-    """Of each text the number of its distinct shingles, and their least hashes.
+    """Of each text the number of its distinct shingles, their least hashes and their sketch.
 
     A text without shingles has one hash, zero: such texts are similar to each other.
     """
 
-    def prefix(text: bytes) -> tuple[int, list[int]]:
+    def prefix(text: bytes) -> tuple[int, list[int], bytes]:
         x = _shingle_hashes(text, shingle)
-        return len(x), x[: _prefix_length(len(x), similarity)].view(np.int64).tolist() or [0]
+        return len(x), x[: _prefix_length(len(x), similarity)].view(np.int64).tolist() or [0], _sketch(x)
+
+    return per_row(prefix, ["n", "h", "s"], [pa.int32(), pa.list_(pa.int64()), pa.binary()])
+
 
-    return per_row(prefix, ["n", "h"], [pa.int32(), pa.list_(pa.int64())])
+def _possible(similarity: float):
+    """Pairs whose sketches leave the similarity possible."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches):
+            rows = zip(*(b.column(c).to_pylist() for c in ("n", "n2", "s", "s2")), strict=True)
+            mask = pa.array([_differing(x, y) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6 for n, m, x, y in rows], pa.bool_())
+            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
+
+    return run
 
 
 def _pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -275,11 +302,12 @@ def _pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, similarity:
 
     Two similar texts share one of their least shingle hashes (prefix filter).
     At the first that they share, what both have left must suffice for the
-    similarity (positional filter); their sizes must, too. Only lists that meet
-    several groups are joined, and a list's most frequent group not with itself.
+    similarity (positional filter); their sizes must, too, and what their
+    sketches differ in must not exceed it. Only lists that meet several groups
+    are joined, and a list's most frequent group not with itself.
     """
-    read = texts.mapInArrow(_prefixes(shingle, similarity), "k binary, n int, h array<long>").dropDuplicates(["k"])
-    read = materialize(read.join(roots, read.k == roots.node, "left").select("k", F.xxhash64("k").alias("id"), F.xxhash64(F.coalesce("root", "k")).alias("g"), "n", "h"), "similar-prefixes")
+    read = texts.mapInArrow(_prefixes(shingle, similarity), "k binary, n int, h array<long>, s binary").dropDuplicates(["k"])
+    read = materialize(read.join(roots, read.k == roots.node, "left").select("k", F.xxhash64("k").alias("id"), F.xxhash64(F.coalesce("root", "k")).alias("g"), "n", "h", "s"), "similar-prefixes")
     posted = read.select("id", "g", "n", F.posexplode("h").alias("i", "h"))
     lists = materialize(posted.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h"), "similar-lists")
     met = materialize(posted.join(lists, "h"), "similar-met")
@@ -291,8 +319,9 @@ def _pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, similarity:
     left = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6
     pairs = one.join(other, "h").filter((F.col("g") != F.col("g2")) & ((F.col("g2") == F.col("main")) | (F.col("id") < F.col("id2"))) & fits & left)
     pairs = materialize(pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct(), "similar-across")
-    names = read.select("id", "k")
-    return pairs.join(names.withColumnRenamed("k", "a"), "id").join(names.withColumnsRenamed({"id": "id2", "k": "b"}), "id2").select("a", "b")
+    ends = read.select("id", "k", "n", "s")
+    both = pairs.join(ends.withColumnRenamed("k", "a"), "id").join(ends.withColumnsRenamed({"id": "id2", "k": "b", "n": "n2", "s": "s2"}), "id2")
+    return both.select("a", "b", "n", "n2", "s", "s2").mapInArrow(_possible(similarity), "a binary, b binary")
 
 
 def _alike(similarity: float):
