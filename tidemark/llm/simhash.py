@@ -113,7 +113,12 @@ def nearest(x: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _elsewhere(a: np.ndarray, b: np.ndarray, sets: list[tuple[int, ...]], own: np.ndarray, max_distance: int) -> np.ndarray:
-    """Pairs that link directly and also meet in the list of an earlier set, whose edges connect them."""
+    """Pairs that link directly and also meet in the list of an earlier set.
+
+    Its edges connect them, though perhaps by other fingerprints, so only the
+    components stay the same: whether each pair is similar is for similar_groups'
+    join on shingles to find.
+    """
     differ = (a ^ b).view(np.uint64)
     same = differ.view(np.uint8).reshape(-1, 8) == 0
     first = same[:, np.array(sets)].all(axis=2).argmax(axis=1)
