@@ -119,3 +119,12 @@ def test_generator_is_independent_of_partitions(spark):
     one = generator.generate(spark, 300, "long_tail")
     two = one.repartition(7)
     assert one.exceptAll(two).isEmpty()
+
+
+def test_connect_by_follows_deep_chains_and_refuses_cycles(spark):
+    chain = spark.createDataFrame([(i, i - 1 if i > 1 else None) for i in range(1, 41)], "id long, up long")
+    assert sorted(r["level"] for r in R.connect_by(chain, "id", "up", F.col("id") == 1).collect()) == list(range(40))
+    assert R.connect_by(chain, "id", "up", F.col("id") == 1, max_depth=3).count() == 4
+    ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, up long")
+    with pytest.raises(ValueError):
+        R.connect_by(ring, "id", "up", F.col("id") == 1)

@@ -108,17 +108,26 @@ def recursive_distinct(seed: DataFrame, step, max_rounds: int = 100) -> DataFram
     raise ValueError(f"no end after {max_rounds} rounds")
 
 
-def connect_by(df: DataFrame, key: str, parent: str, start: Column, max_depth: int = 32, sep: str = "~") -> DataFrame:
-    """(key, parent, level, branch) of the tree below `start`."""
+def connect_by(df: DataFrame, key: str, parent: str, start: Column, max_depth: int | None = None, sep: str = "~") -> DataFrame:
+    """(key, parent, level, branch) of the tree below `start`, down to max_depth levels or, without it, to the end.
+
+    A row that is below itself raises ValueError; levels are checkpointed where a folder is set.
+    """
+    keep = (lambda d: d.checkpoint()) if df.sparkSession.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
     edges = df.select(F.col(key).alias("k"), F.col(parent).alias("p")).filter("p IS NOT NULL")
-    level = df.filter(start).select(F.col(key).alias(key), F.lit(None).cast(df.schema[parent].dataType).alias(parent), F.lit(0).alias("level"), F.col(key).cast("string").alias("branch"))
-    out = level
-    for _ in range(max_depth):
-        level = level.join(edges, F.col(key) == F.col("p")).select(F.col("k").alias(key), F.col("p").alias(parent), (F.col("level") + 1).alias("level"), F.concat_ws(sep, "branch", F.col("k").cast("string")).alias("branch"))
+    level = df.filter(start).select(F.col(key).alias(key), F.lit(None).cast(df.schema[parent].dataType).alias(parent), F.lit(0).alias("level"), F.col(key).cast("string").alias("branch"), F.array(key).alias("__path"))
+    out, depth = level, 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
+        below = level.join(edges, F.col(key) == F.col("p"))
+        level = keep(below.select(F.col("k").alias(key), F.col("p").alias(parent), (F.col("level") + 1).alias("level"), F.concat_ws(sep, "branch", F.col("k").cast("string")).alias("branch"), F.concat("__path", F.array("k")).alias("__path"), F.array_contains("__path", F.col("k")).alias("__again")))
         if level.isEmpty():
             break
+        if not level.filter("__again").isEmpty():
+            raise ValueError(f"a cycle at level {depth}")
+        level = level.drop("__again")
         out = out.unionByName(level)
-    return out
+    return out.drop("__path")
 
 
 def crosstab(df: DataFrame, row: str, category: str, value: str, categories: list) -> DataFrame:
