@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tidemark.llm import langid, line_dedup, packing, pieces, simhash, substring_dedup, suffix_dedup, tokens
+from tidemark.llm import langid, line_dedup, packing, pieces, position_index, shingle_join, simhash, substring_dedup, suffix_dedup, tokens
 from tidemark.llm.components import components
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -167,9 +167,9 @@ def brute_simhash(rows):
     return [(r[0], f"{f:016x}", names[g]) for r, f, g in zip(rows, fps, group, strict=True)]
 
 
-@pytest.mark.parametrize("long_list", [2048, 2])
-def test_simhash_equals_brute_force(spark, monkeypatch, long_list):
-    monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+@pytest.mark.parametrize("list_rows", [1024, 2])
+def test_simhash_equals_brute_force(spark, monkeypatch, list_rows):
+    monkeypatch.setattr(position_index, "LIST_ROWS", list_rows)
     r = random.Random(6)
     words = [f"w{i}" for i in range(300)]
     texts = ["", "One", "one two three"]
@@ -187,19 +187,43 @@ def test_position_sets_cover_every_four():
     from itertools import combinations
 
     for size, n in ((3, 20), (4, 70)):
-        sets = simhash.position_sets(size)
+        sets = position_index.position_sets(size)
         assert len(sets) == n and all(any(set(s) <= set(four) for s in sets) for four in combinations(range(8), 4))
 
 
+def test_a_list_of_thousands_is_tallied_whole(spark):
+    """5,000 fingerprints that share four bytes: one list, several sub-lists and blocks."""
+    r = np.random.default_rng(11)
+    bits = r.random((5000, 64)) < 0.5
+    bits[:, 32:] = bits[0, 32:]
+    near = r.integers(0, 5000, 3000)
+    flips = r.random((3000, 64)) < 2 / 32
+    flips[:, 32:] = False
+    bits[near] = bits[(near * 7) % 5000] ^ flips
+    fps = np.unique(np.packbits(bits, axis=1).view(">i8").ravel().astype(np.int64))
+    group = np.arange(len(fps))
+    while True:
+        least = np.array([group[np.bitwise_count((fps ^ x).view(np.uint64)) <= 4].min() for x in fps])
+        least = np.minimum(least, least[least])
+        if (least == group).all():
+            break
+        group = least
+    edges = position_index.links(spark.createDataFrame([(int(x),) for x in fps], "fp long"), 4)
+    root = {x["node"]: x["root"] for x in components(edges).collect()}
+    assert [root.get(int(x), int(x)) for x in fps] == [int(fps[g]) for g in group]
+    assert 500 < len(set(group)) < len(fps)
+
+
 def test_one_per_group(spark):
     r = random.Random(7)
     base = [f"w{r.randint(0, 999)}" for _ in range(400)]
     near = [*base[:100], "edit", *base[101:]]
     far = [f"v{r.randint(0, 999)}" for _ in range(400)]
     rows = [(5, " ".join(base)), (2, " ".join(near)), (7, " ".join(base)), (9, " ".join(far)), (9, " ".join(far)), (None, ""), (3, None)]
-    df = spark.createDataFrame([(*x, "k") for x in rows], DOCS + ", __x string")
+    df = spark.createDataFrame([(*x, "k", 1, b"") for x in rows], DOCS + ", k string, __n int, root binary")
     got = simhash.one_per_group(df).collect()
     assert sorted(x["doc_id"] for x in got) == [2, 3, 9]
+    assert {(x["k"], x["__n"], bytes(x["root"])) for x in got} == {("k", 1, b"")}
 
 
 def brute_groups(texts):
@@ -232,9 +256,12 @@ def test_appended_and_truncated_texts_are_found(spark):
     assert similar_found(spark, texts) == want
 
 
-@pytest.mark.parametrize("long_list", [2048, 2])
-def test_template_families_are_grouped_whole(spark, monkeypatch, long_list):
-    monkeypatch.setattr(simhash, "LONG_LIST", long_list)
+@pytest.mark.parametrize("block", [1024, 2])
+@pytest.mark.parametrize("common_from", [16, 2])
+def test_template_families_are_grouped_whole(spark, monkeypatch, block, common_from):
+    monkeypatch.setattr(position_index, "LIST_ROWS", block)
+    monkeypatch.setattr(shingle_join, "BLOCK_TEXTS", block)
+    monkeypatch.setattr(shingle_join, "COMMON_FROM", common_from)
     r = random.Random(9)
     texts = ["", "  ", "one two"]
     for _ in range(6):

@@ -93,6 +93,16 @@ def spread(df: DataFrame, per: int = 1) -> DataFrame:
     return df.repartition(n * per)
 
 
+def in_blocks(members: DataFrame, blocks: Column, by: Column) -> DataFrame:
+    """members dealt for comparing all with all: a row for each (u, v) with u <= v, one of them its own block.
+
+    blocks says how many blocks the row's group has, `by` what a row is dealt by; any two rows of a group meet in some (u, v).
+    """
+    own = F.pmod(F.xxhash64(by), blocks).cast("int")
+    pairs = F.transform(F.sequence(F.lit(0), blocks.cast("int") - 1), lambda x: F.struct(F.least(own, x).alias("u"), F.greatest(own, x).alias("v")))
+    return members.select("*", F.explode(pairs).alias("uv")).select(*[col(c) for c in members.columns], "uv.u", "uv.v")
+
+
 #: Bytes of a batch that a Python worker unpacks at once.
 PORTION_BYTES = 2_000_000
 

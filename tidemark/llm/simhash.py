@@ -1,19 +1,9 @@
-"""SimHash near-dedup: byte-position inverted index with count filtering.
+"""SimHash near-dedup over a byte-position inverted index with count filtering.
 
 A text's words give word shingles (repeats included), each hashed by XXH64;
 a bit of the 64-bit fingerprint is 1 if more than half of the hashes have it.
-Fingerprints link when at most `max_distance` bits differ, so that at least
-8 - max_distance of their 8 bytes are equal at the same position.
-
-The index posts each distinct fingerprint under the bytes of sets of positions
-chosen such that any guaranteed number of equal positions contains one of the
-sets. Within a posting list the equal positional bytes of each pair are
-tallied, pairs under the guaranteed number are dropped, and the others are
-verified by their differing bits. A list emits a star per linked group, never
-its pairs. A list too long for that posts each member under all bit patterns
-within half of max_distance in its free bytes instead: two fingerprints are
-within max_distance exactly if they share such a pattern, so the long lists
-link by distributed grouping with the same result.
+Fingerprints link when at most `max_distance` bits differ, which the index of
+position_index.py finds.
 
 Words are between ASCII white space, A-Z in lower case. A text of fewer words
 than a shingle has one shingle, the whole sequence; a text without words (null
@@ -21,24 +11,26 @@ or empty included) has fingerprint zero and links like any other. A component
 is named by the smallest doc_id in it; null ids are passed over, and a
 component of null ids only has a null name. Repeated rows are rows of their
 own. An empty table gives an empty result.
+
+one_per_group() keeps a row of each group of texts whose shingles are similar.
+Links are its candidates, verified on shingles; what links leave apart is then
+joined on shingles (shingle_join.py), so that no similar pair is missed.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, per_row, portions, text_key, text_or_empty
+from .common import carried, col, materialize, per_row, text_key, text_or_empty, uncarried
 from .components import components
-
-LONG_LIST = 2048
+from .position_index import links
+from .shingle_join import join_groups, unseen, verified, word_sets
 
 
 def shingles(text: bytes, n: int) -> list[bytes]:
@@ -64,147 +56,6 @@ def fingerprint(features: list[bytes], seed: int = 42) -> int:
     return int.from_bytes(np.packbits(votes * 2 > len(features)).tobytes(), "big", signed=True)
 
 
-def position_sets(size: int) -> list[tuple[int, ...]]:
-    """Sets of positions among 8 such that any 4 positions contain one of them.
-
-    All sets of 4, or Turan's system of 20 triples: with the positions in three
-    parts, the triples within a part and those of two from a part and one from the next.
-    """
-    if size == 4:
-        return list(combinations(range(8), 4))
-    parts = [(0, 1, 2), (3, 4, 5), (6, 7)]
-    inner = [t for p in parts for t in combinations(p, 3)]
-    return inner + [(*two, one) for i, p in enumerate(parts) for two in combinations(p, 2) for one in parts[(i + 1) % 3]]
-
-
-def _posting_keys(fp: Column, sets: list[tuple[int, ...]]) -> Column:
-    byte = lambda p: F.shiftrightunsigned(fp, 8 * p).bitwiseAND(F.lit(255))
-    keys = []
-    for i, s in enumerate(sets):
-        key = F.lit(i).cast("long")
-        for p in s:
-            key = F.shiftleft(key, 8).bitwiseOR(byte(p))
-        keys.append(key)
-    return F.explode(F.array(*keys))
-
-
-def linked(x: np.ndarray, max_distance: int) -> np.ndarray:
-    """For each of the fingerprints x, the position of the first of its linked group."""
-    group = np.arange(len(x))
-    differ = x[:, None] ^ x[None, :]
-    same = (differ.view(np.uint8).reshape(len(x), len(x), 8) == 0).sum(axis=2, dtype=np.uint8)
-    link = same >= 8 - max_distance
-    link &= np.bitwise_count(differ) <= max_distance
-    while True:
-        least = np.where(link, group[None, :], len(x)).min(axis=1)
-        least = np.minimum(least, least[least])
-        if (least == group).all():
-            return group
-        group = least
-
-
-def nearest(x: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of each fingerprint and its nearest other, where that is within max_distance."""
-    differ = np.bitwise_count(x[:, None] ^ x[None, :])
-    np.fill_diagonal(differ, 255)
-    best = differ.argmin(axis=1)
-    near = np.flatnonzero(differ[np.arange(len(x)), best] <= max_distance)
-    return near, best[near]
-
-
-def _elsewhere(a: np.ndarray, b: np.ndarray, sets: list[tuple[int, ...]], own: np.ndarray, max_distance: int) -> np.ndarray:
-    """Pairs that link directly and also meet in the list of an earlier set.
-
-    Its edges connect them, though perhaps by other fingerprints, so only the
-    components stay the same: whether each pair is similar is for similar_groups'
-    join on shingles to find.
-    """
-    differ = (a ^ b).view(np.uint64)
-    same = differ.view(np.uint8).reshape(-1, 8) == 0
-    first = same[:, np.array(sets)].all(axis=2).argmax(axis=1)
-    return (np.bitwise_count(differ) <= max_distance) & (first < own)
-
-
-def _list_stars(sets: list[tuple[int, ...]], max_distance: int, and_nearest: bool):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            column = b.column(2)
-            table = b.column(0).to_numpy()
-            which_set = (b.column(1).to_numpy() >> (8 * len(sets[0]))).astype(np.int64)
-            ends = column.offsets.to_numpy()
-            flat = column.values.to_numpy(zero_copy_only=False)
-            size = np.diff(ends)
-            pair = ends[:-1][size == 2]
-            differ = flat[pair] ^ flat[pair + 1]
-            near = np.bitwise_count(differ.view(np.uint64)) <= max_distance
-            a, to, of, own = [flat[pair][near]], [flat[pair + 1][near]], [table[size == 2][near]], [which_set[size == 2][near]]
-            for start, end, which, i in zip(ends[:-1][size > 2].tolist(), ends[1:][size > 2].tolist(), table[size > 2].tolist(), which_set[size > 2].tolist(), strict=True):
-                x = np.sort(flat[start:end])
-                root = linked(x.view(np.uint64), max_distance)
-                rest = root != np.arange(len(x))
-                a.append(x[rest])
-                to.append(x[root[rest]])
-                if and_nearest:
-                    one, other = nearest(x.view(np.uint64), max_distance)
-                    a.append(x[one])
-                    to.append(x[other])
-                more = sum(map(len, a)) - sum(map(len, of))
-                of.append(np.full(more, which, table.dtype))
-                own.append(np.full(more, i))
-            of, a, to, own = map(np.concatenate, (of, a, to, own))
-            keep = ~_elsewhere(a, to, sets, own, max_distance)
-            yield pa.RecordBatch.from_arrays([pa.array(x[keep]) for x in (of, a, to)], names=["table", "a", "b"])
-
-    return run
-
-
-def _patterns(sets: list[tuple[int, ...]], radius: int):
-    """Every pattern within radius of a fingerprint in the bytes that its list's key leaves free."""
-
-    def flips(s: tuple[int, ...]) -> np.ndarray:
-        bits = [1 << (8 * p + j) for p in range(8) if p not in s for j in range(8)]
-        return np.array([sum(c) for r in range(radius + 1) for c in combinations(bits, r)], np.uint64)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: dict[int, np.ndarray] = {}
-        for b in portions(batches):
-            which = (b.column(1).to_numpy() >> (8 * len(sets[0]))).astype(int)
-            fps = b.column(2).to_numpy()
-            table = b.column(0)
-            for i in range(len(fps)):
-                k = int(which[i])
-                if k not in known:
-                    known[k] = flips(sets[k])
-                made = (known[k] ^ fps[i : i + 1].view(np.uint64)).view(np.int64)
-                of = pa.array(np.full(len(made), table[i].as_py(), np.int32))
-                yield pa.RecordBatch.from_arrays([of, pa.array(made), pa.array(np.full(len(made), fps[i]))], names=["table", "u", "v"])
-
-    return run
-
-
-def links(fps: DataFrame, max_distance: int = 4, key_bytes: int | None = None, and_nearest: bool = False) -> DataFrame:
-    """Edges (table, a, b) over distinct fingerprints (table, fp) whose components are those of all links of a table.
-
-    and_nearest: also an edge from each fingerprint of a list to its nearest there.
-    """
-    if max_distance not in (0, 2, 4):
-        raise ValueError("max_distance is 0, 2 or 4")
-    if key_bytes is None:
-        key_bytes = 3 if fps.count() < 50_000_000 else 4
-    sets = position_sets(key_bytes)
-    by = ["table", "key"]
-    posted = fps.select("table", _posting_keys(F.col("fp"), sets).alias("key"), "fp")
-    sizes = materialize(posted.groupBy(by).agg(F.count("*").alias("n")).filter("n > 1"), "simhash-lists")
-    members = posted.join(sizes, by)
-    lists = members.filter(F.col("n") <= LONG_LIST).groupBy(by).agg(F.collect_list("fp").alias("x")).select("table", "key", "x")
-    edges = lists.mapInArrow(_list_stars(sets, max_distance, and_nearest), "table int, a long, b long")
-    if sizes.filter(F.col("n") > LONG_LIST).isEmpty():
-        return edges
-    near = members.filter(F.col("n") > LONG_LIST).select("table", "key", "fp").mapInArrow(_patterns(sets, max_distance // 2), "table int, u long, v long")
-    least = near.groupBy("table", "u").agg(F.min("v").alias("m"), F.max("v").alias("x")).filter("m < x").select("table", "u", "m")
-    return edges.unionByName(near.join(materialize(least, "simhash-patterns"), ["table", "u"]).filter("v <> m").select("table", F.col("v").alias("a"), F.col("m").alias("b")))
-
-
 def near_duplicates(
     docs: DataFrame,
     text_col: str = "text",
@@ -212,12 +63,13 @@ def near_duplicates(
     shingle: int = 4,
     max_distance: int = 4,
     seed: int = 42,
+    key_bytes: int = 3,
 ) -> DataFrame:
     """(doc_id, fp long, component_id): a row of docs each."""
     read = docs.select(col(id_col).alias("doc_id"), text_or_empty(text_col).alias("t"))
     rows = materialize(read.mapInArrow(per_row(lambda t: (fingerprint(shingles(t, shingle), seed),), ["fp"], [pa.int64()]), f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long"), "simhash-rows")
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-fps")
-    edges = links(fps.select(F.lit(0).alias("table"), "fp"), max_distance).select("a", "b")
+    edges = links(fps.select("fp"), max_distance, key_bytes)
     roots = components(edges, "simhash-components")
     named = fps.join(roots, fps.fp == roots.node, "left").select("fp", F.coalesce("root", "fp").alias("root"), "least")
     named = materialize(named, "simhash-named")
@@ -226,172 +78,55 @@ def near_duplicates(
     return rows.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 
 
-def _word_prints(seeds: tuple[int, ...]):
-    """A fingerprint per seed of a text's distinct words."""
-
-    def prints(text: bytes) -> tuple[list[int]]:
-        words = sorted(set(text.lower().split()))
-        return ([fingerprint(words, s) for s in seeds],)
-
-    return per_row(prints, ["fps"], [pa.list_(pa.int64())])
-
+def _word_prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(k, fp): a fingerprint of each text's distinct words."""
+    for keys, texts in unseen(batches):
+        found = []
+        for _, words in word_sets(texts, 1):
+            votes = np.unpackbits(words.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+            found.append(np.packbits(votes * 2 > len(words)).view(np.int64)[0])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(found, pa.int64())], names=["k", "fp"])
 
-def _shingle_hashes(text: bytes, shingle: int) -> np.ndarray:
-    """The distinct shingles of a text, as sorted 64-bit hashes."""
-    packed = b"".join([xxhash.xxh64_digest(x) for x in shingles(text, shingle)])
-    return np.unique(np.frombuffer(packed, ">u8").astype(np.uint64))
 
-
-def _shingle_sets(shingle: int):
-    """The distinct shingles of texts, as sorted 64-bit hashes; copies within a task count once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[bytes] = set()
-        for b in portions(batches):
-            for k, t in zip(b.column(0).to_pylist(), b.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                if k not in seen:
-                    seen.add(k)
-                    x = _shingle_hashes(t, shingle).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.binary()), pa.array([x], pa.list_(pa.int64()))], names=["k", "x"])
-
-    return run
-
-
-def _prefix_length(n: int, similarity: float) -> int:
-    """So many of n shingles, least hashes first, that any similar text has one of them among its own."""
-    return n - math.ceil(similarity * n - 1e-9) + 1
-
-
-def _sketch(x: np.ndarray) -> bytes:
-    """A bit for each residue of the hashes x, set if an odd number of them has it; a power of two of bits, from len(x) on."""
-    size = 64 << max(0, math.ceil(math.log2(max(len(x), 1) / 64)))
-    return np.packbits(np.bincount((x % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
-
-
-def _differing(a: bytes, b: bytes) -> int:
-    """Two sketches' differing bits, at most as many as their texts have shingles that the other lacks."""
-    short, long = sorted((a, b), key=len)
-    while len(long) > len(short):
-        half = len(long) // 2
-        long = (int.from_bytes(long[:half], "big") ^ int.from_bytes(long[half:], "big")).to_bytes(half, "big")
-    return (int.from_bytes(short, "big") ^ int.from_bytes(long, "big")).bit_count()
-
-
-def _prefixes(shingle: int, similarity: float):
-    """Of each text the number of its distinct shingles, their least hashes and their sketch.
-
-    A text without shingles has one hash, zero: such texts are similar to each other.
-    """
-
-    def prefix(text: bytes) -> tuple[int, list[int], bytes]:
-        x = _shingle_hashes(text, shingle)
-        return len(x), x[: _prefix_length(len(x), similarity)].view(np.int64).tolist() or [0], _sketch(x)
-
-    return per_row(prefix, ["n", "h", "s"], [pa.int32(), pa.list_(pa.int64()), pa.binary()])
-
-
-def _possible(similarity: float):
-    """Pairs whose sketches leave the similarity possible."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            rows = zip(*(b.column(c).to_pylist() for c in ("n", "n2", "s", "s2")), strict=True)
-            mask = pa.array([_differing(x, y) <= (1 - similarity) / (1 + similarity) * (n + m) + 1e-6 for n, m, x, y in rows], pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
-
-    return run
-
-
-def _pairs_across(texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(a, b): candidates among texts (k, t) of different groups (node, root); no similar pair is missing.
-
-    Two similar texts share one of their least shingle hashes (prefix filter).
-    At the first that they share, what both have left must suffice for the
-    similarity (positional filter); their sizes must, too, and what their
-    sketches differ in must not exceed it. Only lists that meet several groups
-    are joined, and a list's most frequent group not with itself.
-    """
-    read = texts.mapInArrow(_prefixes(shingle, similarity), "k binary, n int, h array<long>, s binary").dropDuplicates(["k"])
-    read = materialize(read.join(roots, read.k == roots.node, "left").select("k", F.xxhash64("k").alias("id"), F.xxhash64(F.coalesce("root", "k")).alias("g"), "n", "h", "s"), "similar-prefixes")
-    posted = read.select("id", "g", "n", F.posexplode("h").alias("i", "h"))
-    lists = materialize(posted.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi")).filter("lo <> hi").select("h"), "similar-lists")
-    met = materialize(posted.join(lists, "h"), "similar-met")
-    sizes = met.groupBy("h", "g").agg(F.count("*").alias("c"))
-    main = materialize(sizes.groupBy("h").agg(F.max(F.struct("c", "g")).alias("m")).select("h", F.col("m.g").alias("main")), "similar-main")
-    one = met.join(main, "h").filter("g <> main")
-    other = met.withColumnsRenamed({"id": "id2", "g": "g2", "n": "n2", "i": "i2"})
-    fits = F.least("n", "n2") >= similarity * F.greatest("n", "n2") - 1e-6
-    left = F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) >= similarity / (1 + similarity) * (F.col("n") + F.col("n2")) - 1e-6
-    pairs = one.join(other, "h").filter((F.col("g") != F.col("g2")) & ((F.col("g2") == F.col("main")) | (F.col("id") < F.col("id2"))) & fits & left)
-    pairs = materialize(pairs.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct(), "similar-across")
-    ends = read.select("id", "k", "n", "s")
-    both = pairs.join(ends.withColumnRenamed("k", "a"), "id").join(ends.withColumnsRenamed({"id": "id2", "k": "b", "n": "n2", "s": "s2"}), "id2")
-    return both.select("a", "b", "n", "n2", "s", "s2").mapInArrow(_possible(similarity), "a binary, b binary")
-
-
-def _alike(similarity: float):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in portions(batches):
-            keep = []
-            for x, y in zip(b.column("x"), b.column("y"), strict=True):
-                x, y = x.values.to_numpy(), y.values.to_numpy()
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(both >= similarity * (len(x) + len(y) - both))
-            mask = pa.array(keep, pa.bool_())
-            yield pa.RecordBatch.from_arrays([b.column("a").filter(mask), b.column("b").filter(mask)], names=["a", "b"])
-
-    return run
-
-
-def _verified(texts: DataFrame, pairs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those of the pairs (a, b) of texts (k, t) that are similar."""
-    involved = materialize(pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct(), "similar-involved")
-    sets = materialize(texts.join(involved, "k", "left_semi").mapInArrow(_shingle_sets(shingle), "k binary, x array<long>").dropDuplicates(["k"]), "similar-sets")
-    both = pairs.join(sets.withColumnRenamed("k", "a"), "a").join(sets.withColumnsRenamed({"k": "b", "x": "y"}), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(_alike(similarity), "a binary, b binary")
-
-
-def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, seeds: tuple[int, ...] = (42, 43, 44, 45), max_distance: int = 4) -> DataFrame:
+def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, similarity: float = 0.8, max_distance: int = 4, key_bytes: int = 3) -> DataFrame:
     """(k, root): groups of the texts k that have a similar one, as components of verified pairs.
 
-    Fingerprints of distinct words change little where a word is edited, so
-    texts that share most of their shingles link at max_distance under one of
-    several seeds. Links are candidates: a pair stays only if the Jaccard
-    similarity of the two texts' distinct word shingles is at least `similarity`.
-    What the links leave apart is then joined on shingles, so that the groups
-    are those of all similar pairs.
+    Fingerprints of distinct words change little where a word is edited, so most
+    texts that share most of their shingles link at max_distance. Links are
+    candidates: a pair stays only if the Jaccard similarity of the two texts'
+    distinct word shingles is at least `similarity`. What they leave apart is
+    then joined on shingles: the groups are those of all similar pairs.
+    Texts without words are similar to each other.
     """
     texts = docs.select(text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
-    prints = materialize(texts.mapInArrow(_word_prints(seeds), "k binary, fps array<long>").dropDuplicates(["k"]), "similar-prints")
-    each = prints.select("k", F.posexplode("fps").alias("table", "fp"))
-    first = materialize(each.groupBy("table", "fp").agg(F.min("k").alias("rep"), F.count("*").alias("n")), "similar-fps")
-    same = each.join(first.filter("n > 1"), ["table", "fp"]).filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
-    near = links(first.select("table", "fp"), max_distance, and_nearest=True).distinct()
-    rep = first.select("table", "fp", "rep")
-    near = near.join(rep.withColumnsRenamed({"fp": "a", "rep": "ka"}), ["table", "a"]).join(rep.withColumnsRenamed({"fp": "b", "rep": "kb"}), ["table", "b"])
+    prints = materialize(texts.mapInArrow(_word_prints, "k binary, fp long"), "similar-prints")
+    first = materialize(prints.groupBy("fp").agg(F.min("k").alias("rep"), F.max("k").alias("last")), "similar-fps")
+    same = prints.join(first.filter("rep <> last"), "fp").filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))
+    near = links(first.select("fp"), max_distance, key_bytes, and_nearest=True).distinct()
+    near = near.join(first.select(F.col("fp").alias("a"), F.col("rep").alias("ka")), "a").join(first.select(F.col("fp").alias("b"), F.col("rep").alias("kb")), "b")
     pairs = same.unionByName(near.select(F.col("ka").alias("a"), F.col("kb").alias("b")))
     pairs = materialize(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "similar-pairs")
-    found = materialize(_verified(texts, pairs, shingle, similarity), "similar-found")
+    found = materialize(verified(texts, pairs, shingle, similarity), "similar-found")
     roots = components(found, "similar-components")
-    across = materialize(_pairs_across(texts, roots, shingle, similarity), "similar-candidates")
-    more = materialize(_verified(texts, across, shingle, similarity), "similar-more")
-    if more.isEmpty():
-        return roots.withColumnRenamed("node", "k")
+    more = materialize(join_groups(texts, roots, shingle, similarity), "similar-more")
     joined = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(more)
     return components(joined, "similar-components").withColumnRenamed("node", "k")
 
 
 def one_per_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **how) -> DataFrame:
-    """docs with one row of each group of similar texts: that of the smallest id, nulls last; copies are similar."""
+    """docs with one row of each group of similar texts: that of the smallest id, nulls last; copies are similar.
+
+    Of rows that share that id and text, any one stays.
+    """
     roots = materialize(similar_groups(docs, text_col, **how), "similar-roots")
     keys = docs.select(text_key(text_col).alias("k"), col(id_col).alias("id"))
     grouped = keys.groupBy("k", "id").agg(F.count("*").alias("n")).join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")).alias("b"))
-    best = materialize(best.select(F.col("b.k").alias("__k"), F.col("b.id").alias("__id"), F.col("b.n").alias("__n")), "similar-kept")
-    rows = docs.withColumn("__key", text_key(text_col))
-    kept = rows.join(best, (F.col("__key") == F.col("__k")) & rows[id_col].eqNullSafe(best["__id"]))
-    once, often = kept.filter("__n = 1"), kept.filter("__n > 1").dropDuplicates(["__key"])
-    return once.unionByName(often).select(*[col(c) for c in docs.columns])
+    best = materialize(best.select("b.k", F.col("b.id").alias("best"), "b.n"), "similar-kept")
+    rows = docs.select(text_key(text_col).alias("k"), col(id_col).alias("id"), carried(docs, docs.columns).alias("row"))
+    kept = rows.join(best, "k").filter(F.col("id").eqNullSafe(F.col("best")))
+    once, often = kept.filter("n = 1"), kept.filter("n > 1").dropDuplicates(["k"])
+    return once.unionByName(often).select(*uncarried("row", docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
