@@ -103,8 +103,19 @@ def in_blocks(members: DataFrame, blocks: Column, by: Column) -> DataFrame:
     return members.select("*", F.explode(pairs).alias("uv")).select(*[col(c) for c in members.columns], "uv.u", "uv.v")
 
 
-#: Bytes of a batch that a Python worker unpacks at once.
-PORTION_BYTES = 2_000_000
+#: Bytes of an Arrow batch, and of it what a Python worker unpacks at once.
+BATCH_BYTES, PORTION_BYTES = 8_000_000, 2_000_000
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df; from here on its session sends Python batches of at most BATCH_BYTES, unless it has another limit than Spark's default.
+
+    JVM and worker each hold a batch or two a task, and rows of whole texts make large ones.
+    """
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if conf.get(name) in ("67108864b", "64m", "67108864"):
+        conf.set(name, f"{BATCH_BYTES}b")
+    return df
 
 
 def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

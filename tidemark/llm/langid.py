@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, portions, schema_of, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, small_batches, text_or_empty, uncarried
 
 DIMS = 8192
 SAMPLE = 400
@@ -107,7 +107,7 @@ class Model:
             for ok, c, row in zip(read, best.tolist(), cosine, strict=True):
                 score = min(1.0, max(0.0, float(row[c])))
                 lang = int(self.owner[c])
-                out.append((self.languages[lang], score, score < self.least[lang]) if ok else ("und", 0.0, True))
+                out.append((self.languages[lang], score, bool(score < self.least[lang])) if ok else ("und", 0.0, True))
         return out
 
 
@@ -156,21 +156,23 @@ def fit(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_co
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected; columns of those names are replaced."""
+    """docs with lang_pred, score and rejected; columns of those names are replaced.
+
+    Only the text goes to Python and only the verdict comes back; the other columns stay in the JVM.
+    """
     rest = others(docs, "lang_pred", "score", "rejected")
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        m = shared.value
-        for b in portions(batches):
-            found = m.predict([v.decode() for v in binary_values(b.column(1))])
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64()), pa.array([bool(x[2]) for x in found], pa.bool_())], names=["row", "lang_pred", "score", "rejected"]
-            )
-
-    rows = docs.select(carried(docs, rest).alias("row"), text_or_empty(text_col).alias("t"))
-    made = rows.mapInArrow(run, schema_of(rows, ["row"], "lang_pred string, score double, rejected boolean"))
-    return made.select(*uncarried("row", rest), "lang_pred", "score", "rejected")
+    shared = small_batches(docs).sparkSession.sparkContext.broadcast(model)
+
+    @F.arrow_udf("lang_pred string, score double, rejected boolean")
+    def verdict(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            found = [x for part in portions([pa.record_batch([texts], names=["t"])]) for x in shared.value.predict([v.decode() for v in binary_values(part.column(0))])]
+            columns = [pa.array([x[i] for x in found], kind) for i, kind in enumerate((pa.string(), pa.float64(), pa.bool_()))]
+            yield pa.StructArray.from_arrays(columns, names=["lang_pred", "score", "rejected"])
+
+    # Not deterministic, so that Spark never evaluates it twice.
+    made = docs.select(carried(docs, rest).alias("row"), verdict.asNondeterministic()(text_or_empty(text_col)).alias("v"))
+    return made.select(*uncarried("row", rest), "v.*")
 
 
 def digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", lang_col: str = "lang") -> DataFrame:

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, portions, schema_of, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, schema_of, small_batches, text_key, text_or_empty, uncarried
 
 
 def line_key(line: bytes) -> bytes:
@@ -68,7 +68,7 @@ def _reassemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def line_dedup(docs: DataFrame, text_col: str = "text", min_docs: int = 10, min_chars: int = 1) -> DataFrame:
     """docs with lines found in at least min_docs documents removed, and n_lines, n_dropped."""
-    lines = docs.select(text_key(text_col).alias("k"), text_or_empty(text_col).alias("t")).mapInArrow(_line_hashes(min_chars), "k binary, h binary")
+    lines = small_batches(docs).select(text_key(text_col).alias("k"), text_or_empty(text_col).alias("t")).mapInArrow(_line_hashes(min_chars), "k binary, h binary")
     common = materialize(lines.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_docs).select("h"), "line-common")
     drops = materialize(lines.join(common, "h", "left_semi").groupBy("k").agg(F.collect_set("h").alias("drop")), "line-drops")
     rest = others(docs, text_col, "n_lines", "n_dropped")

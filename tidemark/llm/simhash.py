@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, col, materialize, per_row, text_key, text_or_empty, uncarried
+from .common import carried, col, materialize, per_row, small_batches, text_key, text_or_empty, uncarried
 from .components import components
 from .position_index import links
 from .shingle_join import join_groups, unseen, verified, word_sets
@@ -98,7 +98,7 @@ def similar_groups(docs: DataFrame, text_col: str = "text", shingle: int = 5, si
     then joined on shingles: the groups are those of all similar pairs.
     Texts without words are similar to each other.
     """
-    texts = docs.select(text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
+    texts = small_batches(docs).select(text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
     prints = materialize(texts.mapInArrow(_word_prints, "k binary, fp long"), "similar-prints")
     first = materialize(prints.groupBy("fp").agg(F.min("k").alias("rep"), F.max("k").alias("last")), "similar-fps")
     same = prints.join(first.filter("rep <> last"), "fp").filter("k <> rep").select(F.col("k").alias("a"), F.col("rep").alias("b"))

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, portions, schema_of, table_path, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, schema_of, small_batches, table_path, text_key, text_or_empty, uncarried
 from .repeats import Settled, anchor_entries, keyed, merged, run_rows, spans_by_text, window_spans
 from .windows import Words
 
@@ -103,7 +103,7 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = 35, ba
     The documents are taken in as `batches` batches, each against the index of those before it.
     """
     spark = docs.sparkSession
-    texts = keyed(docs, text_col)
+    texts = keyed(small_batches(docs), text_col)
     index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), max_runs)
     for i in range(batches):
         batch = texts.filter(F.pmod(F.xxhash64("k"), F.lit(batches)) == i)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, portions, schema_of, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, materialize, others, portions, schema_of, small_batches, text_key, text_or_empty, uncarried
 from .repeats import SPAN, Settled, anchor_entries, keyed, merged, run_rows, spans_by_text, window_spans, with_text
 from .windows import Bytes
 
@@ -245,7 +245,7 @@ def _without_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, bucket_rows: int = 4096) -> DataFrame:
     """docs with `kept` (binary) and n_bytes, n_removed, n_spans: repeated strings of `width` bytes removed."""
-    texts = keyed(docs, text_col)
+    texts = keyed(small_batches(docs), text_col)
     entries = anchor_entries(run_rows(texts, Bytes, width)).filter("n > 1")
     repeated = materialize(entries.select("a", (F.col("c_min") == F.col("c_max")).alias("uniform")), "suffix-repeated")
     settled = Settled(run_rows(texts, Bytes, width), repeated, width, "suffix")
