@@ -33,7 +33,7 @@ select("f_str_split_part", "part", {"p_partkey": key, "a": lambda: X.split_part(
 frame("f_str_concat", lambda s, d: read(s, d, "customer").select("c_custkey", X.concat_skipping_nulls(c("c_name"), F.lit(None), c("c_mktsegment")).alias("a"), F.concat_ws("-", "c_name", F.lit(None), "c_mktsegment").alias("b"), F.concat(c("c_name"), F.lit("!")).alias("d")), "SELECT c_custkey, concat(c_name, NULL, c_mktsegment) AS a, concat_ws('-', c_name, NULL, c_mktsegment) AS b, c_name || '!' AS d FROM customer")
 frame("f_str_quote", lambda s, d: read(s, d, "nation").select("n_nationkey", X.quote_literal(F.concat(c("n_name"), F.lit("'s"))).alias("a"), X.quote_nullable(F.nullif(c("n_name"), F.lit("x"))).alias("b"), X.quote_ident(c("n_name")).alias("d")), "SELECT n_nationkey, '''' || n_name || '''''s''' AS a, '''' || n_name || '''' AS b, CASE WHEN regexp_matches(n_name, '^[a-z_][a-z0-9_$]*$') THEN n_name ELSE '\"' || n_name || '\"' END AS d FROM nation")
 frame("f_str_parse_ident", lambda s, d: s.sql("SELECT 'Foo.\"Bar b\".baz' AS t").select(F.array_join(X.parse_ident(c("t")), "|").alias("a")), "SELECT 'foo|Bar b|baz' AS a")
-frame("f_str_initcap", lambda s, d: read(s, d, "part").select("p_partkey", X.initcap(F.replace(F.concat(c("p_name"), F.lit("-x y")), F.lit("#"), F.lit("_"))).alias("a")).filter("p_partkey <= 50").select("p_partkey", F.length("a").cast("long").alias("n"), F.right("a", F.lit(3)).alias("z")), "SELECT p_partkey, length(p_name) + 4 AS n, 'X Y' AS z FROM part WHERE p_partkey <= 50")
+frame("f_str_initcap", lambda s, d: read(s, d, "part").select("p_partkey", X.initcap(F.replace(F.concat(c("p_name"), F.lit("-x y")), F.lit("#"), F.lit("_"))).alias("a")).select("p_partkey", F.length("a").cast("long").alias("n"), F.right("a", F.lit(3)).alias("z")), "SELECT p_partkey, length(p_name) + 4 AS n, 'X Y' AS z FROM part")
 pair("f_str_codes", "SELECT n_nationkey, ascii(n_name) AS a, chr(65 + n_nationkey) AS b, lower(hex(n_nationkey * 12345)) AS c FROM nation", "SELECT n_nationkey, ascii(n_name) AS a, chr(65 + n_nationkey) AS b, lower(to_hex(n_nationkey * 12345)) AS c FROM nation")
 same("f_str_digests", "SELECT n_nationkey, md5(n_name) AS m FROM nation")
 pair("f_str_sha", "SELECT n_nationkey, sha2(n_name, 256) AS a, lower(hex(n_name)) AS b, base64(n_name) AS c, decode(unbase64(base64(n_name)), 'UTF-8') AS d FROM nation", "SELECT n_nationkey, sha256(n_name) AS a, lower(hex(n_name)) AS b, base64(encode(n_name)) AS c, n_name AS d FROM nation")
@@ -82,7 +82,7 @@ frame(
     lambda s, d: read(s, d, "orders_valid").filter("hi IS NOT NULL").select("id", M.overlaps_periods(c("lo"), c("hi"), F.lit("1998-01-01").cast("timestamp_ntz"), F.lit("1997-06-01").cast("timestamp_ntz")).alias("o")),
     "SELECT id, (least(lo, hi) < '1998-01-01' AND '1997-06-01' < greatest(lo, hi)) OR lo = '1997-06-01' AS o FROM orders_valid WHERE hi IS NOT NULL",
 )
-pair("f_date_zone", "SELECT event_id, CAST(from_utc_timestamp(CAST(ts AS TIMESTAMP), 'America/New_York') AS TIMESTAMP_NTZ) AS t FROM events WHERE event_id < 200", "SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM events WHERE event_id < 200")
+pair("f_date_zone", "SELECT event_id, CAST(from_utc_timestamp(CAST(ts AS TIMESTAMP), 'America/New_York') AS TIMESTAMP_NTZ) AS t FROM events", "SELECT event_id, (ts AT TIME ZONE 'UTC') AT TIME ZONE 'America/New_York' AS t FROM events")
 
 # Arrays.
 A = "(SELECT n_regionkey, array_sort(collect_list(n_nationkey)) AS a FROM nation GROUP BY n_regionkey)"

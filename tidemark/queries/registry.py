@@ -17,6 +17,8 @@ DERIVED = {
         o_orderdate AS lo, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS hi FROM orders""",
     "events_valid": """SELECT event_id AS id, user_id AS key, (user_id % 100 + 1)::INT AS attr, event_type, value,
         ts AS lo, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS hi FROM events""",
+    "supplier_years": """SELECT l_suppkey * 10000 + year(l_shipdate) AS id, l_suppkey AS key, min(l_shipdate) AS lo, max(l_shipdate) AS hi
+        FROM lineitem GROUP BY l_suppkey, year(l_shipdate)""",
 }
 
 

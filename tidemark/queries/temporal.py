@@ -75,11 +75,17 @@ frame(
 )
 
 # Algebra.
-SIDES = "SELECT * FROM orders_valid WHERE attr {w} AND (hi IS NULL OR hi > lo)"
+OVERLAPS = "(l.hi IS NULL OR l.hi > l.lo) AND (r.hi IS NULL OR r.hi > r.lo) AND (r.hi IS NULL OR l.lo < r.hi) AND (l.hi IS NULL OR r.lo < l.hi)"
+
+
+def sy(s, d):
+    return read(s, d, "supplier_years")
+
+
 frame(
     "t_interval_join",
-    lambda s, d: T.overlap_join(ov(s, d).filter("attr BETWEEN 1 AND 5").select("id", "lo", "hi"), ov(s, d).filter("attr BETWEEN 11 AND 15").select("id", "lo", "hi"), 90).groupBy("l_id").agg(F.count("*").alias("n"), F.sum("r_id").alias("ids")),
-    f"SELECT l.id AS l_id, count(*) AS n, sum(r.id)::BIGINT AS ids FROM ({SIDES.format(w='BETWEEN 1 AND 5')}) l JOIN ({SIDES.format(w='BETWEEN 11 AND 15')}) r ON (r.hi IS NULL OR l.lo < r.hi) AND (l.hi IS NULL OR r.lo < l.hi) GROUP BY l.id",
+    lambda s, d: T.overlap_join(ov(s, d).select("id", "lo", "hi"), sy(s, d).select("id", "lo", "hi"), 90).groupBy("l_id").agg(F.count("*").alias("n"), F.sum("r_id").alias("ids")),
+    f"SELECT l.id AS l_id, count(*) AS n, sum(r.id)::BIGINT AS ids FROM orders_valid l JOIN supplier_years r ON {OVERLAPS} GROUP BY l.id",
 )
 frame(
     "t_interval_join_keyed",
@@ -137,16 +143,16 @@ PAIR = "FROM orders_valid a JOIN orders_valid b ON a.key = b.key AND a.id <> b.i
 
 def pairs(s, d):
     """Rows of one key with each other: two pairs of period columns."""
-    rows = ov(s, d).filter(~P.is_empty("lo", "hi")).filter("attr <= 20")
+    rows = ov(s, d).filter(~P.is_empty("lo", "hi"))
     r = rows.select(F.col("key"), F.col("id").alias("id2"), F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
     return rows.join(r, "key").filter("id <> id2")
 
 
-frame("t_adjacent", lambda s, d: pairs(s, d).filter(P.range_adjacent("lo", "hi", "lo2", "hi2")).groupBy("attr").agg(F.count("*").alias("n")), f"SELECT a.attr, count(*) AS n {PAIR} AND a.attr <= 20 WHERE a.hi = b.lo OR b.hi = a.lo GROUP BY a.attr")
+frame("t_adjacent", lambda s, d: pairs(s, d).filter(P.range_adjacent("lo", "hi", "lo2", "hi2")).groupBy("attr").agg(F.count("*").alias("n")), f"SELECT a.attr, count(*) AS n {PAIR} WHERE a.hi = b.lo OR b.hi = a.lo GROUP BY a.attr")
 frame(
     "t_before_after",
     lambda s, d: pairs(s, d).groupBy("attr").agg(*[F.count_if(c).alias(n) for n, c in (("before", P.range_before("hi", "lo2")), ("after", P.range_after("lo", "hi2")), ("overleft", P.range_overleft("hi", "hi2")), ("overright", P.range_overright("lo", "lo2")))]),
-    f"SELECT a.attr, count(*) FILTER (WHERE a.hi <= b.lo) AS before, count(*) FILTER (WHERE a.lo >= b.hi) AS after, count(*) FILTER (WHERE b.hi IS NULL OR a.hi <= b.hi) AS overleft, count(*) FILTER (WHERE a.lo >= b.lo) AS overright {PAIR} AND a.attr <= 20 GROUP BY a.attr",
+    f"SELECT a.attr, count(*) FILTER (WHERE a.hi <= b.lo) AS before, count(*) FILTER (WHERE a.lo >= b.hi) AS after, count(*) FILTER (WHERE b.hi IS NULL OR a.hi <= b.hi) AS overleft, count(*) FILTER (WHERE a.lo >= b.lo) AS overright {PAIR} GROUP BY a.attr",
 )
 ALLEN_SQL = """CASE WHEN x.hi < y.lo THEN 'before' WHEN x.hi = y.lo THEN 'meets' WHEN x.lo > y.hi THEN 'after' WHEN x.lo = y.hi THEN 'met_by'
  WHEN x.lo = y.lo AND x.h = y.h THEN 'equals' WHEN x.lo = y.lo AND x.h < y.h THEN 'starts' WHEN x.lo = y.lo THEN 'started_by'
@@ -155,21 +161,21 @@ ALLEN_SQL = """CASE WHEN x.hi < y.lo THEN 'before' WHEN x.hi = y.lo THEN 'meets'
 
 
 def allen(s, d):
-    rows = ov(s, d).filter(~P.is_empty("lo", "hi")).filter("attr IN (3, 4)")
-    x = rows.filter("attr = 3").select("lo", "hi")
-    y = rows.filter("attr = 4").select(F.col("lo").alias("lo2"), F.col("hi").alias("hi2"))
-    return x.crossJoin(y).groupBy(P.allen("lo", "hi", "lo2", "hi2").alias("relation")).agg(F.count("*").alias("n"))
+    return pairs(s, d).groupBy("attr", P.allen("lo", "hi", "lo2", "hi2").alias("relation")).agg(F.count("*").alias("n"))
 
 
-frame("t_allen", allen, f"SELECT {ALLEN_SQL} AS relation, count(*) AS n FROM (SELECT lo, hi, coalesce(hi, TIMESTAMP '9999-12-31') AS h FROM orders_valid WHERE attr = 3 AND (hi IS NULL OR hi > lo)) x, (SELECT lo, hi, coalesce(hi, TIMESTAMP '9999-12-31') AS h FROM orders_valid WHERE attr = 4 AND (hi IS NULL OR hi > lo)) y GROUP BY 1")
+frame("t_allen", allen, f"SELECT attr, {ALLEN_SQL} AS relation, count(*) AS n FROM (SELECT *, coalesce(hi, TIMESTAMP '9999-12-31') AS h FROM orders_valid WHERE hi IS NULL OR hi > lo) x JOIN (SELECT key, id AS id2, lo, hi, coalesce(hi, TIMESTAMP '9999-12-31') AS h FROM orders_valid WHERE hi IS NULL OR hi > lo) y ON x.key = y.key AND x.id <> y.id2 GROUP BY 1, 2")
 frame(
     "t_range_accessors",
     lambda s, d: ov(s, d).select("id", F.when(~P.is_empty("lo", "hi"), F.col("lo")).alias("lower"), F.when(~P.is_empty("lo", "hi"), F.col("hi")).alias("upper"), P.is_current("hi").alias("upper_inf"), P.is_empty("lo", "hi").alias("isempty")),
     "SELECT id, CASE WHEN hi IS NULL OR hi > lo THEN lo END AS lower, CASE WHEN hi > lo THEN hi END AS upper, hi IS NULL AS upper_inf, coalesce(hi <= lo, false) AS isempty FROM orders_valid",
 )
+
+
 def crossed(s, d):
-    """Rows of neighbouring attributes that overlap."""
-    both = T.overlap_join(ov(s, d).filter("attr = 3").select("id", "lo", "hi"), ov(s, d).filter("attr = 4").select("id", "lo", "hi"), 365)
+    """What periods of neighbouring suppliers cover together and have in common."""
+    left, right = sy(s, d).withColumn("peer", F.col("key") + 1), sy(s, d).withColumnRenamed("key", "peer")
+    both = T.overlap_join(left.select("id", "peer", "lo", "hi"), right.select("id", "peer", "lo", "hi"), 365, ["peer"])
     ends = F.col("l_hi").isNotNull() & F.col("r_hi").isNotNull()
     return both.select("l_id", "r_id", F.least("l_lo", "r_lo").alias("merge_lo"), F.when(ends, F.greatest("l_hi", "r_hi")).alias("merge_hi"), F.greatest("l_lo", "r_lo").alias("cut_lo"), F.least("l_hi", "r_hi").alias("cut_hi"))
 
@@ -177,7 +183,7 @@ def crossed(s, d):
 frame(
     "t_range_merge_intersect",
     crossed,
-    "SELECT a.id AS l_id, b.id AS r_id, least(a.lo, b.lo) AS merge_lo, CASE WHEN a.hi IS NOT NULL AND b.hi IS NOT NULL THEN greatest(a.hi, b.hi) END AS merge_hi, greatest(a.lo, b.lo) AS cut_lo, least(a.hi, b.hi) AS cut_hi FROM orders_valid a JOIN orders_valid b ON a.attr = 3 AND b.attr = 4 AND (a.hi IS NULL OR a.hi > a.lo) AND (b.hi IS NULL OR b.hi > b.lo) WHERE (b.hi IS NULL OR a.lo < b.hi) AND (a.hi IS NULL OR b.lo < a.hi)",
+    f"SELECT l.id AS l_id, r.id AS r_id, least(l.lo, r.lo) AS merge_lo, CASE WHEN l.hi IS NOT NULL AND r.hi IS NOT NULL THEN greatest(l.hi, r.hi) END AS merge_hi, greatest(l.lo, r.lo) AS cut_lo, least(l.hi, r.hi) AS cut_hi FROM supplier_years l JOIN supplier_years r ON r.key = l.key + 1 AND {OVERLAPS}",
 )
 frame(
     "t_scd2_close_out",
