@@ -2,17 +2,20 @@
 
 Two texts are similar when the Jaccard similarity of their shingles reaches a
 bound. All texts order their shingles alike: by hash, but common shingles last
-(common_shingles below). A text's prefix is so many of its first shingles that any
-similar text has one of them in its own prefix; the texts of one prefix shingle
-are a list. In a list the lengths of two texts, and what both have left behind
-the shared shingle, rule most pairs out; only texts with a possible partner are
-verified, list by list, on their whole shingle sets. Lists that only hold
-texts already grouped are not looked at. No pair leaves a list: it emits a
-star per similar group.
-
-A list of very many texts or shingles is dealt into blocks, and every two
-blocks of it meet, so what a task holds stays bounded. Shingles are 64-bit
-hashes; results are exact up to their collisions.
+(common_shingles below). A text's prefix is so many of its first shingles that
+any similar text has one of them in its own prefix; the texts of one prefix
+shingle are a list. Lists of equal texts count once, and those whose texts are
+all grouped already not at all.
+
+Within a list, the lengths of two texts and how their sketches differ rule out
+almost all pairs that aren't similar, and no other. What is left connects texts
+to families, mostly of a few texts; a family's texts are then compared on their
+whole shingle sets. No pairs leave a list or a family: each emits stars.
+
+A list or family of very many texts or shingles is dealt into blocks, and every
+two blocks of it meet, so what a task holds stays bounded; its work grows with
+the square of a family whose texts are nearly, but not, similar. Shingles are
+64-bit hashes; results are exact up to their collisions.
 """
 
 from __future__ import annotations
@@ -26,15 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import binary_values, in_blocks, materialize, portions
+from .components import components
 from .windows import Words, gram_hashes
 
 #: Shingles found in that many prefixes or more count as common; so many of them, the most frequent, go last.
 COMMON_FROM, COMMON = 16, 1 << 20
-#: Texts and shingles of a block of a list.
+#: Texts and shingles of a block of a list or family.
 BLOCK_TEXTS, BLOCK_SHINGLES = 1024, 1 << 20
 #: Bits of the filter that spares texts which no candidate names the way to a join.
 FILTER_BITS = 26
-#: Shingles of a list that are counted at once.
+#: Columns of an incidence or sketch matrix that are multiplied at once.
 STRIP = 4096
 
 
@@ -74,8 +78,14 @@ def unseen(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes], lis
             yield [keys[i] for i in rows], binary_values(b.column(1).take(pa.array(rows)))
 
 
+def sketch(x: np.ndarray) -> bytes:
+    """A bit for each residue of the hashes x, set if an odd number of them has it; a power of two of bits, from len(x) on."""
+    size = 64 << max(0, math.ceil(math.log2(max(len(x), 1) / 64)))
+    return np.packbits(np.bincount((x % np.uint64(size)).astype(np.int64), minlength=size) & 1).tobytes()
+
+
 def _prefixes(shingle: int, similarity: float, common: np.ndarray | None):
-    """(k, n, h): the number of a text's shingles and its prefix; without any, the prefix is zero."""
+    """(k, n, h, s): the number of a text's shingles, its prefix (zero without any), its sketch once `common` is known."""
 
     def prefix(x: np.ndarray) -> np.ndarray:
         if not len(x):
@@ -88,54 +98,91 @@ def _prefixes(shingle: int, similarity: float, common: np.ndarray | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for keys, texts in unseen(batches):
             sets = [x for x, _ in word_sets(texts, shingle)]
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), lists_of([prefix(x) for x in sets])], names=["k", "n", "h"])
+            sketches = [None if common is None else sketch(x) for x in sets]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(keys, pa.binary()), pa.array([len(x) for x in sets], pa.int32()), lists_of([prefix(x) for x in sets]), pa.array(sketches, pa.binary())], names=["k", "n", "h", "s"]
+            )
 
     return run
 
 
+PREFIX = "k binary, n int, h array<long>, s binary"
+
+
 def common_shingles(texts: DataFrame, shingle: int, similarity: float) -> np.ndarray:
     """The most frequent shingles of the texts' prefixes by hash, sorted; COMMON bounds them.
 
     Any fixed set would do: it only decides which shingles go last.
     """
-    h = texts.mapInArrow(_prefixes(shingle, similarity, None), "k binary, n int, h array<long>").select(F.explode("h").alias("h"))
+    h = texts.mapInArrow(_prefixes(shingle, similarity, None), PREFIX).select(F.explode("h").alias("h"))
     often = h.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= COMMON_FROM).orderBy(F.desc("n"), "h").limit(COMMON)
     return np.sort(often.select("h").toArrow().column("h").to_numpy().astype(np.int64).view(np.uint64))
 
 
-def _matrix(x: pa.Array, *fields: str) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Ends of a list<struct> column's lists, and its fields flat."""
-    flat = x.flatten()
-    return x.offsets.to_numpy() - x.offsets[0].as_py(), [flat.field(f).to_numpy(zero_copy_only=False) for f in fields]
+def differing(one: list[bytes], other: list[bytes]) -> np.ndarray:
+    """The differing bits of sketches of one size and others of that size or larger ones, which are folded to it."""
+    size = len(one[0]) * 8
 
+    def bits(sketches: list[bytes]) -> np.ndarray:
+        x = np.zeros((len(sketches), size // 8), np.uint8)
+        for i, s in enumerate(sketches):
+            x[i] = np.bitwise_xor.reduce(np.frombuffer(s, np.uint8).reshape(-1, size // 8), axis=0)
+        return x
 
-def _possible(n: np.ndarray, i: np.ndarray, g: np.ndarray, m: np.ndarray, j: np.ndarray, f: np.ndarray, similarity: float) -> np.ndarray:
-    """Whether texts of n and m shingles, of groups g and f, that share the shingles at i and j first can be similar."""
-    fits = np.minimum(n, m) >= similarity * np.maximum(n, m) - 1e-6
-    left = np.minimum(n - i, m - j) >= similarity / (1 + similarity) * (n + m) - 1e-6
-    return (g != f) & fits & left
+    x, y = bits(one), bits(other)
+    same = np.zeros((len(one), len(other)), np.float32)
+    for at in range(0, size // 8, STRIP // 8):
+        left, right = (np.unpackbits(z[:, at : at + STRIP // 8], axis=1).astype(np.float32) * 2 - 1 for z in (x, y))
+        same += left @ right.T
+    return (size - same) / 2
 
 
-def _with_partner(similarity: float):
-    """(h, u, v, id): those of a list (h, u, v, x) for whom another of its texts is possible."""
+def candidates(n: np.ndarray, g: np.ndarray, sketches: list[bytes], similarity: float) -> np.ndarray:
+    """Whether texts of n shingles, in groups g, can be similar: a symmetric matrix.
+
+    Sketches differ in at most as many bits as the two texts have shingles that the other lacks.
+    """
+    ok = (g[:, None] != g[None, :]) & (np.minimum(n[:, None], n[None, :]) >= similarity * np.maximum(n[:, None], n[None, :]) - 1e-6)
+    most = (1 - similarity) / (1 + similarity)
+    size = np.array([len(s) for s in sketches])
+    for least in np.unique(size[ok.any(axis=1)]):
+        a, b = np.flatnonzero(size == least), np.flatnonzero((size == least) | ok[size == least].any(axis=0) & (size > least))
+        keep = differing([sketches[i] for i in a], [sketches[i] for i in b]) <= most * (n[a][:, None] + n[b][None, :]) + 1e-6
+        ok[np.ix_(a, b)] &= keep
+        ok[np.ix_(b, a)] &= keep.T
+    return ok
+
+
+def first_linked(link: np.ndarray) -> np.ndarray:
+    """For each row of a symmetric matrix of links, the first that it is connected to."""
+    n = len(link)
+    group = np.arange(n)
+    while True:
+        least = np.concatenate([np.where(link[i : i + 256], group[None, :], n).min(axis=1) for i in range(0, n, 256)])
+        least = np.minimum(group, least)
+        least = np.minimum(least, least[least])
+        if (least == group).all():
+            return group
+        group = least
+
+
+def _candidate_stars(similarity: float):
+    """(a, b): stars of ids that candidate pairs of a list x connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
-            ends, (ids, g, n, i) = _matrix(b.column(3), "id", "g", "n", "i")
-            size = np.diff(ends)
-            pair = np.flatnonzero(size == 2)
-            a = ends[:-1][pair]
-            ok = _possible(n[a], i[a], g[a], n[a + 1], i[a + 1], g[a + 1], similarity) & (ids[a] != ids[a + 1])
-            of, found = [np.repeat(pair[ok], 2)], [ids[np.stack([a[ok], a[ok] + 1], axis=1).ravel()]]
-            for row in np.flatnonzero(size > 2).tolist():
-                start = ends[row]
-                _, first = np.unique(ids[start : ends[row + 1]], return_index=True)
-                x, at = ids[start:][first], start + first
-                has = np.concatenate([_possible(n[s, None], i[s, None], g[s, None], n[at], i[at], g[at], similarity).any(axis=1) for s in np.split(at, range(256, len(at), 256))])
-                of.append(np.full(has.sum(), row))
-                found.append(x[has])
-            of = pa.array(np.concatenate(of))
-            yield pa.RecordBatch.from_arrays([b.column(0).take(of), b.column(1).take(of), b.column(2).take(of), pa.array(np.concatenate(found))], names=["h", "u", "v", "id"])
+            a, to = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+            for row in b.column(0):
+                x = row.values
+                ids, first = np.unique(x.field("id").to_numpy(), return_index=True)
+                if len(ids) < 2:
+                    continue
+                n, g = (x.field(c).to_numpy()[first] for c in ("n", "g"))
+                group = first_linked(candidates(n, g, x.field("s").take(pa.array(first)).to_pylist(), similarity))
+                rest = group != np.arange(len(group))
+                a.append(ids[rest])
+                to.append(ids[group[rest]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(to))], names=["a", "b"])
 
     return run
 
@@ -160,8 +207,8 @@ def overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return both
 
 
-def _similar_in_list(similarity: float):
-    """(a, b): a star of keys for each group of a list's texts that similar pairs connect."""
+def _similar_stars(similarity: float):
+    """(a, b): stars of keys that similar pairs of a family x connect."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in portions(batches):
@@ -178,13 +225,7 @@ def _similar_in_list(similarity: float):
                 else:
                     both = overlaps(sets)
                 link = (both >= similarity * (n[:, None] + n[None, :] - both) - 1e-6) & (g[:, None] != g[None, :])
-                group = np.arange(len(sets))
-                while True:
-                    least = np.minimum(group, np.where(link, group[None, :], len(group)).min(axis=1))
-                    least = np.minimum(least, least[least])
-                    if (least == group).all():
-                        break
-                    group = least
+                group = first_linked(link)
                 rest = np.flatnonzero(group != np.arange(len(group))).tolist()
                 if rest:
                     yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in rest], pa.binary()), pa.array([keys[group[i]] for i in rest], pa.binary())], names=["a", "b"])
@@ -251,17 +292,21 @@ def join_groups(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _prefixes(shingle, similarity, common.value)(batches)
 
-    read = texts.mapInArrow(prefixes, "k binary, n int, h array<long>").join(roots, F.col("k") == roots.node, "left")
-    read = materialize(read.select("k", F.xxhash64("k").alias("id"), F.xxhash64(F.coalesce("root", "k")).alias("g"), "n", "h"), "similar-prefixes")
-    posted = read.select("id", "g", "n", F.posexplode("h").alias("i", "h"))
-    lists = posted.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("texts"), F.sum("n").alias("shingles")).filter("lo <> hi")
-    blocks = F.greatest(F.ceil(F.col("texts") / BLOCK_TEXTS), F.ceil(F.col("shingles") / BLOCK_SHINGLES))
-    lists = materialize(lists.select("h", blocks.alias("blocks")), "similar-lists")
-    dealt = in_blocks(posted.join(lists, "h"), F.col("blocks"), F.col("id"))
-    key = ["h", "u", "v"]
-    few = dealt.groupBy(*key).agg(F.collect_list(F.struct("id", "g", "n", "i")).alias("x")).mapInArrow(_with_partner(similarity), "h long, u int, v int, id long")
-    few = materialize(few, "similar-members")
-    named = materialize(read.select("id", "k", "g").join(few.select("id").distinct(), "id").distinct(), "similar-named")
-    sets = materialize(shingle_sets(texts, named.select("k").distinct(), shingle), "similar-sets")
-    whole = few.join(named.join(sets, "k"), "id")
-    return whole.groupBy(*key).agg(F.collect_list(F.struct("k", "g", "x")).alias("x")).select("x").mapInArrow(_similar_in_list(similarity), "a binary, b binary")
+    read = texts.mapInArrow(prefixes, PREFIX).join(roots, F.col("k") == roots.node, "left")
+    read = materialize(read.select("k", F.xxhash64("k").alias("id"), F.xxhash64(F.coalesce("root", "k")).alias("g"), "n", "h", "s"), "similar-prefixes")
+    posted = read.select("id", "g", F.explode("h").alias("h"))
+    # Lists of equal texts have equal counts and sums; a sum that overflows tells a list from all others.
+    sums = [F.coalesce(F.try_sum(F.shiftrightunsigned(x, 24)), F.col("h")).alias(name) for name, x in (("x", F.col("id")), ("y", F.xxhash64("id")))]
+    lists = posted.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("texts"), *sums).filter("lo <> hi")
+    lists = lists.groupBy("texts", "x", "y").agg(F.min("h").alias("h"))
+    lists = materialize(lists.select("h", F.ceil(F.col("texts") / BLOCK_TEXTS).alias("blocks")), "similar-lists")
+    dealt = in_blocks(posted.join(lists, "h"), F.col("blocks"), F.col("id")).select("h", "u", "v", "id", "g").join(read.select("id", "n", "s"), "id")
+    stars = dealt.groupBy("h", "u", "v").agg(F.collect_list(F.struct("id", "g", "n", "s")).alias("x")).select("x").mapInArrow(_candidate_stars(similarity), "a long, b long")
+    linked = components(stars, "similar-families")
+    family = linked.select(F.col("node").alias("id"), F.col("root").alias("f")).unionByName(linked.select(F.col("root").alias("id"), F.col("root").alias("f")).distinct())
+    members = materialize(read.select("id", "k", "g", "n").join(family, "id").dropDuplicates(["k"]), "similar-members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK_TEXTS), F.ceil(F.sum("n") / BLOCK_SHINGLES))
+    blocks = materialize(members.groupBy("f").agg(blocks.alias("blocks")), "similar-blocks")
+    sets = materialize(shingle_sets(texts, members.select("k"), shingle), "similar-sets")
+    whole = in_blocks(members.join(blocks, "f"), F.greatest("blocks", F.lit(1)), F.col("id")).select("f", "u", "v", "k", "g").join(sets, "k")
+    return whole.groupBy("f", "u", "v").agg(F.collect_list(F.struct("k", "g", "x")).alias("x")).select("x").mapInArrow(_similar_stars(similarity), "a binary, b binary")
