@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import periods as P
 from tidemark.operators import relational as R
 from tidemark.operators import temporal as T
-from tidemark.plans import generator, inspect
+from tidemark.plans import generator, inspect, layouts
 from tidemark.sources import files
 
 DAY = datetime(2020, 1, 1)
@@ -98,13 +98,22 @@ def test_a_keyed_overlap_join_has_no_nested_loop(spark, sf_dir):
     assert not any("NestedLoop" in k or "Cartesian" in k for k in inspect.operators(T.overlap_join(df, df, 1, ["attr"])))
 
 
-@pytest.mark.parametrize("layout", files.LAYOUTS)
-def test_layouts_keep_all_rows(spark, tmp_path, layout):
-    df = generator.generate(spark, 500)
-    files.write_layout(df, str(tmp_path / layout), layout, 3)
-    back = spark.read.parquet(str(tmp_path / layout)).select(*df.columns)
+@pytest.mark.parametrize("layout", layouts.LAYOUTS)
+def test_layouts_keep_all_rows_and_skip_some(spark, tmp_path, layout):
+    df = generator.generate(spark, 4000, "history_skew").unionByName(generator.generate(spark, 400, "long_tailed"))
+    path = str(tmp_path / layout)
+    layouts.write_layout(df, path, layout, 6)
+    back = layouts.read_layout(spark, path).select(*df.columns)
     assert back.exceptAll(df).isEmpty() and df.exceptAll(back).isEmpty()
-    assert files.layout_metrics(spark, str(tmp_path / layout)).first()["rows"] == 500
+    found = layouts.layout_metrics(spark, path).first()
+    assert found["rows"] == 4400 and found["bytes"] > 0 and found["current_rows"] == df.filter("hi IS NULL").count()
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in ("2030-01-01", "2030-01-05"))
+    attr = 10 if layout in ("btree", "gist_attr_period", "temporal_rtree") else None
+    got = layouts.overlapping(spark, path, layout, a, b, attr).select("id", "lo", "hi")
+    want = df.filter(P.range_overlaps("lo", "hi", a, b) if attr is None else P.box_overlaps("attr", "lo", "hi", F.lit(10), a, b)).select("id", "lo", "hi")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    scanned = layouts.rows_scanned(got)
+    assert scanned == 4400 if layout == "no_index" else scanned < 4000
 
 
 def test_copy_round_trip(spark, tmp_path):
@@ -116,7 +125,7 @@ def test_copy_round_trip(spark, tmp_path):
 
 
 def test_generator_is_independent_of_partitions(spark):
-    one = generator.generate(spark, 300, "long_tail")
+    one = generator.generate(spark, 300, "long_tailed")
     two = one.repartition(7)
     assert one.exceptAll(two).isEmpty()
 

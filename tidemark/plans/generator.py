@@ -4,41 +4,75 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DAY = 86_400
+START = "2023-01-01"
+DAYS = 10 * 365
+HOT_ATTRS = 10
 
 
 @dataclass(frozen=True)
 class Preset:
-    open_ratio: float = 0.3
-    width: str = "medium"
-    attrs: str = "uniform"
-    hot_share: float = 0.0
+    open_ratio: float
+    width: str
+    attrs: str
+    order: str
+    hot_current: float = 0.0
 
 
-#: Named mixes of open-ended rows, period widths and attribute skew.
+#: The presets' names, shares of open-ended rows, width modes, attribute modes, orders and hot shares.
 PRESETS = {
-    "balanced": Preset(),
-    "current_heavy": Preset(open_ratio=0.8),
-    "history_heavy": Preset(open_ratio=0.05),
-    "short_periods": Preset(width="short"),
-    "long_tail": Preset(width="long_tail"),
-    "hot_attr": Preset(attrs="hot", hot_share=0.5),
+    "history_skew": Preset(0.30, "short", "uniform", "chronological"),
+    "current_skew": Preset(0.80, "short", "uniform", "mixed"),
+    "balanced": Preset(0.50, "medium", "uniform", "chronological"),
+    "long_tailed": Preset(0.30, "long_tailed", "uniform", "mixed"),
+    "zipf_uniform": Preset(0.50, "medium", "zipf", "chronological"),
+    "zipf_hotcurrent": Preset(0.70, "medium", "zipf", "mixed", 0.15),
 }
 
+#: Fixed values: (share of rows up to which it holds, least hours, most hours) by width mode.
+WIDTHS = {
+    "short": [(1.0, 1, 24)],
+    "medium": [(1.0, 24, 365 * 24)],
+    "long_tailed": [(0.70, 1, 72), (0.95, 72, 30 * 24), (1.0, 30 * 24, 5 * 365 * 24)],
+}
+
+
+def unit(seed: int, use: int) -> Column:
+    """A number in [0, 1) for row `id`: the first 32 bits of an MD5, so any engine can recompute it."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(use)), F.col("id").cast("string")).cast("binary"))
+    return F.conv(F.substring(digest, 1, 8), 16, 10).cast("long") / 4294967296.0
+
+
+def between(u: Column, least: int, most: int) -> Column:
+    return (F.floor(u * (most - least + 1)) + least).cast("int")
+
+
+def generate(spark: SparkSession, rows: int, preset: str = "balanced", seed: int = 42) -> DataFrame:
+    """(id, attr, lo, hi, payload); the same rows for the same arguments, whatever the partitions.
 
-def generate(spark: SparkSession, rows: int, preset: str = "balanced", seed: int = 42, start: str = "2015-01-01", years: int = 10) -> DataFrame:
-    """(id, attr 1..100, lo, hi, payload); the same rows for the same arguments, whatever the partitions."""
+    lo walks through ten years by whole days with the row's position: its own, from the end, or any.
+    Zipf attributes are a rank from 1 to 100 to the power -1.5 without its fraction (1 or 0), except that
+    a share of open-ended rows gets one of ten hot values, the ith with weight 1 / i.
+    """
     p = PRESETS[preset]
-    unit = lambda k: (F.pmod(F.xxhash64(F.col("id"), F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30))
-    uniform = F.floor(unit(1) * 100).cast("int") + 1
-    attr = F.when(unit(2) < p.hot_share, F.lit(1)).otherwise(uniform) if p.attrs == "hot" else uniform
-    short, medium, long = unit(3) * 23 * 3600 + 3600, (unit(3) * 364 + 1) * DAY, (unit(3) * 9 + 1) * 365 * DAY
-    width = {"short": short, "medium": medium, "long_tail": F.when(unit(4) < 0.7, short).when(unit(4) < 0.95, medium).otherwise(long)}[p.width]
-    base = F.unix_timestamp(F.lit(f"{start} 00:00:00"))
-    lo = F.timestamp_seconds(base + F.floor(unit(5) * years * 365 * DAY)).cast("timestamp_ntz")
-    df = spark.range(1, rows + 1).withColumn("attr", attr).withColumn("lo", lo).withColumn("w", F.floor(width).cast("int"))
-    hi = F.when(unit(6) >= p.open_ratio, F.expr("lo + make_dt_interval(0, 0, 0, w)"))
-    return df.withColumn("hi", hi).select("id", "attr", "lo", "hi", F.concat(F.lit("row-"), F.col("id").cast("string")).alias("payload"))
+    u = lambda use: unit(seed, use)
+    position = {"chronological": F.col("id") - 1, "reverse": rows - F.col("id"), "mixed": F.floor(u(1) * rows)}[p.order]
+    current = u(2) < p.open_ratio
+    hours = None
+    for share, least, most in reversed(WIDTHS[p.width]):
+        drawn = between(u(4), least, most)
+        hours = drawn if hours is None else F.when(u(3) < share, drawn).otherwise(hours)
+    if p.attrs == "uniform":
+        attr = between(u(5), 1, 100)
+    else:
+        weights = [sum(1 / i for i in range(1, n + 1)) for n in range(1, HOT_ATTRS + 1)]
+        hot = F.lit(HOT_ATTRS)
+        for i in range(HOT_ATTRS - 1, 0, -1):
+            hot = F.when(u(7) * weights[-1] < weights[i - 1], i).otherwise(hot)
+        attr = F.when(current & (u(6) < p.hot_current), hot).otherwise(F.floor(F.pow(between(u(5), 1, 100).cast("double"), F.lit(-1.5))).cast("int"))
+    start = F.lit(START).cast("timestamp_ntz")
+    lo = start + F.make_dt_interval(F.pmod(position, F.lit(DAYS)).cast("int"))
+    df = spark.range(1, rows + 1).select("id", attr.alias("attr"), lo.alias("lo"), current.alias("current"), hours.alias("hours"), F.concat(F.lit("payload_"), (F.col("id") - 1).cast("string")).alias("payload"))
+    return df.select("id", "attr", "lo", F.when(~F.col("current"), F.col("lo") + F.make_dt_interval(F.lit(0), F.col("hours"))).alias("hi"), "payload")

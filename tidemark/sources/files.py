@@ -26,30 +26,3 @@ def copy_to(df: DataFrame, path: str, fmt: str = "csv", delimiter: str = ",", he
 def jdbc(spark: SparkSession, url: str, query: str, **options: str) -> DataFrame:
     """A remote query through JDBC; filters, projections, aggregates and limits are pushed down."""
     return spark.read.format("jdbc").options(url=url, query=query, pushDownPredicate="true", pushDownAggregate="true", pushDownLimit="true", **options).load()
-
-
-#: Physical designs for a table of periods, by what a query can prune.
-LAYOUTS = ("raw", "by_attr_lo", "by_lo", "current_history", "hybrid")
-
-
-def write_layout(df: DataFrame, path: str, layout: str, partitions: int = 8) -> None:
-    """Write a table of periods so that row-group statistics or folders prune what queries skip."""
-    if layout == "raw":
-        out = df.write
-    elif layout == "by_attr_lo":
-        out = df.repartitionByRange(partitions, "attr", "lo").sortWithinPartitions("attr", "lo").write
-    elif layout == "by_lo":
-        out = df.repartitionByRange(partitions, "lo").sortWithinPartitions("lo").write
-    elif layout == "current_history":
-        out = df.withColumn("is_current", F.col("hi").isNull()).write.partitionBy("is_current")
-    elif layout == "hybrid":
-        rows = df.withColumn("is_current", F.col("hi").isNull())
-        out = rows.repartitionByRange(partitions, "is_current", "attr", "lo").sortWithinPartitions("is_current", "attr", "lo").write.partitionBy("is_current")
-    else:
-        raise ValueError(f"unknown layout {layout}")
-    out.mode("overwrite").option("parquet.bloom.filter.enabled#attr", "true").parquet(path)
-
-
-def layout_metrics(spark: SparkSession, path: str) -> DataFrame:
-    """(files, rows) of a written layout."""
-    return spark.read.parquet(path).select(F.col("_metadata.file_path").alias("f")).groupBy("f").agg(F.count("*").alias("n")).agg(F.count("*").alias("files"), F.sum("n").alias("rows"))
