@@ -124,6 +124,7 @@ def portions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = max(1, b.num_rows * PORTION_BYTES // max(b.nbytes, 1))
         for i in range(0, b.num_rows, step):
             yield b.slice(i, step)
+        pa.default_memory_pool().release_unused()
 
 
 def binary_values(column: pa.Array) -> list[bytes]:

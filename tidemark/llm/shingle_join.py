@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from .common import binary_values, in_blocks, materialize, portions
 from .components import components
-from .windows import Words, gram_hashes
+from .windows import Words, distinct, gram_hashes
 
 #: Shingles found in that many prefixes or more count as common; so many of them, the most frequent, go last.
 COMMON_FROM, COMMON = 16, 1 << 20
@@ -44,12 +44,12 @@ STRIP = 4096
 
 def word_sets(values: list[bytes], shingle: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """Of every text its distinct shingles and its distinct words, as sorted 64-bit hashes."""
-    for _, counts, (words, _) in Words.units([v.lower() for v in values]):
+    for _, counts, (words,) in Words.units([v.lower() for v in values], 1):
         grams = gram_hashes(words, shingle)
         at = 0
         for n in counts.tolist():
             own = words[at : at + n]
-            yield np.unique(grams[at : at + n - shingle + 1] if n >= shingle else gram_hashes(own, n) if n else own), np.unique(own)
+            yield distinct(grams[at : at + n - shingle + 1] if n >= shingle else gram_hashes(own, n) if n else own), distinct(own)
             at += n
 
 

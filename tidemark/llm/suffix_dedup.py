@@ -223,28 +223,34 @@ def suffix_spans(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     return sorted_.mapInArrow(_sorted_buckets(width), SPAN)
 
 
-def _without_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in portions(batches):
-        kept, n, removed, count = [], [], [], []
-        for text, x in zip(binary_values(b.column("t")), b.column("x").to_pylist(), strict=True):
-            spans = merged(x or [])
-            parts, at = [], 0
-            for s, e in spans:
-                parts.append(text[at:s])
-                at = e
-            parts.append(text[at:])
-            left = b"".join(parts)
-            kept.append(left)
-            n.append(len(text))
-            removed.append(len(text) - len(left))
-            count.append(len(spans))
-        yield pa.RecordBatch.from_arrays(
-            [b.column("row"), pa.array(kept, pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())], names=["row", "kept", "n_bytes", "n_removed", "n_spans"]
-        )
+def _without_bytes(whole: bool):
+    """Kept bytes and counts; whole: as text, without what is left of a character that was cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in portions(batches):
+            kept, n, removed, count = [], [], [], []
+            for text, x in zip(binary_values(b.column("t")), b.column("x").to_pylist(), strict=True):
+                spans = merged(x or [])
+                parts, at = [], 0
+                for s, e in spans:
+                    parts.append(text[at:s])
+                    at = e
+                parts.append(text[at:])
+                left = b"".join(parts)
+                kept.append(left.decode("utf-8", "ignore") if whole else left)
+                n.append(len(text))
+                removed.append(len(text) - len(left))
+                count.append(len(spans))
+            yield pa.RecordBatch.from_arrays(
+                [b.column("row"), pa.array(kept, pa.string() if whole else pa.binary()), pa.array(n, pa.int64()), pa.array(removed, pa.int64()), pa.array(count, pa.int64())],
+                names=["row", "kept", "n_bytes", "n_removed", "n_spans"],
+            )
+
+    return run
 
 
-def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, bucket_rows: int = 4096) -> DataFrame:
-    """docs with `kept` (binary) and n_bytes, n_removed, n_spans: repeated strings of `width` bytes removed."""
+def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, bucket_rows: int = 4096, whole: bool = False) -> DataFrame:
+    """docs with `kept` (binary; with `whole` a string of whole characters) and n_bytes, n_removed, n_spans: repeated strings of `width` bytes removed."""
     texts = keyed(small_batches(docs), text_col)
     entries = anchor_entries(run_rows(texts, Bytes, width)).filter("n > 1")
     repeated = materialize(entries.select("a", (F.col("c_min") == F.col("c_max")).alias("uniform")), "suffix-repeated")
@@ -257,22 +263,15 @@ def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, buck
     rest = others(docs, "kept", "n_bytes", "n_removed", "n_spans")
     rows = docs.select(carried(docs, rest).alias("row"), text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
     out = rows.join(by_text, "k", "left").select("row", "t", "x")
-    made = out.mapInArrow(_without_bytes, schema_of(out, ["row"], "kept binary, n_bytes long, n_removed long, n_spans long"))
+    made = out.mapInArrow(_without_bytes(whole), schema_of(out, ["row"], f"kept {'string' if whole else 'binary'}, n_bytes long, n_removed long, n_spans long"))
     return made.select(*uncarried("row", rest), "kept", "n_bytes", "n_removed", "n_spans")
 
 
-def _whole_characters(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in portions(batches):
-        text = [x.decode("utf-8", "ignore") for x in b.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array(text, pa.string())], names=["row", "text"])
-
-
 def without_repeats(docs: DataFrame, text_col: str = "text", width: int = 400) -> DataFrame:
     """docs with repeated strings of `width` bytes removed from their texts."""
     rest = others(docs, text_col)
-    out = suffix_dedup(docs, text_col, width).select(carried(docs, rest).alias("row"), "kept")
-    made = out.mapInArrow(_whole_characters, schema_of(out, ["row"], "text string"))
-    return made.select(*uncarried("row", rest), F.col("text").alias(text_col))
+    out = suffix_dedup(docs.select(carried(docs, rest).alias("row"), col(text_col).alias("t")), "t", width, whole=True)
+    return out.select(*uncarried("row", rest), F.col("kept").alias(text_col))
 
 
 def digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 400) -> DataFrame:

@@ -22,8 +22,8 @@ import numpy as np
 
 from .common import mix64, slices
 
-#: Units worked through at once.
-SLICE = 1_000_000
+#: Units worked through at once; a worker's arrays are a few times that many words of 8 bytes.
+SLICE = 250_000
 _U = np.uint64
 _BASE = _U(0x9E3779B97F4A7C15)
 _INVERSE = _U(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -88,26 +88,30 @@ def least_in(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(out[: len(out) - rest], out[rest:]) if rest else out
 
 
-def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Two independent hashes of every word of data, and where each starts."""
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The distinct values of x, sorted."""
+    y = np.sort(x)
+    return y[np.concatenate([[True], y[1:] != y[:-1]])] if len(y) else y
+
+
+def word_hashes(data: bytes, hashes: int = 2) -> tuple[tuple[np.ndarray, ...], np.ndarray]:
+    """Independent hashes of every word of data, and where each starts."""
     raw = np.frombuffer(data, np.uint8)
     space = np.concatenate([[True], _IS_SPACE[raw], [True]])
     edge = np.flatnonzero(space[1:] != space[:-1])
     start, end = edge[::2], edge[1::2]
-    return segment_hashes(_TABLES[0][raw], start, end), segment_hashes(_TABLES[1][raw], start, end), start
+    return tuple(segment_hashes(_TABLES[i][raw], start, end) for i in range(hashes)), start
 
 
-def _long_words(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    a, b, at = [], [], 0
+def _long_words(data: bytes, hashes: int) -> tuple[np.ndarray, ...]:
+    found, at = [], 0
     while at < len(data):
         end = at + SLICE
         while end < len(data) and not _IS_SPACE[data[end]]:
             end += 1
-        one, two, _ = word_hashes(data[at:end])
-        a.append(one)
-        b.append(two)
+        found.append(word_hashes(data[at:end], hashes)[0])
         at = end
-    return np.concatenate(a), np.concatenate(b)
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))
 
 
 class Words:
@@ -116,17 +120,17 @@ class Words:
     gram = 8
 
     @staticmethod
-    def units(values: list[bytes]) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
+    def units(values: list[bytes], hashes: int = 2) -> Iterator[tuple[int, np.ndarray, tuple[np.ndarray, ...]]]:
         """(first text, unit counts of the texts, values of their units), slice by slice."""
         for i, j in slices(values, SLICE):
             if j == i + 1 and len(values[i]) > SLICE:
-                a, b = _long_words(values[i])
-                yield i, np.array([len(a)]), (a, b)
+                found = _long_words(values[i], hashes)
+                yield i, np.array([len(found[0])]), found
                 continue
             part = values[i:j]
-            a, b, start = word_hashes(b" ".join(part))
+            found, start = word_hashes(b" ".join(part), hashes)
             begins = np.cumsum([0] + [len(v) + 1 for v in part])
-            yield i, np.diff(np.searchsorted(start, begins)), (a, b)
+            yield i, np.diff(np.searchsorted(start, begins)), found
 
     @staticmethod
     def grams(unit: tuple[np.ndarray, ...], size: int) -> np.ndarray:
