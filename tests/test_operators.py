@@ -137,3 +137,28 @@ def test_connect_by_follows_deep_chains_and_refuses_cycles(spark):
     ring = spark.createDataFrame([(1, 3), (2, 1), (3, 2)], "id long, up long")
     with pytest.raises(ValueError):
         R.connect_by(ring, "id", "up", F.col("id") == 1)
+
+
+def test_merge_refuses_to_change_a_row_twice(spark):
+    target = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c")], "k int, v string")
+    source = spark.createDataFrame([(1, "x"), (1, "y"), (3, "z"), (None, "n")], "k int, v string")
+    with pytest.raises(ValueError):
+        R.merge(target, source, ["k"], [(None, {"v": F.col("s.v")})])
+    one = R.merge(target, source, ["k"], [(F.col("s.v") == "y", {"v": F.col("s.v")}), (None, "nothing")], [(None, {})])
+    assert sorted((r["action"], r["k"] or 0, r["v"]) for r in one.collect()) == [("insert", 0, "n"), ("insert", 3, "z"), ("keep", 0, "c"), ("keep", 2, "b"), ("update", 1, "y")]
+    kept = R.merge(target, source, ["k"], [(None, "nothing")])
+    assert sorted(r["v"] for r in kept.collect()) == ["a", "b", "c"]
+
+
+def test_on_conflict(spark):
+    target = spark.createDataFrame([(1, "a"), (None, "c")], "k int, v string")
+    new = spark.createDataFrame([(1, "x"), (2, "y"), (2, "z"), (None, "n")], "k int, v string")
+    assert sorted((r["k"] or 0, r["v"]) for r in R.after(R.insert_on_conflict(target, new, ["k"])).collect()) == [(0, "c"), (0, "n"), (1, "a"), (2, "y")]
+    with pytest.raises(ValueError):
+        R.insert_on_conflict(target, new, ["k"], {"v": F.col("s.v")})
+
+
+def test_top_with_ties_keeps_peers_and_nulls(spark):
+    df = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, None), (5, None)], "id int, v int")
+    assert sorted(r["id"] for r in R.top_with_ties(df, 1, [(F.col("v"), "desc")]).collect()) == [1, 2]
+    assert sorted(r["id"] for r in R.top_with_ties(df, 1, [(F.col("v"), "asc_nulls_first")]).collect()) == [4, 5]

@@ -12,25 +12,20 @@ def distinct_on(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
 
 
-def with_ties(df: DataFrame, n: int, order: list[Column], by: list[str] | None = None) -> DataFrame:
-    """FETCH FIRST n ROWS WITH TIES, overall or per key.
+def with_ties(df: DataFrame, n: int, order: list[Column], by: list[str]) -> DataFrame:
+    """FETCH FIRST n ROWS WITH TIES per key."""
+    w = Window.partitionBy(*by).orderBy(*order)
+    return df.withColumn("__r", F.rank().over(w)).filter(F.col("__r") <= n).drop("__r")
 
-    Overall, the nth row is found by a bounded top-n and its peers by a semi-join
-    on the ordering values, so no global sort or single-task window is needed.
-    """
-    if by:
-        w = Window.partitionBy(*by).orderBy(*order)
-        return df.withColumn("__r", F.rank().over(w)).filter(F.col("__r") <= n).drop("__r")
-    names = [f"__o{i}" for i in range(len(order))]
-    keyed = df.select("*", *[F.struct(_bare(o)).alias(k) for o, k in zip(order, names, strict=True)])
-    top = df.orderBy(*order).limit(n).select(*[F.struct(_bare(o)).alias(k) for o, k in zip(order, names, strict=True)]).distinct()
-    return keyed.join(top, names, "left_semi").drop(*names)
 
+def top_with_ties(df: DataFrame, n: int, order: list[tuple[Column, str]]) -> DataFrame:
+    """FETCH FIRST n ROWS WITH TIES overall; order is of (expression, "asc", "desc", or these with "_nulls_first" or "_nulls_last").
 
-def _bare(o: Column) -> Column:
-    """A sort column without its direction."""
-    plan = o._jc.toString() if hasattr(o, "_jc") else str(o)
-    return F.expr(plan.split(" ASC")[0].split(" DESC")[0])
+    The nth row is found by a bounded top-n and its peers by a null-safe semi-join on the ordering values.
+    """
+    values = F.struct(*[x.alias(f"o{i}") for i, (x, _) in enumerate(order)])
+    top = df.orderBy(*[getattr(x, way)() for x, way in order]).limit(n).select(values.alias("__top")).distinct()
+    return df.withColumn("__own", values).join(top, F.col("__own").eqNullSafe(F.col("__top")), "left_semi").drop("__own")
 
 
 def not_in(df: DataFrame, column: str, other: DataFrame, other_column: str) -> DataFrame:
@@ -71,36 +66,120 @@ def hypothetical_rank(df: DataFrame, by: list[str], order: str, value: Column) -
     )
 
 
+Clause = tuple[Column | None, "str | dict[str, Column]"]
+
+
+def merge(
+    target: DataFrame,
+    source: DataFrame,
+    on: list[str],
+    matched: list[Clause] = (),
+    not_matched: list[Clause] = (),
+    not_matched_by_source: list[Clause] = (),
+) -> DataFrame:
+    """MERGE as copy on write: (action, columns of target), a row for each of the target's and each inserted one.
+
+    A clause is a condition (None: always) and what to do: "delete", "nothing", or new values by column; the
+    first clause whose condition holds counts. Conditions and values see the sides as t.* and s.*. An insert
+    takes columns it isn't given from the source's of the same name, or null. action is insert, update,
+    delete (with the old values) or keep. A target row that two source rows would change raises ValueError.
+    """
+    t = target.select(F.struct(*target.columns).alias("t"), F.monotonically_increasing_id().alias("__row"))
+    s = source.select(F.struct(*source.columns).alias("s"))
+    how = "full" if not_matched else "left"
+    both = t.join(s, [F.col(f"t.{k}") == F.col(f"s.{k}") for k in on], how)
+    there = {"matched": F.col("t").isNotNull() & F.col("s").isNotNull(), "new": F.col("t").isNull(), "old": F.col("s").isNull()}
+    clauses = [(there[side], c, what) for side, given in (("matched", matched), ("new", not_matched), ("old", not_matched_by_source)) for c, what in given]
+    which = F.lit(-1)
+    for i in range(len(clauses) - 1, -1, -1):
+        side, condition, _ = clauses[i]
+        holds = side if condition is None else side & F.coalesce(condition, F.lit(False))
+        which = F.when(holds, i).otherwise(which)
+    both = both.withColumn("__which", which)
+    action, values = F.when(F.col("t").isNull(), "nothing").otherwise("keep"), {c: F.col(f"t.{c}") for c in target.columns}
+    for i, (side, _, what) in enumerate(clauses):
+        chosen, inserts = F.col("__which") == i, side is there["new"]
+        if what == "nothing":
+            continue
+        action = F.when(chosen, "delete" if what == "delete" else "insert" if inserts else "update").otherwise(action)
+        if what != "delete":
+            for c in target.columns:
+                given = what.get(c, (F.col(f"s.{c}") if c in source.columns else F.lit(None)) if inserts else None)
+                if given is not None:
+                    values[c] = F.when(chosen, given).otherwise(values[c])
+    both = both.withColumn("__action", action).filter("__action <> 'nothing'")
+    acted = F.count_if(F.col("__action").isin("update", "delete"))
+    several = both.filter("__row IS NOT NULL").groupBy("__row").agg(F.count("*").alias("n"), acted.alias("acted")).filter("n > 1").agg(F.count("*").alias("rows"), F.max("acted").alias("acted")).first()
+    if (several["acted"] or 0) > 1:
+        raise ValueError("a row of the target would be changed a second time")
+    if several["rows"]:
+        # Several source rows met one row of the target: what changes it counts, else one of them.
+        w = Window.partitionBy("__row").orderBy(F.col("__action") == "keep")
+        both = both.withColumn("__n", F.row_number().over(w)).filter("__row IS NULL OR __n = 1")
+    return both.select(F.col("__action").alias("action"), *[v.cast(target.schema[c].dataType).alias(c) for c, v in values.items()])
+
+
+def after(changes: DataFrame) -> DataFrame:
+    """The table that merge() leaves."""
+    return changes.filter("action <> 'delete'").drop("action")
+
+
 def merge_into(target: DataFrame, source: DataFrame, on: list[str], update: dict[str, Column], insert: bool = True, delete: Column | None = None) -> DataFrame:
-    """MERGE as copy on write: matched rows are updated or deleted, others of source inserted.
+    """The table after MERGE: matched rows are deleted or updated, others of source inserted. Conditions and values see t.* and s.*."""
+    matched: list[Clause] = [(delete, "delete")] if delete is not None else []
+    return after(merge(target, source, on, [*matched, (None, update or "nothing")], [(None, {})] if insert else []))
+
 
-    Columns of the sides in `update` and `delete` are t.* and s.*.
+def insert_on_conflict(target: DataFrame, rows: DataFrame, on: list[str], update: dict[str, Column] | None = None) -> DataFrame:
+    """INSERT ... ON CONFLICT (on): changes as of merge(). Without `update` conflicting rows are left out.
+
+    Rows with a null in `on` never conflict. Of new rows that conflict with each other one stays without
+    `update`; with it they raise ValueError, as they would change a row a second time.
     """
-    t, s = target.withColumn("__t", F.lit(True)).alias("t"), source.withColumn("__s", F.lit(True)).alias("s")
-    cond = [F.col(f"t.{k}").eqNullSafe(F.col(f"s.{k}")) for k in on]
-    both = t.join(s, cond, "full")
-    matched = F.col("t.__t").isNotNull() & F.col("s.__s").isNotNull()
-    if delete is not None:
-        both = both.filter(~F.coalesce(matched & delete, F.lit(False)))
-    if not insert:
-        both = both.filter("t.__t IS NOT NULL")
-    cols = []
-    for c in target.columns:
-        new = F.col(f"s.{c}") if c in source.columns else F.lit(None)
-        value = F.when(matched, update[c]).when(F.col("t.__t").isNull(), new).otherwise(F.col(f"t.{c}")) if c in update else F.when(F.col("t.__t").isNull(), new).otherwise(F.col(f"t.{c}"))
-        cols.append(value.cast(target.schema[c].dataType).alias(c))
-    return both.select(*cols)
-
-
-def recursive_distinct(seed: DataFrame, step, max_rounds: int = 100) -> DataFrame:
-    """WITH RECURSIVE ... UNION (distinct): only rows not seen before feed the next round.
-
-    step(frontier) gives the rows that follow; rounds are checkpointed where a folder is set.
+    nulls = F.lit(False)
+    for k in on:
+        nulls = nulls | F.col(k).isNull()
+    keyed = rows.filter(~nulls)
+    if update is None:
+        w = Window.partitionBy(*on).orderBy(*[c for c in rows.columns if c not in on] or on)
+        keyed = keyed.withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
+    elif not keyed.groupBy(*on).agg(F.count("*").alias("n")).filter("n > 1").isEmpty():
+        raise ValueError("a row of the target would be changed a second time")
+    changes = merge(target, keyed, on, [(None, update or "nothing")], [(None, {})])
+    free = [F.lit("insert").alias("action"), *[F.col(c) if c in rows.columns else F.lit(None).cast(target.schema[c].dataType).alias(c) for c in target.columns]]
+    return changes.unionByName(rows.filter(nulls).select(*free))
+
+
+def update_from(target: DataFrame, source: DataFrame, on: list[str], update: dict[str, Column], where: Column | None = None) -> DataFrame:
+    """UPDATE ... FROM: changes as of merge(); one of several matching source rows counts."""
+    one = source.dropDuplicates(on)
+    return merge(target, one, on, [(where, update)])
+
+
+def delete_using(target: DataFrame, source: DataFrame, on: list[str], where: Column | None = None) -> DataFrame:
+    """DELETE ... USING: changes as of merge(); action delete is what RETURNING gives."""
+    one = source.dropDuplicates(on)
+    return merge(target, one, on, [(where, "delete")])
+
+
+def moved(target: DataFrame, into: DataFrame, which: Column) -> tuple[DataFrame, DataFrame]:
+    """WITH gone AS (DELETE ... RETURNING *) INSERT INTO ... SELECT * FROM gone: both tables afterwards."""
+    hit = F.coalesce(which, F.lit(False))
+    return target.filter(~hit), into.unionByName(target.filter(hit).select(*into.columns))
+
+
+def recursive_distinct(seed: DataFrame, step, max_rounds: int | None = None) -> DataFrame:
+    """WITH RECURSIVE ... UNION (distinct): only rows not seen before feed the next round, until none is new.
+
+    step(frontier) gives the rows that follow; rounds are checkpointed where a folder is set. A limit on
+    rounds is off by default and raises when it is reached.
     """
     spark = seed.sparkSession
     keep = (lambda d: d.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda d: d.persist())
     found = frontier = keep(seed.distinct())
-    for _ in range(max_rounds):
+    done = 0
+    while max_rounds is None or done < max_rounds:
+        done += 1
         frontier = keep(step(frontier).select(*seed.columns).distinct().exceptAll(found.select(*seed.columns)).distinct())
         if frontier.isEmpty():
             return found
@@ -130,9 +209,9 @@ def connect_by(df: DataFrame, key: str, parent: str, start: Column, max_depth: i
     return out.drop("__path")
 
 
-def crosstab(df: DataFrame, row: str, category: str, value: str, categories: list) -> DataFrame:
-    """crosstab(sql, categories): one row per name, a column per category, the first value of each."""
-    return df.groupBy(row).pivot(category, categories).agg(F.min(value))
+def crosstab(df: DataFrame, row: str, category: str, value: str, categories: list, order: str | None = None) -> DataFrame:
+    """crosstab(sql, categories): one row per name, a column per category, the last value of each by `order` (without it, the largest)."""
+    return df.groupBy(row).pivot(category, categories).agg(F.max_by(value, order) if order else F.max(value))
 
 
 def rows_from(*arrays: Column) -> Column:

@@ -81,7 +81,7 @@ frame(
 # Distinct, order, limit.
 same("d_distinct", "SELECT DISTINCT o_orderstatus, o_orderpriority FROM orders")
 frame("d_distinct_on", lambda s, d: R.distinct_on(read(s, d, "orders"), ["o_custkey"], [F.col("o_totalprice").desc(), F.col("o_orderkey")]).select("o_custkey", "o_orderkey"), "SELECT DISTINCT ON (o_custkey) o_custkey, o_orderkey FROM orders ORDER BY o_custkey, o_totalprice DESC, o_orderkey")
-frame("l_with_ties", lambda s, d: R.with_ties(read(s, d, "part"), 5, [F.col("p_size").desc()]).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) z WHERE r <= 5")
+frame("l_with_ties", lambda s, d: R.top_with_ties(read(s, d, "part"), 5, [(F.col("p_size"), "desc")]).select("p_partkey", "p_size"), "SELECT p_partkey, p_size FROM (SELECT *, rank() OVER (ORDER BY p_size DESC) AS r FROM part) z WHERE r <= 5")
 frame("l_with_ties_per_key", lambda s, d: R.with_ties(read(s, d, "orders"), 1, [F.col("o_orderdate").desc()], ["o_custkey"]).select("o_custkey", "o_orderkey"), "SELECT o_custkey, o_orderkey FROM (SELECT *, rank() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC) AS r FROM orders) z WHERE r = 1")
 same("l_top_n", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 25")
 same("l_offset", "SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 1000")
@@ -89,8 +89,21 @@ same("l_nulls_order", "SELECT id, hi FROM orders_valid ORDER BY hi ASC NULLS FIR
 same("l_order_by_expr", "SELECT c_custkey FROM customer ORDER BY abs(c_acctbal) DESC NULLS LAST, 1 LIMIT 30")
 
 # Modifying statements, copy on write.
-same("m_update_from", "SELECT c_custkey, CASE WHEN n_name IS NOT NULL THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) n ON c_nationkey = n_nationkey")
-same("m_delete_using", "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)")
+frame(
+    "m_update_from",
+    lambda s, d: R.after(R.update_from(read(s, d, "customer").select("c_custkey", "c_nationkey", "c_acctbal"), read(s, d, "nation").filter("n_regionkey = 1").withColumnRenamed("n_nationkey", "c_nationkey"), ["c_nationkey"], {"c_acctbal": F.col("t.c_acctbal") + 10})).drop("c_nationkey"),
+    "SELECT c_custkey, CASE WHEN n_name IS NOT NULL THEN c_acctbal + 10 ELSE c_acctbal END AS c_acctbal FROM customer LEFT JOIN (SELECT * FROM nation WHERE n_regionkey = 1) n ON c_nationkey = n_nationkey",
+)
+frame(
+    "m_delete_using",
+    lambda s, d: R.after(R.delete_using(read(s, d, "orders").select("o_orderkey", "o_custkey"), read(s, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"], F.col("s.c_acctbal") < 0)).select("o_orderkey"),
+    "SELECT o_orderkey FROM orders WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = o_custkey AND c_acctbal < 0)",
+)
+frame(
+    "m_delete_returning",
+    lambda s, d: R.delete_using(read(s, d, "orders").select("o_orderkey", "o_custkey"), read(s, d, "customer").withColumnRenamed("c_custkey", "o_custkey"), ["o_custkey"], F.col("s.c_acctbal") < 0).filter("action = 'delete'").select("o_orderkey", "o_custkey"),
+    "SELECT o_orderkey, o_custkey FROM orders JOIN customer ON c_custkey = o_custkey WHERE c_acctbal < 0",
+)
 
 
 def merge(s, d):
@@ -110,6 +123,47 @@ frame(
     "SELECT * FROM nation UNION ALL SELECT n_nationkey + 10, lower(n_name), n_regionkey FROM nation WHERE n_nationkey + 10 NOT IN (SELECT n_nationkey FROM nation)",
 )
 
+
+def upserted(s, d):
+    """INSERT ... ON CONFLICT DO UPDATE."""
+    new = read(s, d, "nation").select((F.col("n_nationkey") + 10).alias("n_nationkey"), F.lower("n_name").alias("n_name"), "n_regionkey")
+    return R.after(R.insert_on_conflict(read(s, d, "nation"), new, ["n_nationkey"], {"n_name": F.concat("t.n_name", F.lit("/"), "s.n_name")}))
+
+
+frame(
+    "m_on_conflict_do_update",
+    upserted,
+    "SELECT coalesce(a.n_nationkey, b.n_nationkey + 10) AS n_nationkey, CASE WHEN b.n_name IS NULL THEN a.n_name WHEN a.n_name IS NULL THEN lower(b.n_name) ELSE a.n_name || '/' || lower(b.n_name) END AS n_name, coalesce(a.n_regionkey, b.n_regionkey) AS n_regionkey FROM nation a FULL JOIN nation b ON a.n_nationkey = b.n_nationkey + 10",
+)
+
+
+def merged_actions(s, d):
+    """MERGE ... RETURNING merge_action(), with clauses by source too."""
+    target = read(s, d, "customer").select("c_custkey", "c_acctbal")
+    source = read(s, d, "supplier").select((F.col("s_suppkey") * 30).alias("c_custkey"), F.col("s_acctbal").alias("b"))
+    changes = R.merge(
+        target, source, ["c_custkey"],
+        matched=[(F.col("s.b") < 0, "delete"), (F.col("t.c_acctbal") > 5000, "nothing"), (None, {"c_acctbal": F.col("s.b")})],
+        not_matched=[(F.col("s.b") > 0, {"c_acctbal": F.col("s.b")})],
+        not_matched_by_source=[(F.col("t.c_acctbal") < 0, {"c_acctbal": F.lit(0.0)})],
+    )
+    return changes
+
+
+frame(
+    "m_merge_actions",
+    merged_actions,
+    """WITH s AS (SELECT s_suppkey * 30 AS k, s_acctbal AS b FROM supplier)
+    SELECT CASE WHEN k IS NULL AND c_acctbal < 0 THEN 'update' WHEN k IS NULL THEN 'keep' WHEN c_custkey IS NULL THEN 'insert' WHEN b < 0 THEN 'delete' WHEN c_acctbal > 5000 THEN 'keep' ELSE 'update' END AS action,
+      coalesce(c_custkey, k) AS c_custkey, CASE WHEN k IS NULL THEN greatest(c_acctbal, 0) WHEN c_custkey IS NULL THEN b WHEN b < 0 OR c_acctbal > 5000 THEN c_acctbal ELSE b END AS c_acctbal
+    FROM customer FULL JOIN s ON c_custkey = k WHERE c_custkey IS NOT NULL OR b > 0""",
+)
+frame(
+    "m_moved",
+    lambda s, d: (lambda x: x[0].withColumn("side", F.lit("old")).unionByName(x[1].withColumn("side", F.lit("new"))))(R.moved(read(s, d, "orders").select("o_orderkey", "o_orderstatus"), read(s, d, "orders").select("o_orderkey", "o_orderstatus").filter("false"), F.col("o_orderstatus") == "F")),
+    "SELECT o_orderkey, o_orderstatus, CASE WHEN o_orderstatus = 'F' THEN 'new' ELSE 'old' END AS side FROM orders",
+)
+
 # Table functions and sampling.
 pair("tf_generate_series", "SELECT explode(sequence(1, 20, 3)) AS n", "SELECT n::INT AS n FROM generate_series(1, 20, 3) t(n)")
 pair("tf_generate_series_time", "SELECT explode(sequence(TIMESTAMP_NTZ'2020-01-01', TIMESTAMP_NTZ'2020-01-03', INTERVAL 6 HOURS)) AS t", "SELECT t FROM generate_series(TIMESTAMP '2020-01-01', TIMESTAMP '2020-01-03', INTERVAL 6 HOURS) z(t)")
@@ -118,5 +172,9 @@ pair("tf_rows_from", "SELECT z.a, z.b FROM (SELECT explode(arrays_zip(a, b)) AS
 frame("tf_crosstab", lambda s, d: R.crosstab(read(s, d, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n")), "o_orderpriority", "o_orderstatus", "n", ["F", "O", "P"]), "SELECT o_orderpriority, nullif(count(*) FILTER (WHERE o_orderstatus = 'F'), 0) AS F, nullif(count(*) FILTER (WHERE o_orderstatus = 'O'), 0) AS O, nullif(count(*) FILTER (WHERE o_orderstatus = 'P'), 0) AS P FROM orders GROUP BY o_orderpriority")
 pair("tf_unpivot", "SELECT c_custkey, stack(2, 'bal', c_acctbal, 'nation', double(c_nationkey)) AS (k, v) FROM customer", "SELECT c_custkey, 'bal' AS k, c_acctbal AS v FROM customer UNION ALL SELECT c_custkey, 'nation', c_nationkey::DOUBLE FROM customer")
 pair("tf_string_to_table", "SELECT n_nationkey, explode(split(n_name, 'A')) AS part FROM nation", "SELECT n_nationkey, unnest(string_split(n_name, 'A')) AS part FROM nation")
-frame("tf_tablesample", lambda s, d: R.sample_rows(read(s, d, "orders"), 0.1, 7).select("o_orderkey"))
-frame("tf_normal_rand", lambda s, d: s.range(1000).select("id", (F.randn(7) * 2 + 5).alias("x")))
+frame(
+    "tf_tablesample",
+    lambda s, d: (lambda a, b: a.withColumn("x", F.lit(1)).join(b.withColumn("y", F.lit(1)), "o_orderkey", "full").agg((F.abs(F.count("x") / read(s, d, "orders").count() - 0.1) < 0.03).alias("share"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("differing")))(*[R.sample_rows(read(s, d, "orders"), 0.1, 7).select("o_orderkey") for _ in range(2)]),
+    "SELECT true AS share, 0 AS differing",
+)
+frame("tf_normal_rand", lambda s, d: s.range(20000).select((F.randn(7) * 2 + 5).alias("x")).agg((F.abs(F.avg("x") - 5) < 0.1).alias("mean"), (F.abs(F.stddev("x") - 2) < 0.1).alias("deviation"), (F.abs(F.avg((F.col("x") < 7).cast("int")) - 0.8413) < 0.02).alias("shape")), "SELECT true AS mean, true AS deviation, true AS shape")
