@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tidemark.llm import ann, topk_search
+from tidemark.llm import vectors as vectors_module
 
 SCHEMA = "vec_id long, embedding array<float>, q boolean, score int"
 
@@ -35,18 +36,21 @@ def brute(rows, is_query, k, score):
     return out
 
 
-def test_exact_top_k_equals_brute_force(spark):
+def test_exact_top_k_equals_brute_force(spark, monkeypatch):
     df, rows = vectors(spark)
     ints = [(i, np.floor(v * 1024).astype(np.int64)) for i, v in usable(rows, True)]
     want = brute(ints, lambda i: i % 10 == 0, 10, lambda a, b: int(a @ b))
-    for shard, block in ((8192, 512), (50, 7)):
-        got = topk_search.exact_top_k(df, F.col("vec_id") % 10 == 0, 10, shard_rows=shard, block_rows=block)
+    for shard, block in ((8192, 256), (50, 7)):
+        monkeypatch.setattr(vectors_module, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(vectors_module, "GROUP_QUERIES", block)
+        got = topk_search.exact_top_k(df, F.col("vec_id") % 10 == 0, 10, shard_rows=shard)
         assert {tuple(x) for x in got.collect()} == want
 
 
 def test_huge_components_stay_exact():
     ids, x = np.arange(4), np.array([[2.0**40, 1], [2.0**40, 2], [-(2.0**40), 3], [1, 1]])
-    at, found, score = topk_search.threshold_search(ids, x, ids[:1], np.array([[2.0**20, 1.0]]), 2)
+    search = topk_search.ThresholdSearch()
+    at, found, score = search.run(search.prepare(ids, x), ids[:1], np.array([[2.0**20, 1.0]]), np.zeros(1, np.int64), np.zeros(1, bool), 2)
     assert found.tolist() == [1, 3] and score.tolist() == [2**60 + 2, 2**20 + 1]
 
 
@@ -54,7 +58,7 @@ def test_neighbours_reach_the_recall(spark):
     df, rows = vectors(spark, 2000, 32)
     good = usable(rows, False)
     want = {(q, i) for q, _, i, _ in brute(good, lambda i: i % 20 == 0, 20, lambda a, b: float(a @ b))}
-    got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, 20, shard_rows=500, block_rows=60).collect()
+    got = ann.nearest_neighbours(df, F.col("vec_id") % 20 == 0, 20, shard_rows=500).collect()
     assert len({(x["query_id"], x["vec_id"]) for x in got} & want) >= 0.9 * len(want)
     by_id = dict(good)
     for x in got[:200]:
@@ -78,3 +82,35 @@ def test_few_or_no_vectors(spark):
 def test_chi_square_quantile():
     assert abs(ann.chi_square_quantile(0.95, 8) - 15.507) < 0.001
     assert abs(ann.chi_square_quantile(0.5, 2) - 2 * math.log(2)) < 1e-6
+
+
+def test_the_stopping_test_leaves_rows_of_other_clusters_unread():
+    r = np.random.default_rng(5)
+    centers = r.normal(0, 1, (40, 32))
+    centers /= np.linalg.norm(centers, axis=1, keepdims=True) / 6
+    X = centers[r.integers(0, 40, 8000)] + r.normal(0, 0.05, (8000, 32))
+    ids, peak = np.arange(8000), float((X**2).sum(1).max())
+    search = ann.ProjectedSearch(32, peak)
+    index = search.prepare(ids, X)
+    read = []
+    whole = search.leaves
+    search.leaves = lambda tree, p, limit: (lambda x: (read.append(sum(tree.end[i] - tree.start[i] for i in x[0])), x)[1])(whole(tree, p, limit))
+    Q = X[::100]
+    scores = Q @ X.T
+    scores[np.arange(len(Q)), ids[::100]] = -np.inf
+    kth = np.sort(scores, axis=1)[:, -20]
+    of, found, _ = search.run(index, ids[::100], Q, kth, np.ones(len(Q), bool), 20)
+    want = {(i, j) for i in range(len(Q)) for j in np.argsort(-scores[i])[:20].tolist()}
+    assert len(want & set(zip(of.tolist(), found.tolist(), strict=True))) >= 0.9 * len(want)
+    assert 0 < np.mean(read) < 4000
+    low, high = (np.stack([f(search.coordinates(centers[c : c + 1] + 0.2 * s), axis=0) for c in range(40)]) for f, s in ((np.min, -1), (np.max, 1)))
+    low, high = np.minimum(low, high), np.maximum(low, high)
+    assert search.reach(low, high, Q, kth, np.ones(len(Q), bool)).mean() < 1
+
+
+def test_top_k_skips_cells_whose_corner_cannot_reach():
+    search = topk_search.ThresholdSearch()
+    low, high = np.array([[0.0, 0.0], [8.0, 8.0]]), np.array([[1.0, 1.0], [9.0, 9.0]])
+    got = search.reach(low, high, np.array([[1.0, 1.0], [-1.0, 0.0]]), np.array([17, -1]), np.array([True, True]))
+    assert got.tolist() == [[False, True], [True, False]]
+    assert search.reach(low, high, np.ones((1, 2)), np.zeros(1, np.int64), np.array([False])).all()

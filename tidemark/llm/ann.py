@@ -4,28 +4,34 @@ Largest inner product becomes nearest Euclidean neighbour by one more
 coordinate, sqrt(M^2 - |x|^2), that is 0 for queries. Augmented vectors are
 projected to a few dimensions by a fixed Gaussian (2-stable) matrix, so that a
 squared projected distance over the squared true distance is chi-square with
-that many degrees of freedom. Projections are indexed by a kd-tree whose
-leaves are met in order of their projected distance from the query, in
-strides that double. Every point of a leaf is verified on its original vector, and the search of a query
-stops once a point nearer than its kth would, with probability `confidence`
-by the chi-square distribution, have had a smaller projection than any leaf
-not yet met.
+that many degrees of freedom. A shard's projections are indexed by a kd-tree,
+which a query walks from the root, leaving out branches that its test rules
+out; leaves are met in order of their projected distance, and of a leaf those
+points are verified on their original vectors whose own projection passes the
+test. The test: a point nearer than the query's kth would, with probability
+`confidence` by the chi-square distribution, have a smaller projection. The
+search stops when no leaf is left that passes. The same test picks the cells
+that a query visits at all (vectors.py).
+
+On vectors without structure most points pass, as their distances differ
+little; the share verified is the chi-square distribution's at the test.
 
 Null and zero vectors and those holding null or non-finite components take no
 part. A row never answers a query with its own vec_id. Repeated rows are rows
-of their own as candidates; equal vectors share a leaf, so ties go to the
-smaller id. An empty table gives an empty result. Other columns are not read.
+of their own as candidates; as queries they count once. Ties go to the smaller
+id. An empty table gives an empty result. Other columns are not read.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import best, blockwise_top, valid_vectors
+from .vectors import PROJECTED, Search, best, top_of_all, valid_vectors
 
 
 def chi_square_quantile(p: float, dof: int) -> float:
@@ -45,61 +51,125 @@ def chi_square_quantile(p: float, dof: int) -> float:
     return hi
 
 
-def kd_leaves(P: np.ndarray, leaf_rows: int) -> list[np.ndarray]:
-    """Leaves of a kd-tree over P, split at the median of the widest dimension; equal points stay together."""
-    out, todo = [], [np.arange(len(P))]
+@dataclass
+class Tree:
+    """A kd-tree: boxes of all nodes, children (-1: none), and the rows of leaves, which lie next to each other."""
+
+    low: np.ndarray
+    high: np.ndarray
+    child: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    order: np.ndarray
+
+
+def kd_tree(P: np.ndarray, leaf_rows: int) -> Tree:
+    """Nodes split at the median of the widest dimension; equal points stay together."""
+    low, high, child, start, end, order = [], [], [], [], [], []
+    todo = [(np.arange(len(P)), -1, 0)]
+    placed = 0
     while todo:
-        rows = todo.pop()
+        rows, parent, side = todo.pop()
+        node = len(low)
+        if parent >= 0:
+            child[parent][side] = node
+        box = P[rows]
+        low.append(box.min(0))
+        high.append(box.max(0))
+        child.append([-1, -1])
+        start.append(placed)
+        end.append(placed)
         if len(rows) > leaf_rows:
-            box = P[rows]
-            dim = int(np.argmax(box.max(0) - box.min(0)))
+            dim = int(np.argmax(high[-1] - low[-1]))
             x = box[:, dim]
             left = x <= np.median(x)
             if left.all():
                 left = x < x.max()
             if left.any():
-                todo += [rows[~left], rows[left]]
+                todo += [(rows[~left], node, 1), (rows[left], node, 0)]
                 continue
-        out.append(np.sort(rows))
-    return out
-
-
-def projected_search(ids: np.ndarray, X: np.ndarray, query_ids: np.ndarray, Q: np.ndarray, k: int, dims: int = 8, leaf_rows: int = 64, confidence: float = 0.98) -> tuple:
-    """search() of blockwise_top."""
-    norms = np.einsum("ij,ij->i", X, X)
-    peak = norms.max()
-    aug = np.concatenate([X, np.sqrt(np.maximum(peak - norms, 0))[:, None]], axis=1)
-    matrix = np.random.default_rng(7).standard_normal((aug.shape[1], dims))
-    P, PQ = aug @ matrix, Q @ matrix[:-1]
-    leaves = kd_leaves(P, leaf_rows)
-    low = np.stack([P[r].min(0) for r in leaves])
-    high = np.stack([P[r].max(0) for r in leaves])
-    q_norms = np.einsum("ij,ij->i", Q, Q)
-    quantile = chi_square_quantile(confidence, dims)
-    out_at, out_ids, out_scores = [], [], []
-    for i, qid in enumerate(query_ids):
-        gap = np.maximum(np.maximum(low - PQ[i], PQ[i] - high), 0)
-        near = np.einsum("ij,ij->i", gap, gap)
-        got_ids, got = np.empty(0, np.int64), np.empty(0)
-        way = np.argsort(near, kind="stable")
-        met, stride = 0, 4
-        while met < len(way):
-            if len(got) == k and near[way[met]] > quantile * max(q_norms[i] + peak - 2 * got[-1], 0.0):
-                break
-            rows = np.concatenate([leaves[x] for x in way[met : met + stride]])
-            met, stride = met + stride, stride * 2
-            rows = rows[ids[rows] != qid]
-            got_ids = np.concatenate([got_ids, ids[rows]])
-            got = np.concatenate([got, (X[rows] * Q[i]).sum(1)])
-            keep = best(got_ids, got, k)
-            got_ids, got = got_ids[keep], got[keep]
-        out_at.append(np.full(len(got), i))
-        out_ids.append(got_ids)
-        out_scores.append(got)
-    return np.concatenate(out_at), np.concatenate(out_ids), np.concatenate(out_scores)
-
-
-def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, block_rows: int = 1024) -> DataFrame:
+        order.append(np.sort(rows))
+        placed += len(rows)
+        end[-1] = placed
+    return Tree(np.array(low), np.array(high), np.array(child), np.array(start), np.array(end), np.concatenate(order))
+
+
+def gaps(low: np.ndarray, high: np.ndarray, p: np.ndarray) -> np.ndarray:
+    """Squared distances of points and boxes."""
+    gap = np.maximum(np.maximum(low - p, p - high), 0)
+    return np.einsum("...i,...i->...", gap, gap)
+
+
+class ProjectedSearch(Search):
+    """Nearest by the inner product; peak is the largest squared norm."""
+
+    def __init__(self, dims: int, peak: float, leaf_rows: int = 64, confidence: float = 0.95):
+        self.peak, self.leaf_rows = peak, leaf_rows
+        self.matrix = np.random.default_rng(7).standard_normal((dims + 1, PROJECTED))
+        self.quantile = chi_square_quantile(confidence, PROJECTED)
+
+    def coordinates(self, X: np.ndarray) -> np.ndarray:
+        rest = np.sqrt(np.maximum(self.peak - np.einsum("ij,ij->i", X, X), 0))
+        return X @ self.matrix[:-1] + rest[:, None] * self.matrix[-1]
+
+    def limit(self, Q: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
+        """The largest squared projected distance that passes the test of queries whose kth score is known."""
+        return np.where(known, self.quantile * np.maximum(np.einsum("ij,ij->i", Q, Q) + self.peak - 2 * bounds, 0), np.inf)
+
+    def reach(self, low: np.ndarray, high: np.ndarray, Q: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return gaps(low[None], high[None], (Q @ self.matrix[:-1])[:, None]) <= self.limit(Q, bounds, known)[:, None]
+
+    def prepare(self, ids: np.ndarray, X: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tree]:
+        P = self.coordinates(X)
+        tree = kd_tree(P, self.leaf_rows)
+        return ids[tree.order], X[tree.order], P[tree.order], tree
+
+    def leaves(self, tree: Tree, p: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Leaves that pass the limit and their distances, nearest first; branches that don't are not entered."""
+        level, out, away = np.zeros(1, np.int64), [], []
+        while len(level):
+            gap = gaps(tree.low[level], tree.high[level], p)
+            level, gap = level[gap <= limit], gap[gap <= limit]
+            leaf = tree.child[level, 0] < 0
+            out.append(level[leaf])
+            away.append(gap[leaf])
+            level = tree.child[level[~leaf]].ravel()
+        out, away = np.concatenate(out), np.concatenate(away)
+        near = np.argsort(away, kind="stable")
+        return out[near], away[near]
+
+    def run(self, index: tuple, query_ids: np.ndarray, Q: np.ndarray, bounds: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        ids, X, P, tree = index
+        PQ, limits, norms = Q @ self.matrix[:-1], self.limit(Q, bounds, known), np.einsum("ij,ij->i", Q, Q)
+        out_at, out_ids, out_scores = [], [], []
+        for i, qid in enumerate(query_ids.tolist()):
+            limit = limits[i]
+            leaves, away = self.leaves(tree, PQ[i], limit)
+            got_ids, got = np.empty(0, np.int64), np.empty(0)
+            met, stride = 0, 4
+            while met < len(leaves) and away[met] <= limit:
+                some = leaves[met : met + stride]
+                met, stride = met + stride, stride * 2
+                rows = np.concatenate([np.arange(tree.start[x], tree.end[x]) for x in some])
+                rows = rows[np.square(P[rows] - PQ[i]).sum(1) <= limit]
+                rows = rows[ids[rows] != qid]
+                score = (X[rows] * Q[i]).sum(1)
+                if known[i]:
+                    rows, score = rows[score >= bounds[i]], score[score >= bounds[i]]
+                got_ids, got = np.concatenate([got_ids, ids[rows]]), np.concatenate([got, score])
+                keep = best(got_ids, got, k)
+                got_ids, got = got_ids[keep], got[keep]
+                if len(got) == k:
+                    limit = min(limit, self.quantile * max(norms[i] + self.peak - 2 * got[-1], 0.0))
+            out_at.append(np.full(len(got), i))
+            out_ids.append(got_ids)
+            out_scores.append(got)
+        return np.concatenate(out_at), np.concatenate(out_ids), np.concatenate(out_scores)
+
+
+def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, confidence: float = 0.95) -> DataFrame:
     """(query_id, rank, vec_id, score double) of each query's k largest inner products found."""
     data = valid_vectors(vectors, id_col, vec_col).filter(F.exists("v", lambda x: x != 0))
-    return blockwise_top(data, is_query, k, "double", projected_search, shard_rows, block_rows)
+    square = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
+    peaks = {r["dims"]: r["peak"] for r in data.groupBy(F.size("v").alias("dims")).agg(F.max(square).alias("peak")).collect()}
+    return top_of_all(data, is_query, k, lambda sample: ProjectedSearch(sample.shape[1], peaks.get(sample.shape[1], 1.0), confidence=confidence), shard_rows)
