@@ -108,6 +108,26 @@ def test_substring_dedup_in_many_batches(spark):
     assert sorted(got, key=str) == sorted(brute_words(rows, 14), key=str)
 
 
+def test_an_index_is_kept_between_sessions(spark, tmp_path):
+    """Three batches through an index that is opened anew for each equal one table, batch by batch."""
+    texts = [" ".join(t) for t in mixed_texts(12, 45)]
+    rows = list(enumerate(texts))
+    parts, path = [rows[:15], rows[15:30], rows[30:]], str(tmp_path / "index")
+    before: list = []
+    for i, part in enumerate(parts):
+        session = spark.newSession()
+        index = substring_dedup.FingerprintIndex(session, path, buckets=3 + i, max_runs=1)
+        assert len(index.runs) == min(i, 1)
+        history = session.createDataFrame(before, DOCS) if before else None
+        out = substring_dedup.new_batch(index, session.createDataFrame(part, DOCS), history, "text", 14).collect()
+        got = [(x["doc_id"], x["n_words"], x["n_removed"], sha(x["text"].encode())) for x in out]
+        before += part
+        want = [w for w in brute_words(before, 14) if w[0] in dict(part)]
+        assert sorted(got) == sorted(want)
+        assert len(index.runs) == 1
+    assert sum(w[2] for w in want) > 0
+
+
 @pytest.mark.parametrize("bucket_rows", [512, 2])
 def test_suffix_dedup_equals_brute_force(spark, bucket_rows):
     df, rows = frame(spark, mixed_texts(3))

@@ -1,13 +1,18 @@
 """Substring dedup over a log-structured fingerprint index.
 
-The index is a set of immutable runs, each a table of (a, n, c_min, c_max) per
-anchor fingerprint of window hashes, bucketed and sorted by it. A batch of
-documents becomes a new run; it is merge-joined with every older run bucket by
-bucket (the older runs are not shuffled again), and fingerprints that history
-or the batch itself repeats are its hits. When there are more than `max_runs`
-runs they are compacted into one. Hits are then verified by two independent
-hashes of whole contents (see repeats.py), and every word covered by a window
-that also starts elsewhere, in history or in the batch, is removed.
+The index is a folder of immutable runs, each a table of (a, n, c_min, c_max) per
+anchor fingerprint of window hashes (windows.py), bucketed and sorted by it;
+c_max is null where it equals c_min. It can be opened again by another session.
+A batch of documents becomes a new run; it is merge-joined with every older run
+bucket by bucket (the older runs are not shuffled again), and fingerprints that
+history or the batch itself repeats are its hits. When there are more than
+`max_runs` runs they are compacted into one. Hits are then verified by hashes of
+whole contents and, where those differ, of windows (see repeats.py), and every
+word covered by a window that also starts elsewhere is removed.
+
+substring_dedup() takes a table in as several batches, each against the index of
+those before it, and settles all of it; new_batch() settles a batch against
+documents that the index has already taken in.
 
 Words are between ASCII white space, unchanged. A null or empty text has none.
 Repeated rows repeat each other. An empty table gives an empty result.
@@ -15,8 +20,10 @@ Repeated rows repeat each other. An empty table gives an empty result.
 
 from __future__ import annotations
 
-import uuid
+import hashlib
+import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -27,58 +34,81 @@ from .repeats import Settled, anchor_entries, keyed, merged, run_rows, spans_by_
 from .windows import Words
 
 
-class FingerprintIndex:
-    """Sorted immutable runs of fingerprints, merge-joined with each new batch and compacted."""
-
-    def __init__(self, spark: SparkSession, buckets: int, max_runs: int = 4):
-        self.spark, self.buckets, self.max_runs = spark, buckets, max_runs
-        self.runs: list[str] = []
-        self.hits: list[DataFrame] = []
+ENTRIES = "a BIGINT, n BIGINT, c_min BIGINT, c_max BIGINT"
 
-    def _write(self, entries: DataFrame) -> str:
-        name = f"fingerprints_{uuid.uuid4().hex}"
-        dealt = entries.repartition(self.buckets, "a")
-        dealt.write.bucketBy(self.buckets, "a").sortBy("a").option("path", table_path(self.spark, name)).saveAsTable(name)
-        return name
 
-    def append(self, entries: DataFrame) -> None:
-        """Add a batch's entries as a run; its hits are entries of the batch merged with history's."""
+class FingerprintIndex:
+    """Sorted immutable runs of fingerprints in a folder, merge-joined with each new batch and compacted."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None, max_runs: int = 4):
+        """Opens the index at `path`, or begins one; a run keeps the number of buckets that it was written with."""
+        self.spark, self.path, self.max_runs = spark, path.rstrip("/"), max_runs
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        #: (number, buckets) of the runs, oldest first.
+        self.runs: list[tuple[int, int]] = sorted((int(m[1]), int(m[2])) for f in self._finished() if (m := re.search(r"/run-(\d+)-(\d+)/_SUCCESS$", f)))
+
+    def _finished(self) -> list[str]:
+        """The marks of runs that were written to their end."""
+        place = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/run-*/_SUCCESS")
+        found = place.getFileSystem(self.spark._jsc.hadoopConfiguration()).globStatus(place)
+        return [f.getPath().toString() for f in found] if found else []
+
+    def _folder(self, run: tuple[int, int]) -> str:
+        return f"{self.path}/run-{run[0]}-{run[1]}"
+
+    def _name(self, run: tuple[int, int]) -> str:
+        return f"fingerprints_{hashlib.md5(self.path.encode()).hexdigest()[:12]}_{run[0]}"
+
+    def _table(self, run: tuple[int, int]) -> DataFrame:
+        """A run as a bucketed table, made known to this session where it isn't."""
+        if not self.spark.catalog.tableExists(self._name(run)):
+            self.spark.sql(f"CREATE TABLE {self._name(run)} ({ENTRIES}) USING parquet CLUSTERED BY (a) SORTED BY (a) INTO {run[1]} BUCKETS LOCATION '{self._folder(run)}'")
+        return self.spark.table(self._name(run)).withColumn("c_max", F.coalesce("c_max", "c_min"))
+
+    def _write(self, entries: DataFrame) -> tuple[int, int]:
+        run = (self.runs[-1][0] + 1 if self.runs else 0, self.buckets)
+        slim = entries.select("a", "n", "c_min", F.nullif("c_max", "c_min").alias("c_max")).repartition(self.buckets, "a")
+        slim.write.bucketBy(self.buckets, "a").sortBy("a").option("path", self._folder(run)).saveAsTable(self._name(run))
+        return run
+
+    def append(self, entries: DataFrame) -> DataFrame:
+        """Add a batch's entries as a run; returns its hits: entries that the batch repeats, or shares with history."""
         new = self._write(entries)
-        batch = self.spark.table(new)
-        parts = [batch.filter("n > 1")]
+        batch = self._table(new)
+        found = batch.filter("n > 1")
         for run in self.runs:
-            old = self.spark.table(run).hint("merge")
-            both = batch.alias("x").join(old.alias("y"), "a")
-            parts.append(both.select("a", (F.col("x.n") + F.col("y.n")).alias("n"), F.least("x.c_min", "y.c_min").alias("c_min"), F.greatest("x.c_max", "y.c_max").alias("c_max")))
-        found = parts[0]
-        for p in parts[1:]:
-            found = found.unionByName(p)
-        self.hits.append(materialize(found, "fingerprint-hits"))
+            both = batch.alias("x").join(self._table(run).hint("merge").alias("y"), "a")
+            found = found.unionByName(both.select("a", (F.col("x.n") + F.col("y.n")).alias("n"), F.least("x.c_min", "y.c_min").alias("c_min"), F.greatest("x.c_max", "y.c_max").alias("c_max")))
+        found = materialize(found, "fingerprint-hits")
         self.runs.append(new)
         if len(self.runs) > self.max_runs:
             self.compact()
+        return found
 
     def compact(self) -> None:
-        """Merge all runs into one."""
-        every = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
-            every = every.unionByName(self.spark.table(run))
+        """Merge all runs into one; the old ones go once it is written."""
+        old = self.runs
+        every = reduce(DataFrame.unionByName, [self._table(run) for run in old])
         one = self._write(every.groupBy("a").agg(F.sum("n").alias("n"), F.min("c_min").alias("c_min"), F.max("c_max").alias("c_max")))
-        self.drop()
-        self.runs = [one]
+        self.runs = [*old, one]
+        self._drop(old)
 
-    def repeated(self) -> DataFrame:
-        """(a, uniform) of the fingerprints that occur twice in all batches so far."""
-        found = self.hits[0]
-        for h in self.hits[1:]:
-            found = found.unionByName(h)
-        return found.groupBy("a").agg((F.min("c_min") == F.max("c_max")).alias("uniform"))
+    def _drop(self, runs: list[tuple[int, int]]) -> None:
+        for run in runs:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self._name(run)}")
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(self._folder(run))
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+        self.runs = [r for r in self.runs if r not in runs]
 
     def drop(self) -> None:
-        """Forget the runs."""
-        for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        self.runs = []
+        """Delete all runs."""
+        self._drop(list(self.runs))
+
+
+def _repeated(hits: list[DataFrame]) -> DataFrame:
+    """(a, uniform) of the fingerprints among hits, and whether all their contents are equal."""
+    found = reduce(DataFrame.unionByName, hits)
+    return materialize(found.groupBy("a").agg((F.min("c_min") == F.max("c_max")).alias("uniform")), "substring-repeated")
 
 
 def _without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -97,19 +127,8 @@ def _without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         yield pa.RecordBatch.from_arrays([b.column("row"), pa.array(kept, pa.binary()).cast(pa.string()), pa.array(n, pa.int64()), pa.array(removed, pa.int64())], names=["row", "text", "n_words", "n_removed"])
 
 
-def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = 35, batches: int = 2, max_runs: int = 4) -> DataFrame:
-    """docs with repeated windows' words removed (the others joined by one space), and n_words, n_removed.
-
-    The documents are taken in as `batches` batches, each against the index of those before it.
-    """
-    spark = docs.sparkSession
-    texts = keyed(small_batches(docs), text_col)
-    index = FingerprintIndex(spark, int(spark.conf.get("spark.sql.shuffle.partitions")), max_runs)
-    for i in range(batches):
-        batch = texts.filter(F.pmod(F.xxhash64("k"), F.lit(batches)) == i)
-        index.append(anchor_entries(run_rows(batch, Words, width)))
-    repeated = materialize(index.repeated(), "substring-repeated")
-    index.drop()
+def _removed(docs: DataFrame, text_col: str, texts: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
+    """docs without the words of windows that repeat among texts, by the fingerprints that do."""
     settled = Settled(run_rows(texts, Words, width), repeated, width, "substring")
     spans = settled.spans.unionByName(window_spans(texts, settled.open, Words, width, "substring"))
     by_text = spans_by_text(spans, "substring")
@@ -120,6 +139,33 @@ def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = 35, ba
     return made.select(*uncarried("row", rest), F.col("text").alias(text_col), "n_words", "n_removed")
 
 
+def substring_dedup(docs: DataFrame, text_col: str = "text", width: int = 35, batches: int = 4, max_runs: int = 2) -> DataFrame:
+    """docs with repeated windows' words removed (the others joined by one space), and n_words, n_removed.
+
+    The documents are taken in as `batches` batches, each against the index of those before it.
+    """
+    texts = keyed(small_batches(docs), text_col)
+    index = FingerprintIndex(docs.sparkSession, table_path(docs.sparkSession, "fingerprints"), max_runs=max_runs)
+    hits = []
+    for i in range(batches):
+        batch = texts.filter(F.pmod(F.xxhash64("k"), F.lit(batches)) == i)
+        hits.append(index.append(anchor_entries(run_rows(batch, Words, width))))
+    index.drop()
+    return _removed(docs, text_col, texts, _repeated(hits), width)
+
+
+def new_batch(index: FingerprintIndex, docs: DataFrame, history: DataFrame | None, text_col: str = "text", width: int = 35) -> DataFrame:
+    """docs as of substring_dedup(), of the windows that also start elsewhere in docs or in history; the index takes docs in.
+
+    history holds, in text_col, what the index took in before (None: nothing). It is read again for the
+    windows at the batch's hits only, which are few; its fingerprints come from the index.
+    """
+    texts = keyed(small_batches(docs), text_col)
+    hits = index.append(anchor_entries(run_rows(texts, Words, width)))
+    every = texts if history is None else texts.unionByName(keyed(history, text_col))
+    return _removed(docs, text_col, every, _repeated([hits]), width)
+
+
 def digest(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", width: int = 35) -> DataFrame:
     """The op2 query: doc_id, n_words, n_removed, kept_sha256."""
     out = substring_dedup(docs.select(col(id_col).alias("doc_id"), col(text_col).alias("text")), "text", width)

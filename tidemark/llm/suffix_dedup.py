@@ -252,9 +252,10 @@ def _without_bytes(whole: bool):
 def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, bucket_rows: int = 4096, whole: bool = False) -> DataFrame:
     """docs with `kept` (binary; with `whole` a string of whole characters) and n_bytes, n_removed, n_spans: repeated strings of `width` bytes removed."""
     texts = keyed(small_batches(docs), text_col)
-    entries = anchor_entries(run_rows(texts, Bytes, width)).filter("n > 1")
+    runs = materialize(run_rows(texts, Bytes, width), "suffix-windows")
+    entries = anchor_entries(runs).filter("n > 1")
     repeated = materialize(entries.select("a", (F.col("c_min") == F.col("c_max")).alias("uniform")), "suffix-repeated")
-    settled = Settled(run_rows(texts, Bytes, width), repeated, width, "suffix")
+    settled = Settled(runs, repeated, width, "suffix")
     spans = settled.spans.unionByName(suffix_spans(texts, settled.open.filter(F.col("contents") <= bucket_rows), width))
     large = settled.open.filter(F.col("contents") > bucket_rows)
     if not large.isEmpty():
