@@ -1,6 +1,7 @@
 """Operators on texts against brute force: nulls, empty and long texts, ties, repeated rows, clashing columns."""
 
 import hashlib
+import os
 import random
 import unicodedata
 from collections import Counter
@@ -364,6 +365,55 @@ def test_language_id_on_held_out_rows(spark, sf_dir):
     assert found["score"].between(0, 1).all()
 
 
+def naive_vector(text, idf):
+    """n-grams counted one by one, weighted and normed."""
+    b = [c if 97 <= c <= 122 or c >= 128 else 32 for c in f" {text.lower()} ".encode()]
+    n = Counter()
+    for i in range(len(b) - 2):
+        for gram in (b[i] << 8 | b[i + 1], b[i] << 16 | b[i + 1] << 8 | b[i + 2]):
+            n[(gram * 0x9E3779B1 % 2**32) >> 19] += 1
+    v = {g: np.log1p(c) * idf[g] for g, c in n.items()}
+    length = sum(x * x for x in v.values()) ** 0.5
+    return {g: x / max(length, 1e-12) for g, x in v.items()}
+
+
+def test_language_id_equals_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.fit(docs)
+    texts = [r["text"] for r in docs.select("text").limit(60).collect() if r["text"]] + ["der die das", "x", "\u4e2d\u6587", "a" * 70]
+    for text, (lang, score, rejected) in zip(texts, model.predict(texts), strict=True):
+        v = naive_vector(text, model.idf)
+        cosine = [sum(x * c[g] for g, x in v.items()) for c in model.centers.astype(float)]
+        best = max(cosine)
+        assert abs(best - score) < 1e-4 and abs(cosine[[i for i, o in enumerate(model.owner) if model.languages[o] == lang][0]] - best) < 1e-4 or best - max(x for x, o in zip(cosine, model.owner, strict=True) if model.languages[o] == lang) < 1e-4
+        bound = model.least[model.languages.index(lang)] * min(1, len(text) / langid.FULL_LENGTH)
+        assert rejected == (score < bound) or abs(score - bound) < 1e-4
+
+
+def test_idf_counts_texts_with_a_gram(spark):
+    df = spark.createDataFrame([(i, t, "aa") for i, t in enumerate(["ab", "ab", "cd", "ef gh"] * 3)], DOCS + ", lang string")
+    model = langid.fit(df)
+    used = [r["t"] for r in langid.labelled_sample(df, "text", "doc_id", "lang", 400).collect()]
+    seen = Counter(g for t in used for g in naive_vector(t, np.ones(langid.DIMS)))
+    assert all(abs(model.idf[g] - (np.log((1 + len(used)) / (1 + n)) + 0.1)) < 1e-5 for g, n in seen.items())
+
+
+def test_unlearned_languages_and_gibberish_are_rejected(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    r = random.Random(4)
+    junk = ["".join(r.choice("qxzjkvwpfbghm ") for _ in range(200)) for _ in range(20)] + ["".join(chr(r.randint(0x430, 0x44F)) for _ in range(100)) for _ in range(20)]
+    assert np.mean([x[2] for x in langid.fit(docs).predict(junk)]) > 0.95
+    left_out = [x["text"] for x in docs.filter("lang = 'de' AND length(text) > 60").collect()]
+    assert np.mean([x[2] for x in langid.fit(docs.filter("lang <> 'de'")).predict(left_out)]) > 0.9
+    kept = langid.predict(docs, langid.fit(docs)).filter("lang IS NOT NULL AND length(text) > 0").agg(F.avg(F.col("rejected").cast("int"))).first()[0]
+    assert kept < 0.01
+
+
+def test_equal_cosines_take_the_first_language(spark):
+    df = spark.createDataFrame([(i, "same words here", lang) for i in range(40) for lang in ("bb", "aa")], DOCS + ", lang string")
+    assert {x["lang_pred"] for x in langid.predict(df, langid.fit(df)).collect()} == {"aa"}
+
+
 def test_language_id_of_odd_rows(spark, sf_dir):
     model = langid.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     df = spark.createDataFrame([(1, None), (2, ""), (3, "12 !?"), (4, "the and of"), (4, "the and of")], DOCS)
@@ -386,6 +436,53 @@ def test_packing_keeps_every_token_once():
     assert sum(used) / sum(sizes) > 0.97
 
 
+def naive_pack(lengths, sizes, costs):
+    """The packer by its description, looking at everything each time: (contents, size) of the bins."""
+    todo, bins = sorted(lengths, reverse=True), []
+    while todo:
+        n = todo.pop(0)
+        fitting = [b for b in bins if b[1] - sum(b[0]) >= n]
+        if fitting:
+            room = min(b[1] - sum(b[0]) for b in fitting)
+            chosen = [b for b in fitting if b[1] - sum(b[0]) == room][-1]
+            chosen[0].append(n)
+            bins.remove(chosen)
+            bins.append(chosen)
+            continue
+        best = None
+        for size, cost in zip(sizes, costs, strict=True):
+            if size >= n:
+                full = n
+                for m in todo:
+                    if full + m <= size:
+                        full += m
+                if best is None or cost / full < best[0]:
+                    best = cost / full, size
+        bins.append(([n], best[1]))
+    return sorted((sorted(b), min(s for s in sizes if s >= sum(b))) for b, _ in bins)
+
+
+@pytest.mark.parametrize("overhead", [0, 32, 2000])
+def test_packing_equals_the_naive_packer(overhead):
+    r = random.Random(overhead)
+    sizes = (16, 64, 256)
+    costs = tuple(float(s + overhead) for s in sizes)
+    mixes = Counter()
+    for _ in range(25):
+        lengths = [r.choice([r.randint(1, 256), r.randint(1, 20), 8, 8]) for _ in range(r.randint(1, 60))]
+        bins, starts, used, size = packing.pack(np.array(lengths), sizes, costs)
+        made = sorted((sorted(n for n, b in zip(lengths, bins.tolist(), strict=True) if b == i), size[i]) for i in range(len(used)))
+        assert made == naive_pack(lengths, sizes, costs)
+        mixes.update(s for _, s in made)
+    assert len(mixes) == 3 or overhead == 2000
+
+
+def test_packing_keeps_the_type_of_ids(spark):
+    df = spark.createDataFrame([("x1", "a b"), ("x1", "a b"), (None, "c"), ("y", None)], "name string, text string")
+    out = packing.best_fit_packing(df, packing.word_count(), "name", sizes=(4, 16)).collect()
+    assert Counter(x["doc_id"] for x in out) == Counter(["x1", "x1", None, "y"])
+
+
 def test_packing_rows(spark):
     df = spark.createDataFrame([(1, None), (2, ""), (3, "w " * 9000), (4, "a b"), (4, "a b"), (None, "x")], DOCS)
     out = packing.best_fit_packing(df, packing.word_count(), sizes=(4, 16, 4096)).collect()
@@ -406,3 +503,54 @@ def test_characters_are_classed_as_the_library_does():
     some = [chr(c) for c in range(0x3000) if unicodedata.category(chr(c)) != "Cs"]
     texts = [f"a{x}b {x}{x} 1{x}'s" for x in some]
     assert tokens.counter(path).counts(texts) == [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_columns_with_clashing_names_pass_through(spark):
+    """Every operator that keeps columns, with names that it uses itself, in other cases and with a backtick."""
+    names = ["k", "t", "row", "v", "x", "h", "id", "root", "c0", "a", "N_WORDS", "Kept", "score", "b`q"]
+    rows = [(i, f"word{i % 3} " * 40 + "\nline", *[f"{n}{i}" for n in names]) for i in range(12)]
+    df = spark.createDataFrame(rows, ["doc_id", "text", *names])
+    path = public.path("word_bpe_49k.json")
+    whole = {
+        "line": (line_dedup.line_dedup(df), ()),
+        "substring": (substring_dedup.substring_dedup(df, "text", 10), ("N_WORDS",)),
+        "suffix": (suffix_dedup.without_repeats(df, "text", 60), ()),
+        "spans": (suffix_dedup.suffix_dedup(df, "text", 60), ("Kept",)),
+        "lang": (langid.predict(df, langid.fit(df.withColumn("lang", F.lit("aa")))), ("score",)),
+        "near": (simhash.one_per_group(df), ()),
+    }
+    for name, (out, replaced) in whole.items():
+        got = out.collect()
+        assert 0 < len(got) <= 12, name
+        for n in names:
+            if n not in replaced:
+                assert all(x[n] == f"{n}{x['doc_id']}" for x in got), (name, n)
+    for out in (line_dedup.digest(df), substring_dedup.digest(df), suffix_dedup.digest(df), simhash.digest(df), tokens.digest(df, path), pieces.piece_digests(df, public.path("piece_bpe_32k.model")), packing.best_fit_packing(df, packing.word_count())):
+        assert out.count() == 12
+    odd = df.select("doc_id", F.col("text").alias("my`text"))
+    assert line_dedup.line_dedup(odd, "my`text").count() == 12
+    assert simhash.near_duplicates(odd, "my`text").count() == 12
+
+
+def test_very_long_texts(spark):
+    r = random.Random(13)
+    words = [f"w{r.randint(0, 9999)}" for _ in range(200_000)]
+    long = " ".join(words)
+    df = spark.createDataFrame([(1, long), (2, long + " end"), (3, "short")], DOCS)
+    got = {x["doc_id"]: x for x in simhash.digest(df).collect()}
+    assert got[1]["fingerprint"] == f"{simhash.fingerprint(simhash.shingles(long.encode(), 4)) % 2**64:016x}" and got[2]["component_id"] == 1
+    assert sorted(x["doc_id"] for x in simhash.one_per_group(df).collect()) == [1, 3]
+    assert {x["doc_id"]: x["n_lines"] for x in line_dedup.digest(df).collect()} == {1: 1, 2: 1, 3: 1}
+    assert langid.predict(df, langid.fit(df.withColumn("lang", F.lit("aa")))).count() == 3
+
+
+def test_written_tables_go_at_the_end_of_their_scope(spark):
+    from tidemark.llm import common
+
+    df = spark.createDataFrame([(1, "a"), (2, "b")], DOCS)
+    with common.written_tables(spark):
+        kept = common.materialize(df, "scoped")
+        assert kept.count() == 2
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path)

@@ -11,6 +11,7 @@ import hashlib
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -39,16 +40,34 @@ def table_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Folders of tables written inside the open written_tables() scopes, innermost last.
+_written: list[list[str]] = []
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = table_path(spark, name)
+    if _written:
+        _written[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def written_tables(spark: SparkSession) -> Iterator[None]:
+    """Deletes, at its end, the tables that operators wrote within it; store their results before."""
+    _written.append([])
+    try:
+        yield
+    finally:
+        for path in _written.pop():
+            place = spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def text_or_empty(text_col: str) -> Column:
-    return F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
+    return F.coalesce(col(text_col).cast("string"), F.lit(""))
 
 
 def text_key(text_col: str) -> Column:

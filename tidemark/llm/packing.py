@@ -1,9 +1,11 @@
 """Best-fit packing into sequences of several permitted lengths.
 
 Documents longer than the largest permitted length are cut into pieces of that
-length and a rest. Pieces are dealt over shards of bounded size by a hash of
-their document and piece number; each shard is packed longest piece first. A
-piece goes to the open bin whose remaining room is the smallest that holds it.
+length and a rest. Pieces are dealt round robin over shards of bounded size,
+written first so that the deal stands; each shard is packed longest piece first,
+of equals by document and piece. A
+piece goes to the open bin whose remaining room is the smallest that holds it,
+of equals the one filled last.
 If none does, a bin is opened: for every permitted length that holds the
 piece, the pieces still to come are tried greedily, longest first, and the
 length of least cost per token that it would then hold is opened (ties: the
@@ -11,7 +13,7 @@ shorter). Costs are given per length, so all lengths are weighed jointly. At
 the end each bin is cut down to the shortest permitted length that holds its
 contents.
 
-One row per piece: doc_id, piece, start (token offset in the document), n_tokens, bin_id,
+One row per piece: doc_id (of the id column's own type), piece, start (token offset in the document), n_tokens, bin_id,
 bin_start (offset in the bin), bin_tokens (the bin's contents), bin_size. A
 null or empty text has no tokens: one piece of length 0, in no bin (bin_id
 null). Repeated rows and null ids are pieces like any others. An empty table
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, materialize, row_count_per, text_or_empty
+from .common import col, materialize, row_count_per, schema_of, text_or_empty
 
 #: Permitted sequence lengths of the query and the pipeline.
 SIZES = (256, 512, 1024, 2048, 4096)
@@ -117,7 +119,7 @@ def best_fit_packing(
     costs = costs or default_costs(sizes)
     top = sizes[-1]
     n = F.coalesce(n_tokens.cast("long"), F.lit(0))
-    counted = docs.select(col(id_col).cast("long").alias("doc_id"), n.alias("n"))
+    counted = docs.select(col(id_col).alias("doc_id"), n.alias("n"))
     pieces = counted.select("doc_id", "n", F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.col("n") / top).cast("int") - 1, F.lit(0)))).alias("piece"))
     start = F.col("piece").cast("long") * top
     pieces = materialize(pieces.select("doc_id", "piece", start.alias("start"), F.least(F.col("n") - start, F.lit(top).cast("long")).alias("n_tokens")), "pieces")
@@ -125,7 +127,7 @@ def best_fit_packing(
     n_shards = row_count_per(full, shard_rows)
     dealt = full.repartition(n_shards).withColumn("shard", F.spark_partition_id().cast("long"))
     more = ("bin_id", "bin_start", "bin_tokens", "bin_size")
-    packed = dealt.mapInArrow(_pack_shard(sizes, costs), "doc_id long, piece int, start long, n_tokens long, " + ", ".join(f"{m} long" for m in more))
+    packed = dealt.mapInArrow(_pack_shard(sizes, costs), schema_of(pieces, ["doc_id"], "piece int, start long, n_tokens long, " + ", ".join(f"{m} long" for m in more)))
     return packed.unionByName(empty.select("*", *[F.lit(None).cast("long").alias(m) for m in more]))
 
 
