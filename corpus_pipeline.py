@@ -1,7 +1,8 @@
 """A corpus from `documents`: five stages, each over all that the one before kept.
 
 Every stage but the last returns the columns of documents. Empty input gives
-empty output, null texts count as empty.
+empty output. Texts that are null or without a letter are near no language, so
+the first stage drops them.
 """
 
 from __future__ import annotations
@@ -13,6 +14,8 @@ from tidemark.llm import langid, line_dedup, packing, simhash, suffix_dedup
 from tidemark.llm.common import col, materialize
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+#: Bytes of a passage that may stand once only: some 45 words, so that passages of 50 words and more are found.
+PASSAGE_BYTES = 250
 
 
 def _shaped(docs: DataFrame) -> DataFrame:
@@ -37,8 +40,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes every 400-byte string that also stands elsewhere."""
-    return _shaped(suffix_dedup.without_repeats(docs, "text", 400))
+    """Removes every string of PASSAGE_BYTES that also stands elsewhere."""
+    return _shaped(suffix_dedup.without_repeats(docs, "text", PASSAGE_BYTES))
 
 
 def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
