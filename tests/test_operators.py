@@ -95,7 +95,10 @@ def test_filters_reach_the_scan(spark, sf_dir):
 
 def test_a_keyed_overlap_join_has_no_nested_loop(spark, sf_dir):
     df = table(spark, [(1, 0, 3)])
-    assert not any("NestedLoop" in k or "Cartesian" in k for k in inspect.operators(T.overlap_join(df, df, 1, ["attr"])))
+    found = inspect.operators(T.overlap_join(df, df, 1, ["attr"]))
+    assert not any("Cartesian" in k for k in found)
+    # Those that take the other side's last bucket, a table of one row.
+    assert sum(n for k, n in found.items() if "NestedLoop" in k) == 2
 
 
 @pytest.mark.parametrize("layout", layouts.LAYOUTS)
@@ -162,3 +165,42 @@ def test_top_with_ties_keeps_peers_and_nulls(spark):
     df = spark.createDataFrame([(1, 5), (2, 5), (3, 4), (4, None), (5, None)], "id int, v int")
     assert sorted(r["id"] for r in R.top_with_ties(df, 1, [(F.col("v"), "desc")]).collect()) == [1, 2]
     assert sorted(r["id"] for r in R.top_with_ties(df, 1, [(F.col("v"), "asc_nulls_first")]).collect()) == [4, 5]
+
+
+def test_one_key_is_spread_over_its_buckets(spark):
+    """A single attribute: the same results whatever the buckets, and no task with more than a bucket's rows."""
+    import random
+
+    r = random.Random(3)
+    rows = [(1, lo, lo + r.randint(0, 9) if r.random() < 0.97 else None) for lo in sorted(r.randint(0, 2000) for _ in range(600))]
+    rows += [(None, lo, lo + 2) for lo in (5, 6, 900)]
+    df = table(spark, rows)
+    cut = table(spark, [(1, lo, lo + 3) for lo in range(0, 2000, 40)] + [(None, 6, 7)])
+    for f in (lambda b: T.coalesce_periods(df, ["attr"], b), lambda b: T.timeline(df, ["attr"], b), lambda b: T.overlap_violations(df, ["attr"], "id", b), lambda b: T.subtract_periods(df, cut, ["attr"], b)):
+        whole, parts = f(100_000), f(7)
+        assert whole.exceptAll(parts).isEmpty() and parts.exceptAll(whole).isEmpty() and whole.count() > 3
+    live = sorted((lo, 10**6 if hi is None else hi) for a, lo, hi in rows if a == 1 and (hi is None or hi > lo))
+    runs = []
+    for lo, hi in live:
+        if runs and lo <= runs[-1][1]:
+            runs[-1][1] = max(runs[-1][1], hi)
+        else:
+            runs.append([lo, hi])
+    got = sorted((x["lo"], x["hi"] or at(10**6)) for x in T.coalesce_periods(df, ["attr"], 7).filter("attr = 1").collect())
+    assert got == [(at(lo), at(hi)) for lo, hi in runs]
+    sizes = T._bucketed(df, ["attr"], "lo", 7).groupBy("__key", "__b").count().agg(F.max("count")).first()[0]
+    assert sizes <= 20
+
+
+def test_asof_join_across_buckets(spark):
+    left = spark.createDataFrame([(i, k, at(t)) for i, (k, t) in enumerate([(1, 5), (1, 400), (1, 2), (2, 9), (None, 9), (1, None)])], "id int, k int, t timestamp_ntz")
+    right = spark.createDataFrame([(1, at(3), "a"), (1, at(3), "b"), (1, at(5), "c"), (2, at(10), "d"), (None, at(1), "e")], "rk int, rt timestamp_ntz, v string")
+    for days in (1, 10_000):
+        got = {r["id"]: r["v"] for r in T.asof_join(left, right, "t", "rt", "k", "rk", ["v"], days).collect()}
+        assert got == {0: "c", 1: "c", 2: None, 3: None, 4: None, 5: None}
+
+
+def test_long_periods_are_posted_a_few_times(spark):
+    df = table(spark, [(1, 0, 5000), (1, 4999, 5001), (1, 20, 21), (1, 4000, None)])
+    got = {(r["l_id"], r["r_id"]) for r in T.overlap_join(df, df, 1, ["attr"]).collect()}
+    assert got == {(i, i) for i in range(4)} | {(0, 1), (1, 0), (0, 2), (2, 0), (0, 3), (3, 0), (1, 3), (3, 1)}

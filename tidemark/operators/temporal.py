@@ -2,23 +2,51 @@
 
 Joins on overlap become equi-joins on time buckets with a residual predicate,
 so they shuffle by (key, bucket) instead of comparing all pairs. Open-ended
-rows are joined apart, against bucketed starts, rather than exploded to the
-end of time.
+rows are joined apart, with the buckets in which the other side ends.
+
+What runs along a key's time line (reaches, counts, last values) is computed
+per (key, bucket) first; then one row of each bucket is carried along the key,
+and joined back. So a key of very many rows is spread over its buckets, and
+what one task holds is bounded by a bucket's rows, not a key's.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .periods import ends_after, is_empty, range_overlaps
 
 US = 1_000_000
+DAY_US = 86_400 * US
+FAR = "9999-12-31 23:59:59.999999"
+#: Levels of bucket widths in overlap_join, each so many times the one before.
+LEVELS, STEP = 6, 8
 
 
 def micros(t: Column) -> Column:
-    """Microseconds since the epoch of a timestamp without zone, without a zone conversion's cost in precision."""
-    return F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', __t)") if isinstance(t, str) else F.unix_micros(t.cast("timestamp"))
+    """Microseconds since the epoch of a timestamp without zone."""
+    return F.unix_micros(t.cast("timestamp"))
+
+
+def _bucketed(df: DataFrame, by: list[str], at: str, bucket_days: float) -> DataFrame:
+    """df with __key (never null, whatever `by` holds) and __b, the time bucket of column `at`."""
+    key = F.struct(*[F.col(c) for c in by]) if by else F.struct(F.lit(0).alias("all"))
+    return df.withColumn("__key", key).withColumn("__b", F.floor(micros(F.col(at)) / int(bucket_days * DAY_US)))
+
+
+def _along(order: list[str]) -> Window:
+    """A window along a bucket of a key."""
+    return Window.partitionBy("__key", "__b").orderBy(*order)
+
+
+def _carried(rows: DataFrame, states: dict[str, tuple[Column, Callable[[str], Column]]], forward: bool = True) -> DataFrame:
+    """rows with a column per state: of each bucket an aggregate, folded over all earlier (or all later) buckets of its key."""
+    per = rows.groupBy("__key", "__b").agg(*[total.alias(name) for name, (total, _) in states.items()])
+    w = Window.partitionBy("__key").orderBy("__b" if forward else F.desc("__b")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(per.select("__key", "__b", *[fold(name).over(w).alias(name) for name, (_, fold) in states.items()]), ["__key", "__b"])
 
 
 def periods_from_events(df: DataFrame, key: str, at: str, tie: str, attr: Column) -> DataFrame:
@@ -30,36 +58,53 @@ def periods_from_events(df: DataFrame, key: str, at: str, tie: str, attr: Column
 def overlap_join(left: DataFrame, right: DataFrame, bucket_days: float, on: list[str] | None = None) -> DataFrame:
     """Pairs of rows whose half-open periods overlap; columns of the sides are l_* and r_*.
 
-    Both sides have lo, hi and the columns of `on`. Every finite row is posted
-    under each bucket it touches and a pair is kept in the bucket of the later
-    of its two starts only, so once. Rows without end are branches of their own:
-    they meet every row that ends after they start, which is a comparison of
-    one bound, within the key where there is one.
+    Both sides have lo, hi and the columns of `on`. A finite row belongs to the
+    level of bucket widths on which it touches a few buckets only, and is posted
+    under those it touches there and on every coarser level; a pair meets on the
+    coarser of its two levels, in the bucket of the later of its starts, so once.
+    A row without end meets the other side's finite rows in the buckets in which
+    they end, from its start to the last one; two rows without end always overlap.
     """
     on = on or []
-    width = int(bucket_days * 86_400 * US)
-    first = F.floor(micros(F.col("lo")) / width)
-    last = F.floor((micros(F.col("hi")) - 1) / width)
+    width = int(bucket_days * DAY_US)
 
     def side(df: DataFrame, p: str) -> DataFrame:
         df = df.filter(~is_empty("lo", "hi"))
-        return df.select(first.alias(f"__{p}first"), last.alias(f"__{p}last"), *[F.col(c).alias(f"{p}{c}") for c in df.columns])
+        first, last = F.floor(micros(F.col("lo")) / width), F.floor((micros(F.col("hi")) - 1) / width)
+        spans = F.greatest(F.col(f"__{p}last") - F.col(f"__{p}first"), F.lit(1))
+        level = F.least(F.floor(F.log(float(STEP), spans.cast("double")) + 1e-9), F.lit(LEVELS - 1)).cast("int")
+        named = df.select(first.alias(f"__{p}first"), last.alias(f"__{p}last"), *[F.col(c).alias(f"{p}{c}") for c in df.columns])
+        return named.withColumn(f"__{p}level", level)
 
     a, b = side(left, "l_"), side(right, "r_")
     keys = [F.col(f"l_{c}") == F.col(f"r_{c}") for c in on]
 
     def posted(df: DataFrame, p: str) -> DataFrame:
-        return df.filter(F.col(f"{p}hi").isNotNull()).withColumn(f"__{p}b", F.explode(F.sequence(f"__{p}first", f"__{p}last")))
+        """A row for each level from its own on and each bucket there: __level, __b, and its first bucket there."""
+        scale = F.pow(F.lit(float(STEP)), F.col("__level")).cast("long")
+        down = lambda x: F.floor(F.col(x) / scale)
+        df = df.filter(F.col(f"{p}hi").isNotNull()).withColumn("__level", F.explode(F.sequence(F.col(f"__{p}level"), F.lit(LEVELS - 1))))
+        df = df.withColumn(f"__{p}at", down(f"__{p}first")).withColumn("__b", F.explode(F.sequence(down(f"__{p}first"), down(f"__{p}last"))))
+        return df.withColumnsRenamed({"__level": f"__{p}on", "__b": f"__{p}b"})
 
     both = range_overlaps("l_lo", "l_hi", F.col("r_lo"), F.col("r_hi"))
-    finite = posted(a, "l_").join(posted(b, "r_"), [F.col("__l_b") == F.col("__r_b"), *keys, both, F.col("__l_b") == F.greatest("__l_first", "__r_first")])
+    met = [F.col("__l_on") == F.col("__r_on"), F.col("__l_b") == F.col("__r_b"), *keys, both]
+    once = [F.col("__l_on") == F.greatest("__l_level", "__r_level"), F.col("__l_b") == F.greatest("__l_at", "__r_at")]
+    finite = posted(a, "l_").join(posted(b, "r_"), [*met, *once])
+
+    def unending(still: DataFrame, p: str, ended: DataFrame, q: str) -> DataFrame:
+        """Rows without end with the other side's finite rows that end after they start."""
+        still, ended = still.filter(F.col(f"{p}hi").isNull()), ended.filter(F.col(f"{q}hi").isNotNull())
+        end = ended.agg(F.max(f"__{q}last").alias("__end"))
+        still = still.join(F.broadcast(end), F.col(f"__{p}first") <= F.col("__end"))
+        still = still.withColumn("__b", F.explode(F.sequence(f"__{p}first", "__end"))).drop("__end")
+        return still.join(ended, [F.col("__b") == F.col(f"__{q}last"), *keys, F.col(f"{q}hi") > F.col(f"{p}lo")])
+
     open_a, open_b = a.filter("l_hi IS NULL"), b.filter("r_hi IS NULL")
-    x = open_a.join(b.filter("r_hi IS NOT NULL"), [*keys, F.col("r_hi") > F.col("l_lo")])
-    y = a.filter("l_hi IS NOT NULL").join(open_b, [*keys, F.col("l_hi") > F.col("r_lo")])
     z = open_a.join(open_b, keys) if keys else open_a.crossJoin(open_b)
     columns = [*[f"l_{c}" for c in left.columns], *[f"r_{c}" for c in right.columns]]
     out = finite.select(*columns)
-    for part in (x, y, z):
+    for part in (unending(a, "l_", b, "r_"), unending(b, "r_", a, "l_"), z):
         out = out.unionByName(part.select(*columns))
     return out
 
@@ -77,29 +122,38 @@ def stab_join(points: DataFrame, periods: DataFrame, at: str, on: list[str], buc
     return some.unionByName(still)
 
 
-def asof_join(left: DataFrame, right: DataFrame, at: str, right_at: str, on: str, right_on: str, take: list[str]) -> DataFrame:
+def asof_join(left: DataFrame, right: DataFrame, at: str, right_at: str, on: str, right_on: str, take: list[str], bucket_days: float = 30) -> DataFrame:
     """Each left row with the columns `take` of the latest right row of its key at or before its time.
 
-    One shuffle: both sides in one sorted stream per key, the last right row carried forward.
-    Of right rows with equal times the one with the largest `take` counts.
+    Both sides are one sorted stream per key and bucket, the last right row carried forward; a bucket's
+    last one goes on to the buckets after it. Of right rows with equal times the one with the largest `take` counts.
+    A left row without a key or a time has no match.
     """
     carried = F.struct(*take)
     one = left.select(F.col(on).alias("__k"), F.col(at).alias("__t"), F.lit(1).alias("__s"), F.struct(*left.columns).alias("__l"), F.lit(None).cast(right.select(carried.alias("x")).schema["x"].dataType).alias("__r"))
     two = right.select(F.col(right_on).alias("__k"), F.col(right_at).alias("__t"), F.lit(0).alias("__s"), F.lit(None).cast(one.schema["__l"].dataType).alias("__l"), carried.alias("__r"))
-    w = Window.partitionBy("__k").orderBy("__t", "__s", "__r").rowsBetween(Window.unboundedPreceding, 0)
-    found = one.unionByName(two).withColumn("__r", F.last("__r", ignorenulls=True).over(w)).filter("__s = 1")
-    return found.select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in take])
+    two = two.filter("__k IS NOT NULL AND __t IS NOT NULL")
+    rows = _bucketed(one.filter("__k IS NOT NULL AND __t IS NOT NULL").unionByName(two), ["__k"], "__t", bucket_days)
+    w = _along(["__t", "__s", "__r"]).rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("__here", F.last("__r", ignorenulls=True).over(w))
+    rows = _carried(rows, {"__before": (F.max(F.when(F.col("__s") == 0, F.struct("__t", "__r"))), F.max)})
+    found = rows.filter("__s = 1").select("__l", F.coalesce("__here", "__before.__r").alias("__r"))
+    none = one.filter("__k IS NULL OR __t IS NULL").select("__l", "__r")
+    return found.unionByName(none).select("__l.*", *[F.col(f"__r.{c}").alias(c) for c in take])
 
 
-def coalesce_periods(df: DataFrame, by: list[str]) -> DataFrame:
+def coalesce_periods(df: DataFrame, by: list[str], bucket_days: float = 30) -> DataFrame:
     """Union of periods per key (range_agg): maximal runs of overlapping or adjacent ones."""
-    far = F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz")
-    rows = df.filter(~is_empty("lo", "hi")).select(*by, "lo", F.coalesce("hi", far).alias("hi"))
-    w = Window.partitionBy(*by).orderBy("lo", "hi")
-    reach = F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = rows.withColumn("__new", F.when(reach.isNull() | (F.col("lo") > reach), 1).otherwise(0))
-    rows = rows.withColumn("__g", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    out = rows.groupBy(*by, "__g").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    far = F.lit(FAR).cast("timestamp_ntz")
+    rows = _bucketed(df.filter(~is_empty("lo", "hi")).select(*by, "lo", F.coalesce("hi", far).alias("hi")), by, "lo", bucket_days)
+    w = _along(["lo", "hi"])
+    rows = rows.withColumn("__here", F.max("hi").over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = _carried(rows, {"__reach": (F.max("hi"), F.max)})
+    reach = F.greatest("__here", "__reach")
+    rows = rows.withColumn("__new", F.when(reach.isNull() | (F.col("lo") > reach), F.col("lo")))
+    rows = rows.withColumn("__own", F.max("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = _carried(rows, {"__from": (F.max("__new"), F.max)})
+    out = rows.groupBy(*by, F.coalesce("__own", "__from").alias("__start")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
     return out.select(*by, "lo", F.when(F.col("hi") != far, F.col("hi")).alias("hi"))
 
 
@@ -109,40 +163,45 @@ def intersect_periods(df: DataFrame, by: list[str]) -> DataFrame:
     return agg.filter(F.col("hi").isNull() | (F.col("lo") < F.col("hi")))
 
 
-def subtract_periods(df: DataFrame, cut: DataFrame, by: list[str]) -> DataFrame:
+def subtract_periods(df: DataFrame, cut: DataFrame, by: list[str], bucket_days: float = 30) -> DataFrame:
     """What is left of each key's periods without those of cut (multirange minus), coalesced."""
-    far = F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz")
-    plus = coalesce_periods(df, by).select(*by, "lo", F.coalesce("hi", far).alias("hi"), F.lit(1).alias("keep"), F.lit(0).alias("cut"))
-    minus = coalesce_periods(cut, by).select(*by, "lo", F.coalesce("hi", far).alias("hi"), F.lit(0).alias("keep"), F.lit(1).alias("cut"))
+    far = F.lit(FAR).cast("timestamp_ntz")
+    plus = coalesce_periods(df, by, bucket_days).select(*by, "lo", F.coalesce("hi", far).alias("hi"), F.lit(1).alias("keep"), F.lit(0).alias("cut"))
+    minus = coalesce_periods(cut, by, bucket_days).select(*by, "lo", F.coalesce("hi", far).alias("hi"), F.lit(0).alias("keep"), F.lit(1).alias("cut"))
     both = plus.unionByName(minus)
     edges = both.select(*by, F.col("lo").alias("t"), "keep", "cut").unionByName(both.select(*by, F.col("hi").alias("t"), (-F.col("keep")).alias("keep"), (-F.col("cut")).alias("cut")))
-    edges = edges.groupBy(*by, "t").agg(F.sum("keep").alias("keep"), F.sum("cut").alias("cut"))
-    w = Window.partitionBy(*by).orderBy("t")
+    edges = _bucketed(edges.groupBy(*by, "t").agg(F.sum("keep").alias("keep"), F.sum("cut").alias("cut")), by, "t", bucket_days)
+    w = _along(["t"])
     run = w.rowsBetween(Window.unboundedPreceding, 0)
-    states = edges.select(*by, F.col("t").alias("lo"), F.lead("t").over(w).alias("hi"), F.sum("keep").over(run).alias("on"), F.sum("cut").over(run).alias("off"))
-    left = states.filter("on > 0 AND off = 0").select(*by, "lo", F.when(F.col("hi") != far, F.col("hi")).alias("hi"))
-    return coalesce_periods(left, by)
+    states = edges.withColumns({"__next": F.lead("t").over(w), "__on": F.sum("keep").over(run), "__off": F.sum("cut").over(run)})
+    states = _carried(states, {"__on0": (F.sum("keep"), F.sum), "__off0": (F.sum("cut"), F.sum)})
+    states = _carried(states, {"__later": (F.min("t"), F.min)}, forward=False)
+    on, off = (F.col(x) + F.coalesce(f"{x}0", F.lit(0)) for x in ("__on", "__off"))
+    left = states.filter((on > 0) & (off == 0)).select(*by, F.col("t").alias("lo"), F.coalesce("__next", "__later").alias("hi"))
+    return coalesce_periods(left.select(*by, "lo", F.when(F.col("hi") != far, F.col("hi")).alias("hi")), by, bucket_days)
 
 
-def timeline(df: DataFrame, by: list[str]) -> DataFrame:
+def timeline(df: DataFrame, by: list[str], bucket_days: float = 30) -> DataFrame:
     """(by, t, active): how many periods are valid from each time at which the number can change."""
     rows = df.filter(~is_empty("lo", "hi"))
     edges = rows.select(*by, F.col("lo").alias("t"), F.lit(1).alias("d")).unionByName(rows.filter("hi IS NOT NULL").select(*by, F.col("hi").alias("t"), F.lit(-1).alias("d")))
-    edges = edges.groupBy(*by, "t").agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(*by).orderBy("t").rowsBetween(Window.unboundedPreceding, 0)
-    return edges.select(*by, "t", F.sum("d").over(w).alias("active"))
+    edges = _bucketed(edges.groupBy(*by, "t").agg(F.sum("d").alias("d")), by, "t", bucket_days)
+    edges = edges.withColumn("__here", F.sum("d").over(_along(["t"]).rowsBetween(Window.unboundedPreceding, 0)))
+    edges = _carried(edges, {"__before": (F.sum("d"), F.sum)})
+    return edges.select(*by, "t", (F.col("__here") + F.coalesce("__before", F.lit(0))).alias("active"))
 
 
 def snapshot(df: DataFrame, t: Column) -> DataFrame:
     return df.filter((F.col("lo") <= t) & ends_after("hi", t))
 
 
-def overlap_violations(df: DataFrame, by: list[str], row: str) -> DataFrame:
+def overlap_violations(df: DataFrame, by: list[str], row: str, bucket_days: float = 30) -> DataFrame:
     """Rows that overlap an earlier one of their key: what an exclusion constraint would refuse."""
-    w = Window.partitionBy(*by).orderBy("lo", row).rowsBetween(Window.unboundedPreceding, -1)
-    far = F.lit("9999-12-31 23:59:59.999999").cast("timestamp_ntz")
-    rows = df.filter(~is_empty("lo", "hi"))
-    return rows.withColumn("__reach", F.max(F.coalesce("hi", far)).over(w)).filter("__reach > lo").drop("__reach")
+    reach = F.coalesce("hi", F.lit(FAR).cast("timestamp_ntz"))
+    rows = _bucketed(df.filter(~is_empty("lo", "hi")), by, "lo", bucket_days)
+    rows = rows.withColumn("__here", F.max(reach).over(_along(["lo", row]).rowsBetween(Window.unboundedPreceding, -1)))
+    rows = _carried(rows, {"__before": (F.max(reach), F.max)})
+    return rows.filter(F.greatest("__here", "__before") > F.col("lo")).select(*df.columns)
 
 
 def close_current(df: DataFrame, which: Column, at: Column) -> DataFrame:

@@ -109,8 +109,8 @@ COAL = """SELECT {k}, min(lo) AS lo, CASE WHEN max(h) = TIMESTAMP '9999-12-31' T
 frame("t_coalesce", lambda s, d: T.coalesce_periods(ov(s, d).filter("price < 100000"), ["attr"]), COAL.format(k="attr", t="(SELECT * FROM orders_valid WHERE price < 100000)"))
 frame(
     "t_intersect_agg",
-    lambda s, d: T.intersect_periods(ov(s, d).filter("hi IS NULL OR hi > lo").filter("price > 250000"), ["attr"]),
-    "SELECT attr, max(lo) AS lo, min(hi) AS hi FROM orders_valid WHERE (hi IS NULL OR hi > lo) AND price > 250000 GROUP BY attr HAVING min(hi) IS NULL OR max(lo) < min(hi)",
+    lambda s, d: T.intersect_periods(ov(s, d).filter("hi IS NULL OR hi > lo").filter("hi IS NULL OR price > 450000"), ["attr"]),
+    "SELECT attr, max(lo) AS lo, min(hi) AS hi FROM orders_valid WHERE (hi IS NULL OR hi > lo) AND (hi IS NULL OR price > 450000) GROUP BY attr HAVING min(hi) IS NULL OR max(lo) < min(hi)",
 )
 frame(
     "t_minus",
