@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import intarray as I
 from ..functions import json as J
+from ..functions import jsonpath as JP
 from ..operators import catalog as C
 from .registry import Registry, read
 
@@ -31,6 +32,38 @@ frame(
     lambda s, d: docs(s, d).select("n_nationkey", J.value(c("doc"), "$.items[0].q", "int").alias("first"), J.value(c("doc"), "$.name", "string").alias("name"), F.size(J.path_filter(c("doc"), "$.items", ITEM, lambda x: (x.q * 2 > 20) & x.ok)).alias("n"), J.path_exists(c("doc"), "$.items", ITEM, lambda x: x.q == 7).alias("has7"), F.aggregate(J.array_at(c("doc"), "$.items", ITEM), F.lit(0), lambda acc, x: acc + x.q).alias("total")),
     "SELECT n_nationkey, n_nationkey AS first, n_name AS name, (n_nationkey > 10)::INT AS n, n_nationkey = 7 AS has7, n_nationkey + 50 AS total FROM nation",
 )
+frame(
+    "x_jsonpath_language",
+    lambda s, d: docs(s, d).select(
+        "n_nationkey",
+        JP.path_exists(c("doc"), "$.items[*] ? (@.q > $x && @.ok == true)", {"x": 10}).alias("a"),
+        JP.path_query_first(c("doc"), "$.**.q ? (@ >= 50)").alias("b"),
+        JP.path_match(c("doc"), '$.name starts with "F" || $.name like_regex "an[^a]*$" flag "i"').alias("e"),
+        JP.json_value(c("doc"), "$.items.size()").alias("f"),
+        JP.path_query_array(c("doc"), "$.items[last, 0].q").alias("g"),
+        JP.json_value(c("doc"), "-($.id + 1) * 2 % 7").alias("h"),
+        JP.json_value(c("doc"), "$.gone.type()").alias("i"),
+        F.size(JP.path_query(c("doc"), "$.keyvalue() ? (@.value != null)")).alias("j"),
+        JP.json_value(c("doc"), "$.missing").alias("k"),
+        JP.json_query(c("doc"), "$.items[*] ? (!(@.ok == true)).q", wrapper=True).alias("l"),
+    ),
+    """SELECT n_nationkey, n_nationkey > 10 AS a, CASE WHEN n_nationkey >= 50 THEN n_nationkey ELSE 50 END::VARCHAR AS b, starts_with(n_name, 'F') OR regexp_matches(n_name, 'an[^a]*$', 'i') AS e, '2' AS f,
+    '[50, ' || n_nationkey || ']' AS g, (-(n_nationkey + 1) * 2 % 7)::VARCHAR AS h, 'null' AS i, 3 AS j, NULL::VARCHAR AS k, '[50]' AS l FROM nation""",
+)
+frame(
+    "x_jsonb_edit",
+    lambda s, d: docs(s, d).select(
+        "n_nationkey",
+        JP.contains(c("doc"), F.lit('{"items":[{"q":50}]}')).alias("a"),
+        JP.contained(F.lit('{"items":[{"q":3}]}'), c("doc")).alias("b"),
+        JP.json_value(JP.set_path(c("doc"), ["items", "-1", "q"], "7"), "$.items[1].q").alias("e"),
+        JP.json_value(JP.insert_path(c("doc"), ["items", "1"], '"x"'), "$.items[1]").alias("f"),
+        JP.canonical(JP.delete_path(JP.strip_nulls(c("doc")), ["items"])).alias("g"),
+        JP.compare(JP.path_query_first(c("doc"), "$.id"), F.lit("12")).alias("h"),
+        JP.concat(F.lit('{"id": 1}'), JP.path_query_first(c("doc"), "$.items[0]")).alias("i"),
+    ),
+    """SELECT n_nationkey, true AS a, n_nationkey = 3 AS b, '7' AS e, 'x' AS f, '{"id": ' || n_nationkey || ', "name": "' || n_name || '"}' AS g, sign(n_nationkey - 12)::INT AS h, '{"q": ' || n_nationkey || ', "id": 1, "ok": true}' AS i FROM nation""",
+)
 frame("x_json_each", lambda s, d: docs(s, d).select("n_nationkey", F.explode(J.members(c("doc"))).alias("key", "value")).select("n_nationkey", "key"), "SELECT n_nationkey, unnest(['id', 'name', 'gone', 'items']) AS key FROM nation")
 frame("x_json_object_agg", lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(F.struct("n_name", "n_nationkey"))))).alias("j")).select("n_regionkey", F.json_array_length(F.concat(F.lit("["), c("j"), F.lit("]"))).alias("n")), "SELECT n_regionkey, 1 AS n FROM nation GROUP BY n_regionkey")
 
