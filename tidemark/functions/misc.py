@@ -61,36 +61,6 @@ def ean13_check_digit(digits: Column) -> Column:
     return (10 - total % 10) % 10
 
 
-# Words that carry no meaning for search.
-STOP_WORDS = ("a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or", "that", "the", "to", "was", "with")
-
-
-def lexemes(text: Column) -> Column:
-    """Words in lower case without stop words, plural and verb endings cut: array<struct(lexeme, pos)>."""
-    words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-    placed = F.transform(words, lambda w, i: F.struct(F.regexp_replace(w, "(?<=[a-z]{3})(ing|ed|es|s)$", "").alias("lexeme"), (i + 1).alias("pos"), w.alias("word")))
-    return F.transform(F.filter(placed, lambda p: ~p.word.isin(*STOP_WORDS)), lambda p: F.struct(p.lexeme.alias("lexeme"), p.pos.alias("pos")))
-
-
-def matches_all(vector: Column, *words: str) -> Column:
-    held = F.transform(vector, lambda p: p.lexeme)
-    return sum((F.array_contains(held, w).cast("int") for w in words), F.lit(0)) == len(words)
-
-
-def matches_any(vector: Column, *words: str) -> Column:
-    return F.arrays_overlap(F.transform(vector, lambda p: p.lexeme), F.array(*[F.lit(w) for w in words]))
-
-
-def matches_phrase(vector: Column, first: str, second: str, distance: int = 1) -> Column:
-    at = lambda w: F.transform(F.filter(vector, lambda p: p.lexeme == w), lambda p: p.pos)
-    return F.arrays_overlap(F.transform(at(first), lambda p: p + distance), at(second))
-
-
-def rank(vector: Column, *words: str) -> Column:
-    """Occurrences of the words per lexeme."""
-    n = F.size(F.filter(vector, lambda p: p.lexeme.isin(*words)))
-    return n / F.greatest(F.size(vector), F.lit(1))
-
 
 def date_bin(width_us: int, t: Column, origin: Column) -> Column:
     """Start of the bucket of width_us microseconds, counted from origin, that holds t."""
@@ -136,22 +106,6 @@ def common_ancestor(a: Column, b: Column) -> Column:
     return F.array_join(F.slice(x, F.lit(1), F.array_max(same)), ".")
 
 
-def headline(text: Column, *words: str) -> Column:
-    """ts_headline: the words, whatever their case, between <b> and </b>."""
-    return F.regexp_replace(text, "(?i)\\b(" + "|".join(words) + ")\\b", "<b>$1</b>")
-
-
-def websearch(vector: Column, query: str) -> Column:
-    """websearch_to_tsquery: words must occur, those after a minus must not, `or` joins alternatives."""
-    out = None
-    for part in query.lower().split(" or "):
-        one = F.lit(True)
-        for w in part.split():
-            one = one & (~matches_all(vector, w[1:]) if w.startswith("-") else matches_all(vector, w))
-        out = one if out is None else out | one
-    return out
-
-
 def justify_days(months: Column, days: Column) -> Column:
     """Thirty days make a month."""
     return F.struct((months + F.floor(days / 30)).cast("int").alias("months"), F.pmod(days, F.lit(30)).cast("int").alias("days"))

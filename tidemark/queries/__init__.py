@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from . import aggregates, extra, functions, more, relational, series, streams, temporal, windows
+from . import aggregates, extra, functions, more, relational, series, streams, temporal, values, windows
 
-MODULES = (temporal, relational, aggregates, windows, functions, more, extra, series, streams)
+MODULES = (temporal, relational, aggregates, windows, functions, more, extra, values, series, streams)
 
 
 def queries() -> dict:

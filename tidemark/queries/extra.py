@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import misc as M
 from ..functions import phonetic as H
+from ..functions import search as T
 from ..functions import text as X
 from ..streaming import operators as S
 from .registry import Registry, read
@@ -19,12 +20,29 @@ frame("e_input_is_valid", lambda s, d: s.sql("SELECT explode(array('1', 'x', '20
 frame("e_regexp_substr", lambda s, d: read(s, d, "part").select("p_partkey", X.regexp_substr(c("p_brand"), "[0-9]", 2).alias("b"), F.regexp_instr("p_brand", F.lit("[0-9]")).alias("i")), "SELECT p_partkey, regexp_extract_all(p_brand, '[0-9]')[2] AS b, strpos(p_brand, regexp_extract(p_brand, '[0-9]'))::INT AS i FROM part")
 frame("e_like_escape", lambda s, d: s.sql("SELECT explode(array('a%b', 'axb')) AS v").select("v", X.like_with_escape(c("v"), "a!%b", "!").alias("m")), "SELECT v, v LIKE 'a!%b' ESCAPE '!' AS m FROM (VALUES ('a%b'), ('axb')) t(v)")
 frame("e_bits", lambda s, d: read(s, d, "nation").select("n_nationkey", X.bits(c("n_nationkey"), 8).alias("b")), "SELECT n_nationkey, lpad(bin(n_nationkey), 8, '0') AS b FROM nation")
-frame("e_metaphone", lambda s, d: s.sql("SELECT explode(array('Thompson', 'Phone', 'Church', 'gem')) AS v").select("v", H.metaphone("v").alias("m")), "SELECT * FROM (VALUES ('Thompson', '0MPSN'), ('Phone', 'FN'), ('Church', 'XRX'), ('gem', 'JM')) t(v, m)")
+frame(
+    "e_metaphone",
+    lambda s, d: s.sql("SELECT explode(array('Gumbo', 'Phone', 'Church', 'gem', 'Knight', 'Xavier', 'nation', 'dodge', 'school', 'whistle', 'comb', 'thumb')) AS v").select("v", H.metaphone("v").alias("m")),
+    "SELECT * FROM (VALUES ('Gumbo', 'KMB'), ('Phone', 'FN'), ('Church', 'XRX'), ('gem', 'JM'), ('Knight', 'NT'), ('Xavier', 'SFR'), ('nation', 'NXN'), ('dodge', 'TJ'), ('school', 'SKL'), ('whistle', 'WSTL'), ('comb', 'KM'), ('thumb', '0M')) t(v, m)",
+)
 frame("e_normalize", lambda s, d: s.sql("SELECT 'e\\u0301a' AS v").select(F.length(H.normalize_nfc("v")).alias("c"), F.length(H.normalize_nfd("v")).alias("d"), H.unicode_assigned("v").alias("a")), "SELECT 2 AS c, 3 AS d, true AS a")
 frame("e_inet_more", lambda s, d: read(s, d, "nation").select("n_nationkey", F.concat(F.lit("10.0.0."), c("n_nationkey").cast("string"), F.lit("/28")).alias("a")).select("n_nationkey", M.hostmask(c("a")).alias("h"), M.inet_merge(c("a"), F.lit("10.0.0.3/28")).alias("m")), "SELECT n_nationkey, '0.0.0.15' AS h, CASE WHEN n_nationkey < 16 THEN '10.0.0.0/28' ELSE '10.0.0.0/27' END AS m FROM nation")
 frame("e_macaddr", lambda s, d: s.sql("SELECT '12:34:56:78:9a:bc' AS m").select(M.macaddr_trunc(c("m")).alias("t")), "SELECT '12:34:56:00:00:00' AS t")
 frame("e_lca", lambda s, d: s.sql("SELECT * FROM VALUES ('a.b.c', 'a.b.d'), ('a.b', 'a.b.d'), ('a', 'b') AS t(x, y)").select("x", M.common_ancestor(c("x"), c("y")).alias("l")), "SELECT * FROM (VALUES ('a.b.c', 'a.b'), ('a.b', 'a'), ('a', '')) t(x, l)")
-frame("e_headline", lambda s, d: s.sql("SELECT 'The Cat and a cat-fish' AS t").select(M.headline(c("t"), "cat").alias("h"), M.websearch(M.lexemes(c("t")), "cat -dog or bird").alias("w")), "SELECT 'The <b>Cat</b> and a <b>cat</b>-fish' AS h, true AS w")
+frame(
+    "e_headline",
+    lambda s, d: read(s, d, "nation").select("n_nationkey", F.concat(F.lit("The "), F.lower("n_name"), F.lit(" runs, cat-like (c++)")).alias("t")).select(
+        "n_nationkey", T.headline(c("t"), T.parse("running & cat")).alias("h"), T.matches(T.to_vector(c("t")), T.websearch('"run cat" -dog or bird')).alias("w"), T.matches(T.to_vector(c("t")), T.websearch("run -like")).alias("x")
+    ),
+    "SELECT n_nationkey, 'The ' || lower(n_name) || ' <b>runs</b>, <b>cat</b>-like (c++)' AS h, false AS w, false AS x FROM nation",
+)
+frame(
+    "e_search_rank",
+    lambda s, d: read(s, d, "part").select("p_partkey", T.to_vector(F.concat_ws(" ", "p_name", "p_name", "p_type")).alias("v"), F.split("p_name", "[^A-Za-z0-9]+").alias("w")).select(
+        "p_partkey", F.array_contains(T.lexemes_of(c("v")), F.lit("zebra")).alias("z"), T.matches(c("v"), T.parse("part:* | blue")).alias("m"), F.round(T.rank(T.to_vector(F.lit("cat dog cat")), T.parse("cat")), 9).alias("r")
+    ),
+    f"SELECT p_partkey, false AS z, regexp_matches(lower(p_name || ' ' || p_type), '\\b(part[a-z0-9]*|blue)\\b') AS m, round((0.1 + 0.1 + 0.1 / 4 - 0.1) / 1.64493406685, 9)::DOUBLE AS r FROM part",
+)
 frame("e_age", lambda s, d: s.sql("SELECT DATE'2021-05-20' AS a, DATE'2019-12-25' AS b").select(M.age(c("a"), c("b")).alias("g"), M.justify_days(F.lit(1), F.lit(65)).alias("j")).select("g.*", c("j.months").alias("jm"), c("j.days").alias("jd")), "SELECT 1 AS years, 4 AS months, 25 AS days, 3 AS jm, 5 AS jd")
 frame("e_seg", lambda s, d: read(s, d, "part").select("p_partkey", M.segments_overlap(c("p_size") - 1.5, c("p_size") + 1.5, F.lit(10.0), F.lit(12.0)).alias("o")), "SELECT p_partkey, p_size - 1.5 <= 12 AND 10 <= p_size + 1.5 AS o FROM part")
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import misc as M
 from ..functions import ranges as G
+from ..functions import search as T
 from ..functions import text as X
 from .registry import Registry, read
 
@@ -160,6 +161,6 @@ frame("f_isn", lambda s, d: s.sql("SELECT * FROM VALUES ('978020137962'), ('4006
 frame("f_uuid_version", lambda s, d: s.range(5).select("id", F.substring(F.expr("uuid()"), 15, 1).alias("v")), "SELECT id, '4' AS v FROM range(5) t(id)")
 frame(
     "f_text_search",
-    lambda s, d: s.sql("SELECT * FROM VALUES (1, 'The cats are running in the garden'), (2, 'A cat and the dog'), (3, '') AS t(id, x)").select("id", M.lexemes(c("x")).alias("v")).select("id", F.array_join(F.transform("v", lambda p: F.concat_ws(":", p.lexeme, p.pos.cast("string"))), " ").alias("v"), M.matches_all(c("v"), "cat", "dog").alias("has_all"), M.matches_any(c("v"), "cat").alias("has_any"), M.matches_phrase(c("v"), "cat", "dog", 3).alias("near"), F.round(M.rank(c("v"), "cat"), 4).alias("rank")),
-    "SELECT * FROM (VALUES (1, 'cat:2 runn:4 garden:7', false, true, false, 0.3333), (2, 'cat:2 dog:5', true, true, true, 0.5), (3, '', false, false, false, 0.0)) t(id, v, has_all, has_any, near, rank)",
+    lambda s, d: s.sql("SELECT * FROM VALUES (1, 'The cats are running in the garden'), (2, 'A cat and the dog'), (3, '') AS t(id, x)").select("id", T.to_vector(c("x")).alias("v")).select("id", T.vector_text(c("v")).alias("v"), T.matches(c("v"), T.parse("cat & dog")).alias("has_all"), T.matches(c("v"), T.parse("cats | bird")).alias("has_any"), T.matches(c("v"), T.parse("cat <3> dog")).alias("near"), F.round(T.rank(c("v"), T.parse("cat")), 6).alias("rank")),
+    "SELECT * FROM (VALUES (1, '''cat'':2 ''garden'':7 ''run'':4', false, true, false, 0.060793), (2, '''cat'':2 ''dog'':5', true, true, true, 0.060793), (3, '', false, false, false, 0.0)) t(id, v, has_all, has_any, near, rank)",
 )
