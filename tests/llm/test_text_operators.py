@@ -401,9 +401,9 @@ def test_idf_counts_texts_with_a_gram(spark):
 def test_unlearned_languages_and_gibberish_are_rejected(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     r = random.Random(4)
-    junk = ["".join(r.choice("qxzjkvwpfbghm ") for _ in range(200)) for _ in range(20)] + ["".join(chr(r.randint(0x430, 0x44F)) for _ in range(100)) for _ in range(20)]
+    junk = ["".join(r.choice("qxzjkvwpfbghm ") for _ in range(200)) for _ in range(20)] + ["".join(chr(r.randint(0x430, 0x44F)) for _ in range(250)) for _ in range(20)]
     assert np.mean([x[2] for x in langid.fit(docs).predict(junk)]) > 0.95
-    left_out = [x["text"] for x in docs.filter("lang = 'de' AND length(text) > 60").collect()]
+    left_out = [x["text"] for x in docs.filter("lang = 'de' AND length(text) > 250").collect()]
     assert np.mean([x[2] for x in langid.fit(docs.filter("lang <> 'de'")).predict(left_out)]) > 0.9
     kept = langid.predict(docs, langid.fit(docs)).filter("lang IS NOT NULL AND length(text) > 0").agg(F.avg(F.col("rejected").cast("int"))).first()[0]
     assert kept < 0.01
