@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.operators import periods as P
 from tidemark.operators import relational as R
 from tidemark.operators import temporal as T
-from tidemark.plans import generator, inspect, layouts
+from tidemark.plans import generator, inspect, layouts, matrix
 from tidemark.sources import files
 
 DAY = datetime(2020, 1, 1)
@@ -204,3 +204,14 @@ def test_long_periods_are_posted_a_few_times(spark):
     df = table(spark, [(1, 0, 5000), (1, 4999, 5001), (1, 20, 21), (1, 4000, None)])
     got = {(r["l_id"], r["r_id"]) for r in T.overlap_join(df, df, 1, ["attr"]).collect()}
     assert got == {(i, i) for i in range(4)} | {(0, 1), (1, 0), (0, 2), (2, 0), (0, 3), (3, 0), (1, 3), (3, 1)}
+
+
+def test_the_workload_runs_over_every_layout(spark, tmp_path):
+    took = matrix.run(spark, str(tmp_path), 2000)
+    assert len(took) == 4 * len(layouts.LAYOUTS)
+    data = generator.generate(spark, 2000)
+    whole = data.unionByName(matrix.new_rows(spark, 2000))
+    for layout in layouts.LAYOUTS:
+        for name, change in (("updated", matrix.updated), ("deleted", matrix.deleted)):
+            got = layouts.read_layout(spark, str(tmp_path / f"{layout}_{name}")).select(*whole.columns)
+            assert got.count() == change(whole).count() and got.exceptAll(change(whole)).isEmpty()

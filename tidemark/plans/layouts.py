@@ -57,7 +57,7 @@ def shaped(df: DataFrame, layout: str) -> DataFrame:
     return df.withColumns({c: made[c] for c in (*folders, *(("lo_us", "hi_us") if order else ()))})
 
 
-def write_layout(df: DataFrame, path: str, layout: str, partitions: int = 8, row_group_bytes: int | None = None) -> None:
+def write_layout(df: DataFrame, path: str, layout: str, partitions: int = 8, row_group_bytes: int | None = None, mode: str = "overwrite") -> None:
     """Write a table of periods (attr, lo, hi and others) in a layout, over about `partitions` files."""
     if layout not in LAYOUTS:
         raise ValueError(f"unknown layout {layout}")
@@ -66,7 +66,7 @@ def write_layout(df: DataFrame, path: str, layout: str, partitions: int = 8, row
     keys = [F.col(c) for c in folders] + [F.when(F.col("hi").isNull(), F.col("attr")) if c == "attr_if_current" else F.col(c) for c in order]
     if keys:
         rows = rows.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys)
-    out = rows.write.mode("overwrite").partitionBy(*folders) if folders else rows.write.mode("overwrite")
+    out = rows.write.mode(mode).partitionBy(*folders) if folders else rows.write.mode(mode)
     if row_group_bytes:
         out = out.option("parquet.block.size", str(row_group_bytes))
     out.option("parquet.bloom.filter.enabled#attr", "true").option("parquet.bloom.filter.expected.ndv#attr", "1000").parquet(path)
