@@ -2,6 +2,7 @@
 
 import datetime as dt
 import math
+import uuid
 
 import pytest
 from pyspark.sql import functions as F
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import geometry as G
 from tidemark.functions import ranges as R
 from tidemark.functions import search as S
+from tidemark.functions import system as Y
 from tidemark.functions import times as D
 
 
@@ -129,3 +131,23 @@ def test_search(one):
     assert one(S.vector_text(S.strip(S.delete_lexemes(v, "fat", "rat", "ate")))).startswith("'cat'")
     with pytest.raises(ValueError):
         S.parse("fat & & rat")
+
+
+def test_uuids(one):
+    for name in ("", "postgres", "ü"):
+        assert one(Y.uuid_v3("dns", F.lit(name))) == str(uuid.uuid3(uuid.NAMESPACE_DNS, name)) and one(Y.uuid_v5("url", F.lit(name))) == str(uuid.uuid5(uuid.NAMESPACE_URL, name))
+    u = uuid.uuid1()
+    assert one(Y.uuid_timestamp(F.lit(str(u)))).timestamp() == pytest.approx((u.time - 0x01B21DD213814000) / 1e7, abs=1e-5)
+    assert one(Y.uuid_timestamp(F.lit("017f22e2-79b0-7cc3-98c4-dc0c0c07398f")).cast("double")) == 1645557742.0
+    assert one(Y.uuid_timestamp(Y.uuid_v4())) is None and one(Y.uuid_version(F.lit("11111111-1111-1111-1111-111111111111"))) is None
+
+
+@pytest.mark.parametrize("n,want", [(0, "0 bytes"), (10239, "10239 bytes"), (10240, "10 kB"), (1000000, "977 kB"), (-10240, "-10 kB"), (10 * 1024**2, "10 MB"), (10 * 1024**2 - 513, "10239 kB"), (5 * 1024**4, "5120 GB"), (1000000000000000, "909 TB")])
+def test_sizes(one, n, want):
+    assert one(Y.size_pretty(F.lit(n))) == want
+
+
+def test_partition_tree(spark, tmp_path):
+    spark.range(4).selectExpr("id", "id % 2 AS a", "id AS b").write.partitionBy("a", "b").parquet(str(tmp_path / "t"))
+    got = {(r["relid"], r["parentrelid"], r["isleaf"], r["level"]) for r in Y.partition_tree(spark, str(tmp_path / "t")).collect()}
+    assert ("", None, False, 0) in got and ("a=1", "", False, 1) in got and ("a=1/b=3", "a=1", True, 2) in got and len(got) == 7

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -42,21 +42,16 @@ def enum_range(labels: list[str], first: str | None = None, last: str | None = N
 
 
 def numbered(df: DataFrame, order: list[Column], name: str = "nextval", start: int = 1) -> DataFrame:
-    """A gapless sequence in a total order, without a single-task window.
+    """A gapless sequence in a total order, without a single-task window over the rows.
 
-    Rows are range-partitioned and sorted; each partition's numbers start where
-    the counts of those before it end.
+    Rows are range-partitioned and sorted; each partition's numbers start where the counts of those
+    before it end. The offsets are a table of one row per partition, joined back.
     """
     placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__p", F.spark_partition_id()).withColumn("__i", F.monotonically_increasing_id() - F.shiftleft(F.spark_partition_id().cast("long"), 33))
-    placed = placed.persist()
-    sizes = {r["__p"]: r["n"] for r in placed.groupBy("__p").agg(F.count("*").alias("n")).collect()}
-    base, at = {}, start
-    for p in sorted(sizes):
-        base[p], at = at, at + sizes[p]
-    if not base:
-        return df.withColumn(name, F.lit(None).cast("long"))
-    offsets = F.create_map(*[F.lit(x) for p, b in base.items() for x in (p, b)])
-    return placed.withColumn(name, (offsets[F.col("__p")] + F.col("__i")).cast("long")).drop("__p", "__i")
+    sizes = placed.groupBy("__p").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__from"))
+    return placed.join(F.broadcast(offsets), "__p").withColumn(name, (F.col("__from") + F.col("__i") + start).cast("long")).drop("__p", "__i", "__from")
 
 
 class Prepared:
@@ -70,9 +65,12 @@ class Prepared:
 
 
 def refresh_concurrently(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """The difference that a refreshed stored result makes: rows to add and to drop."""
-    add = new.exceptAll(old).withColumn("change", F.lit("add"))
-    return add.unionByName(old.exceptAll(new).withColumn("change", F.lit("drop")))
+    """What a refresh changes in a stored result with a unique key: rows to add, to replace (their new values) and to drop."""
+    add, gone = new.exceptAll(old), old.exceptAll(new)
+    replaced = add.join(gone.select(*key), key, "left_semi")
+    added = add.join(gone.select(*key), key, "left_anti")
+    dropped = gone.join(add.select(*key), key, "left_anti")
+    return added.withColumn("change", F.lit("add")).unionByName(replaced.withColumn("change", F.lit("replace"))).unionByName(dropped.withColumn("change", F.lit("drop")))
 
 
 def with_ordinality(values: list, spark: SparkSession, schema: str) -> DataFrame:

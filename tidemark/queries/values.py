@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..functions import ranges as R
+from ..functions import system as Y
 from ..functions import times as D
 from .registry import Registry, read
 
@@ -111,3 +112,26 @@ frame(
     lambda s, d: s.range(1).select((D.current("current_date") == D.current("now").cast("date")).alias("a"), (D.current("statement_timestamp") == D.current("transaction_timestamp")).alias("b"), D.current("localtime").between(0, D.DAY_US - 1).alias("e"), D.is_finite(D.current("localtimestamp")).alias("f")),
     "SELECT true AS a, true AS b, true AS e, true AS f",
 )
+frame(
+    "v_uuids",
+    lambda s, d: read(s, d, "nation").select("n_nationkey", Y.uuid_v3("url", c("n_name")).alias("v3"), Y.uuid_v5("dns", c("n_name")).alias("v5"), Y.uuid_version(Y.uuid_v5("dns", c("n_name"))).alias("five"), Y.uuid_version(Y.uuid_v4()).alias("four")),
+    """WITH h AS (SELECT n_nationkey, md5(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(n_name)) AS a, sha1(unhex('6ba7b8109dad11d180b400c04fd430c8') || encode(n_name)) AS b FROM nation)
+    SELECT n_nationkey, a[1:8] || '-' || a[9:12] || '-3' || a[14:16] || '-' || substr('89ab', 1 + ('0x' || a[17:17])::INT % 4, 1) || a[18:20] || '-' || a[21:32] AS v3,
+      b[1:8] || '-' || b[9:12] || '-5' || b[14:16] || '-' || substr('89ab', 1 + ('0x' || b[17:17])::INT % 4, 1) || b[18:20] || '-' || b[21:32] AS v5, 5 AS five, 4 AS four FROM h""",
+)
+frame(
+    "v_numerals",
+    lambda s, d: read(s, d, "part").select("p_partkey", Y.scale(c("p_retailprice").cast("decimal(12,3)")).alias("scale"), Y.trim_scale(c("p_size").cast("decimal(12,3)")).alias("trimmed"), Y.min_scale((c("p_size") / 2).cast("decimal(12,3)")).alias("least"), Y.num_nonnulls(F.nullif(c("p_size"), F.lit(7)), c("p_name")).alias("n"), Y.random_between(3, 5, 1).between(3, 5).alias("within"), Y.size_pretty(c("p_partkey") * 1000000).alias("pretty"), Y.size_bytes(F.concat(c("p_size").cast("string"), F.lit(" kB"))).alias("bytes")),
+    """SELECT p_partkey, 3 AS scale, p_size::VARCHAR AS trimmed, p_size % 2 AS least, 1 + (p_size <> 7)::INT AS n, true AS within,
+      CASE WHEN b < 10240 THEN b || ' bytes' WHEN b < 10485248 THEN floor(b / 1024 + 0.5)::BIGINT || ' kB' ELSE floor(b / 1048576 + 0.5)::BIGINT || ' MB' END AS pretty, p_size::BIGINT * 1024 AS bytes FROM (SELECT *, p_partkey * 1000000 AS b FROM part)""",
+)
+frame(
+    "v_texts_arrays",
+    lambda s, d: read(s, d, "nation").select("n_nationkey", Y.convert_from(Y.convert_to(c("n_name"), "UTF-16"), "UTF-16").alias("back"), Y.to_ascii(F.concat(c("n_name"), F.lit(" é→ñ"))).alias("plain"), F.size(Y.array_fill(c("n_nationkey"), 2, 3)).alias("rows"), F.array_sort(Y.array_sample(F.array(F.lit(1), c("n_nationkey")), 2))[0].alias("least"), Y.regexp_split_to_table(c("n_name"), "[AEIOU]").alias("part")),
+    "SELECT n_nationkey, n_name AS back, n_name || ' e n' AS plain, 2 AS rows, least(1, n_nationkey) AS least, unnest(string_split_regex(n_name, '[AEIOU]')) AS part FROM nation",
+)
+frame(
+    "v_session",
+    lambda s, d: Y.session_info(s).select((c("current_user") == c("session_user")).alias("same"), (F.length("version") > 0).alias("versioned"), F.lit(Y.set_setting(s, "tidemark.example", "7") == Y.setting(s, "tidemark.example")).alias("kept"), F.lit(Y.setting(s, "tidemark.missing", True) is None).alias("missing")),
+    "SELECT true AS same, true AS versioned, true AS kept, true AS missing",
+)
