@@ -295,10 +295,10 @@ def join_groups(texts: DataFrame, roots: DataFrame, shingle: int, similarity: fl
     read = texts.mapInArrow(prefixes, PREFIX).join(roots, F.col("k") == roots.node, "left")
     read = materialize(read.select("k", F.xxhash64("k").alias("id"), F.xxhash64(F.coalesce("root", "k")).alias("g"), "n", "h", "s"), "similar-prefixes")
     posted = read.select("id", "g", F.explode("h").alias("h"))
-    # Lists of equal texts have equal counts and sums; a sum that overflows tells a list from all others.
-    sums = [F.coalesce(F.try_sum(F.shiftrightunsigned(x, 24)), F.col("h")).alias(name) for name, x in (("x", F.col("id")), ("y", F.xxhash64("id")))]
-    lists = posted.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("texts"), *sums).filter("lo <> hi")
-    lists = lists.groupBy("texts", "x", "y").agg(F.min("h").alias("h"))
+    # Lists of equal texts have equal counts, groups and sums; a sum that overflows tells a list from all others.
+    total = F.coalesce(F.try_sum(F.shiftrightunsigned("id", 24)), F.col("h"))
+    lists = posted.groupBy("h").agg(F.min("g").alias("lo"), F.max("g").alias("hi"), F.count("*").alias("texts"), total.alias("sum")).filter("lo <> hi")
+    lists = lists.groupBy("texts", "lo", "hi", "sum").agg(F.min("h").alias("h"))
     lists = materialize(lists.select("h", F.ceil(F.col("texts") / BLOCK_TEXTS).alias("blocks")), "similar-lists")
     dealt = in_blocks(posted.join(lists, "h"), F.col("blocks"), F.col("id")).select("h", "u", "v", "id", "g").join(read.select("id", "n", "s"), "id")
     stars = dealt.groupBy("h", "u", "v").agg(F.collect_list(F.struct("id", "g", "n", "s")).alias("x")).select("x").mapInArrow(_candidate_stars(similarity), "a long, b long")

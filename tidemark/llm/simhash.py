@@ -120,13 +120,12 @@ def one_per_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
     """
     roots = materialize(similar_groups(docs, text_col, **how), "similar-roots")
     keys = docs.select(text_key(text_col).alias("k"), col(id_col).alias("id"))
-    grouped = keys.groupBy("k", "id").agg(F.count("*").alias("n")).join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
-    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k", "n")).alias("b"))
-    best = materialize(best.select("b.k", F.col("b.id").alias("best"), "b.n"), "similar-kept")
+    grouped = keys.distinct().join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
+    best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("b"))
+    best = materialize(best.select("b.k", F.col("b.id").alias("best")), "similar-kept")
     rows = docs.select(text_key(text_col).alias("k"), col(id_col).alias("id"), carried(docs, docs.columns).alias("row"))
-    kept = rows.join(best, "k").filter(F.col("id").eqNullSafe(F.col("best")))
-    once, often = kept.filter("n = 1"), kept.filter("n > 1").dropDuplicates(["k"])
-    return once.unionByName(often).select(*uncarried("row", docs.columns))
+    kept = rows.join(best, "k").filter(F.col("id").eqNullSafe(F.col("best"))).dropDuplicates(["k"])
+    return kept.select(*uncarried("row", docs.columns))
 
 
 def digest(docs: DataFrame) -> DataFrame:
