@@ -32,7 +32,7 @@ from .common import binary_values, carried, col, others, portions, schema_of, sl
 MARK = "▁"
 #: Text worked through at once, and segments remembered by a worker, both to bound its memory.
 SLICE_BYTES = 2_000_000
-REMEMBERED = 250_000
+REMEMBERED = 200_000
 
 
 def _varint(data: bytes, i: int) -> tuple[int, int]:
@@ -81,6 +81,9 @@ class PieceModel:
         self.bytes_of = [t.encode() for t in self.text]
         for b, i in self.byte_ids.items():
             self.bytes_of[i] = bytes([b])
+        # What a piece shows by itself; None for bytes, which only together make characters.
+        self.plain_of = [None if k == 6 else t.replace(MARK, " ") for t, k in zip(self.text, kinds, strict=True)]
+        self.numeral = list(map(str, range(len(self.text))))
         score = {self.text[i]: (struct.unpack("<f", pieces[i][2])[0], i) for i, k in enumerate(kinds) if k == 1}
         if any("\n" in t for t in score) or any(MARK in t.lstrip(MARK) for t in score):
             raise ValueError("a piece crosses a line feed or an inner word mark")
@@ -154,10 +157,12 @@ class PieceModel:
         start = np.arange(len(chars))
         alone = np.zeros(len(segments), bool)
         done_owner, done_symbol, done_start = [], [], []
+        # The known pair that each symbol makes with the next; rounds look up again only what they changed.
+        at = np.full(len(symbol), len(self.pair))
+        inside = owner[:-1] == owner[1:]
+        at[:-1][inside] = self.lookup(symbol[:-1][inside], symbol[1:][inside])
         while len(symbol):
-            at = np.full(len(symbol), len(self.pair))
             inside = owner[:-1] == owner[1:]
-            at[:-1][inside] = self.lookup(symbol[:-1][inside], symbol[1:][inside])
             rank = self.pair_rank[at]
             first = np.flatnonzero(np.concatenate([[True], ~inside]))
             least = np.minimum.reduceat(rank, first)
@@ -185,25 +190,32 @@ class PieceModel:
             alone[np.unique(owner[merged][self.tied[least[merged]]])] = True
             fresh = np.zeros(len(symbol), bool)
             fresh[merged] = True
-            symbol, owner, start, fresh, was = symbol[kept], owner[kept], start[kept], fresh[kept], least[kept]
+            symbol, owner, start, at, fresh, was = symbol[kept], owner[kept], start[kept], at[kept], fresh[kept], least[kept]
+            at[fresh] = len(self.pair)
             near = np.flatnonzero((fresh[:-1] | fresh[1:]) & (owner[:-1] == owner[1:]))
-            better = self.pair_rank[self.lookup(symbol[near], symbol[near + 1])] <= was[near]
+            at[near] = self.lookup(symbol[near], symbol[near + 1])
+            better = self.pair_rank[at[near]] <= was[near]
             risky = owner[near[better]]
             alone[risky[times[risky] > 1]] = True
             if alone.any():
                 stay = ~alone[owner]
-                symbol, owner, start = symbol[stay], owner[stay], start[stay]
+                symbol, owner, start, at = symbol[stay], owner[stay], start[stay], at[stay]
         owner, symbol, start = map(np.concatenate, (done_owner, done_symbol, done_start)) if done_owner else (owner, symbol, start)
         order = np.lexsort((start, owner))
         owner, symbol, start = owner[order], symbol[order], start[order]
         ends = np.searchsorted(owner, np.arange(len(segments) + 1))
-        symbols, starts = symbol.tolist(), start.tolist()
+        # Segments of pieces only are slices; the others have characters to spell in bytes.
+        spelled = np.bincount(owner[symbol >= len(self.text)], minlength=len(segments)) > 0
+        symbols, starts, ends = symbol.tolist(), start.tolist(), ends.tolist()
         offset = (np.cumsum(size) - size).tolist()
         out = []
-        for i, s in enumerate(segments):
-            if alone[i]:
+        for i, (s, one, spell) in enumerate(zip(segments, alone.tolist(), spelled.tolist(), strict=True)):
+            if one:
                 out.append(self._piece_ids(self.single(s)))
                 continue
+            if not spell:
+                out.append(symbols[ends[i] : ends[i + 1]])
+                continue
             ids: list[int] = []
             for j in range(ends[i], ends[i + 1]):
                 if symbols[j] < len(self.text):
@@ -215,7 +227,10 @@ class PieceModel:
 
     def decode(self, ids: list[int]) -> str:
         """The text of a segment's ids, word marks as spaces."""
-        return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        plain = list(map(self.plain_of.__getitem__, ids))
+        if None in plain:
+            return b"".join(map(self.bytes_of.__getitem__, ids)).decode("utf-8", "replace").replace(MARK, " ")
+        return "".join(plain)
 
 
 def words_of(text: str) -> list[str]:
@@ -265,32 +280,33 @@ def text_slices(text: str, limit: int) -> Iterator[str]:
 
 
 class Encoder:
-    """A worker's memory of the segments met so far."""
+    """A worker's memory of the segments met lately: their ids as text, how many, and what they decode to.
+
+    It has two generations. When the younger is full it becomes the elder; what is met
+    again moves back to the younger, so that common segments stay.
+    """
 
     def __init__(self, path: str):
         self.model = PieceModel(path)
-        self.forget()
-
-    def forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.ids: list[bytes] = []
-        self.count: list[int] = []
-        self.text: list[str] = []
+        self.known: dict[str, tuple[bytes, int, str]] = {}
+        self.elder: dict[str, tuple[bytes, int, str]] = {}
 
     def learn(self, keys: set[str]) -> None:
-        new = sorted(keys - self.known.keys())
+        new = keys - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED:
-            self.forget()
-            new = sorted(keys)
+            self.known, self.elder = {}, self.known
+            new = keys
+        old = new & self.elder.keys()
+        for key in old:
+            self.known[key] = self.elder[key]
+        new = sorted(new - old)
+        numeral = self.model.numeral.__getitem__
         for i in range(0, len(new), 50_000):
             part = new[i : i + 50_000]
             for key, ids in zip(part, self.model.encode_segments([segment_of(k) for k in part]), strict=True):
-                self.known[key] = len(self.ids)
-                self.ids.append(" ".join(map(str, ids)).encode())
-                self.count.append(len(ids))
-                self.text.append(self.model.decode(ids))
+                self.known[key] = " ".join(map(numeral, ids)).encode(), len(ids), self.model.decode(ids)
 
-    def found(self, words: list[str]) -> list[int]:
+    def found(self, words: list[str]) -> list[tuple[bytes, int, str]]:
         return list(map(self.known.__getitem__, words))
 
 
@@ -313,10 +329,10 @@ def _digest_rows(e: Encoder, texts: list[str]) -> list[tuple[int, str, str]]:
         for part in [words] if words else (words_of(s) for s in text_slices(t, SLICE_BYTES)) if t else []:
             if not words:
                 e.learn(set(part))
-            at = e.found(part)
-            n += sum(map(e.count.__getitem__, at))
-            ids.update(b" ".join(map(e.ids.__getitem__, at)) + b" ")
-            decoded = "".join(map(e.text.__getitem__, at))
+            spelled, counts, texts_of = zip(*e.found(part), strict=True)
+            n += sum(counts)
+            ids.update(b" ".join(spelled) + b" ")
+            decoded = "".join(texts_of)
             plain.update((decoded[1:] if first else decoded).encode())
             first = False
         ids.update(str(e.model.eos).encode())
@@ -344,7 +360,7 @@ def encode(e: Encoder, text: str) -> list[int]:
     """All ids of a text, the end id included."""
     words = words_of(text) if text else []
     e.learn(set(words))
-    return [int(x) for i in e.found(words) for x in e.ids[i].split()] + [e.model.eos]
+    return [int(x) for spelled, _, _ in e.found(words) for x in spelled.split()] + [e.model.eos]
 
 
 def decode(e: Encoder, ids: list[int]) -> str:
