@@ -215,3 +215,15 @@ def test_the_workload_runs_over_every_layout(spark, tmp_path):
         for name, change in (("updated", matrix.updated), ("deleted", matrix.deleted)):
             got = layouts.read_layout(spark, str(tmp_path / f"{layout}_{name}")).select(*whole.columns)
             assert got.count() == change(whole).count() and got.exceptAll(change(whole)).isEmpty()
+
+
+def test_a_stream_closes_out_periods_batch_by_batch(spark, tmp_path):
+    from tidemark.streaming import operators as S
+
+    current = spark.createDataFrame([("a", at(0), None), ("b", at(1), None), ("c", at(0), at(1))], "key string, lo timestamp_ntz, hi timestamp_ntz")
+    source = tmp_path / "in"
+    for i, batch in enumerate([[("a", at(5)), ("d", at(6))], [("a", at(9))]]):
+        spark.createDataFrame(batch, "key string, at timestamp_ntz").coalesce(1).write.mode("append").parquet(str(source))
+    stream = S.file_stream(spark, str(source), "key string, at timestamp_ntz", files_per_trigger=1)
+    got = {(r["key"], r["lo"], r["hi"]) for r in S.close_out(stream, current, "key", "at", str(tmp_path / "table")).collect()}
+    assert got == {("a", at(0), at(5)), ("a", at(5), at(9)), ("a", at(9), None), ("b", at(1), None), ("c", at(0), at(1)), ("d", at(6), None)}

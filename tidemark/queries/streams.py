@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..streaming import operators as S
@@ -41,12 +43,12 @@ frame("st_interval_join", joined, "SELECT a.event_id AS e1, b.event_id AS e2 FRO
 
 
 def scd2(s, d):
-    """The table after closing out one batch of new orders against the rest."""
+    """A table of periods that a stream of new orders closes out."""
     old = read(s, d, "orders").filter("o_orderdate < '1999-01-01'")
     w = "lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)"
     current = old.selectExpr("o_custkey AS key", "o_orderdate AS lo", f"{w} AS hi")
-    batch = read(s, d, "orders").filter("o_orderdate >= '1999-01-01'").selectExpr("o_custkey AS key", "o_orderdate AS at")
-    return S.upsert_periods(current, batch, "key", "at")
+    new = S.file_stream(s, d, read(s, d, "orders").schema, "orders.parquet").filter("o_orderdate >= '1999-01-01'").selectExpr("o_custkey AS key", "o_orderdate AS at")
+    return S.close_out(new, current, "key", "at", f"{s.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark_scd2_{uuid.uuid4().hex}")
 
 
 frame("st_scd2", scd2, "SELECT key, lo, hi FROM orders_valid")

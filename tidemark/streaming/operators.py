@@ -52,6 +52,26 @@ def upsert_periods(current: DataFrame, batch: DataFrame, key: str, at: str) -> D
     return still.unionByName(rows.unionByName(new).withColumn("hi", F.lead("lo").over(w)))
 
 
+def close_out(stream: DataFrame, current: DataFrame, key: str, at: str, folder: str) -> DataFrame:
+    """upsert_periods() for every micro-batch of a stream, until it has no more; the table that they leave.
+
+    Batch n reads version n of the table in `folder` and writes version n + 1, so a batch that is run
+    again after a failure gives the same version.
+    """
+    spark = current.sparkSession
+    current.write.mode("overwrite").parquet(f"{folder}/version-0")
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        before = batch.sparkSession.read.schema(current.schema).parquet(f"{folder}/version-{number}")
+        upsert_periods(before, batch, key, at).write.mode("overwrite").parquet(f"{folder}/version-{number + 1}")
+
+    query = stream.writeStream.foreachBatch(on_batch).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start()
+    query.awaitTermination()
+    last = query.lastProgress
+    done = last["batchId"] + 1 if last and last["numInputRows"] else max((p["batchId"] + 1 for p in query.recentProgress if p["numInputRows"]), default=0)
+    return spark.read.schema(current.schema).parquet(f"{folder}/version-{done}")
+
+
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
     """Run a stream over all that is there, into memory, and return the result as a table."""
     name = f"drained_{uuid.uuid4().hex}"
