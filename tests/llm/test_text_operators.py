@@ -139,6 +139,26 @@ def test_suffix_dedup_equals_brute_force(spark, bucket_rows):
     assert 0 < sum(w[2] for w in want) < sum(w[1] for w in want)
 
 
+def test_suffix_dedup_of_the_documents(spark, sf_dir):
+    """The query's own table and width, by bytes; exact copies and shared passages are changed, rows alone are not."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    got = {x["doc_id"]: tuple(x)[1:] for x in suffix_dedup.digest(docs).collect()}
+    raw, n = [(t or "").encode() for _, t in rows], Counter()
+    for b in raw:
+        n.update(hash(b[i : i + 400]) for i in range(len(b) - 399))
+    for (i, _), b in zip(rows, raw, strict=True):
+        kept, spans, end = bytearray(), 0, 0
+        for s in range(len(b)):
+            if s + 400 <= len(b) and n[hash(b[s : s + 400])] > 1:
+                spans += s > end or not end
+                end = s + 400
+            if s >= end:
+                kept.append(b[s])
+        assert got[i] == (len(b), len(b) - len(kept), spans, sha(bytes(kept)))
+    assert 0 < sum(x[1] > 0 for x in got.values()) < len(rows)
+
+
 def test_slices_of_long_texts_change_nothing(monkeypatch):
     from tidemark.llm import windows
 
