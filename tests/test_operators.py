@@ -227,3 +227,44 @@ def test_a_stream_closes_out_periods_batch_by_batch(spark, tmp_path):
     stream = S.file_stream(spark, str(source), "key string, at timestamp_ntz", files_per_trigger=1)
     got = {(r["key"], r["lo"], r["hi"]) for r in S.close_out(stream, current, "key", "at", str(tmp_path / "table")).collect()}
     assert got == {("a", at(0), at(5)), ("a", at(5), at(9)), ("a", at(9), None), ("b", at(1), None), ("c", at(0), at(1)), ("d", at(6), None)}
+
+
+def test_pages_are_skipped_and_kept_true(spark, tmp_path):
+    from tidemark.plans.pages import PageIndex
+
+    df = generator.generate(spark, 3000, "history_skew")
+    index = PageIndex(spark, str(tmp_path / "index"))
+    index.build(df, 6)
+    index.insert(generator.generate(spark, 200, "balanced").withColumn("id", F.col("id") + 10_000))
+    whole = df.unionByName(generator.generate(spark, 200, "balanced").withColumn("id", F.col("id") + 10_000))
+    a, b = (F.lit(x).cast("timestamp_ntz") for x in ("2024-03-01", "2024-03-05"))
+    for operator, same in P.BOX_OPERATORS.items():
+        for attr in (10, 500):
+            assert ids(index.scan(a, b, attr, operator)) == ids(whole.filter(same("attr", "lo", "hi", F.lit(attr), a, b)))
+    assert index.stats["scans"] == 6 and 0 < index.stats["pages_read"] < index.stats["pages_skipped"]
+    boxes = {r["page"]: r for r in index.pages().collect()}
+    assert {r["kind"] for r in boxes.values()} == {"CURRENT", "HISTORY"} and sum(r["rows"] for r in boxes.values()) == 3200
+    near, far = index.estimate(a, b, 10), PageIndex(spark, str(tmp_path / "index"), force=True).estimate(a, b, 10)
+    assert near["pages"] < len(boxes) and far["cost"] == pytest.approx(near["cost"] * 0.05)
+    changed = index.bulk_delete((F.col("attr") == 10) & F.col("hi").isNotNull())
+    assert 0 < changed < len(boxes) and ids(index.rows()) == ids(whole.filter("NOT (attr = 10 AND hi IS NOT NULL)"))
+    assert index.bulk_delete(F.col("attr") == 999) == 0
+    index.reset_stats()
+    assert not index.stats
+
+
+def test_penalties_and_splits():
+    from tidemark.plans import pages
+
+    box = pages.Box
+    history, current = box(1, 5, 0, 10**12), box(1, 5, 0, None)
+    grown = pages.penalty(history, box(1, 9, 0, 10**12))
+    assert grown == pytest.approx(10**12 / pages.TIME_MAX * 4 / 99)
+    assert pages.penalty(current, box(1, 9, 0, None)) == pytest.approx(0.5 * (box(1, 9, 0, None).area() - current.area()))
+    assert pages.penalty(history, current) == pytest.approx(2 * (current.area() - history.area()))
+    still = [box(i, i, t, None) for i, t in enumerate((0, 1, 2, 100, 101))]
+    assert pages.pick_split(still) == ([0, 1, 2], [3, 4])
+    assert pages.pick_split([box(1, 1, 7, None)] * 3) == ([0, 1], [2])
+    mixed = [box(1, 1, 0, 10), box(90, 90, 10**14, 10**14 + 5), box(2, 2, 5, 20), box(88, 88, 10**14 - 9, 10**14)]
+    assert [sorted(s) for s in pages.pick_split(mixed)] == [[0, 2], [1, 3]]
+    assert pages.kind(still) == "CURRENT" and pages.kind([history]) == "HISTORY" and pages.kind([history, current]) == "MIXED"
