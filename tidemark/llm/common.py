@@ -132,7 +132,7 @@ def small_batches(df: DataFrame) -> DataFrame:
     JVM and worker each hold a batch or two a task, and rows of whole texts make large ones.
     """
     conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    if conf.get(name) in ("67108864b", "64m", "67108864"):
+    if conf.get(name, None) in ("67108864b", "64m", "67108864"):
         conf.set(name, f"{BATCH_BYTES}b")
     return df
 
