@@ -204,7 +204,9 @@ def _sorted_buckets(width: int):
                 if bucket and r["a"] != bucket[0]["a"]:
                     close()
                     bucket = []
-                bucket.append(r)
+                # Another copy of a text may have been met by another task.
+                if not bucket or any(r[c] != bucket[-1][c] for c in ("k", "at", "place")):
+                    bucket.append(r)
             yield batch()
         if bucket:
             close()
@@ -216,9 +218,6 @@ def _sorted_buckets(width: int):
 def suffix_spans(texts: DataFrame, rows: DataFrame, width: int) -> DataFrame:
     """Spans of the open rows, bucket by bucket."""
     contexts = with_text(texts, rows, _contexts(width), "a m lo hi at", "k binary, a long, wanted boolean, at int, place int, content binary")
-    # Copies of a text that several tasks met give the same contexts; they go before a bucket is gathered.
-    once = contexts.groupBy("a", "k", "at", "place").agg(F.first("wanted").alias("wanted"), F.first("content").alias("content"))
-    contexts = once.select("k", "a", "wanted", "at", "place", "content")
     dealt = contexts.repartition(int(contexts.sparkSession.conf.get("spark.sql.shuffle.partitions")), "a")
     sorted_ = dealt.sortWithinPartitions("a", "k", "at", "place")
     return sorted_.mapInArrow(_sorted_buckets(width), SPAN)
