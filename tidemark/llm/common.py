@@ -51,6 +51,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     if _written:
         _written[-1].append(path)
     df.write.parquet(path)
+    if not spark.sparkContext.master.startswith("local["):
+        # What was shuffled for this table is not needed again. Spark deletes it once the driver has
+        # collected its garbage, which a driver with little to do puts off for up to half an hour.
+        spark._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
