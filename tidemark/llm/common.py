@@ -59,15 +59,34 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 @contextmanager
-def written_tables(spark: SparkSession) -> Iterator[None]:
-    """Deletes, at its end, the tables that operators wrote within it; store their results before."""
+def written_tables(spark: SparkSession) -> Iterator[list[str]]:
+    """Deletes, at its end, the tables that operators wrote within it; store their results before.
+
+    last_stays() exempts the one that was written last.
+    """
     _written.append([])
     try:
-        yield
+        yield _written[-1]
     finally:
         for path in _written.pop():
-            place = spark._jvm.org.apache.hadoop.fs.Path(path)
-            place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+            _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def first_goes(spark: SparkSession, written: list[str]) -> None:
+    """The table written first in this scope isn't needed any more."""
+    _delete(spark, written.pop(0))
+
+
+def last_stays(written: list[str]) -> None:
+    """The table written last in this scope is left to the scope around it."""
+    path = written.pop()
+    if len(_written) > 1:
+        _written[-2].append(path)
 
 
 def text_or_empty(text_col: str) -> Column:

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import carried, col, materialize, per_row, small_batches, text_key, text_or_empty, uncarried
+from .common import carried, col, last_stays, materialize, per_row, small_batches, text_key, text_or_empty, uncarried, written_tables
 from .components import components
 from .position_index import links
 from .shingle_join import join_groups, unseen, verified, word_sets
@@ -118,7 +118,9 @@ def one_per_group(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id
 
     Of rows that share that id and text, any one stays.
     """
-    roots = materialize(similar_groups(docs, text_col, **how), "similar-roots")
+    with written_tables(docs.sparkSession) as written:
+        roots = materialize(similar_groups(docs, text_col, **how), "similar-roots")
+        last_stays(written)
     keys = docs.select(text_key(text_col).alias("k"), col(id_col).alias("id"))
     grouped = keys.distinct().join(roots, "k", "left").withColumn("root", F.coalesce("root", "k"))
     best = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "k")).alias("b"))

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, portions, schema_of, small_batches, table_path, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, last_stays, materialize, others, portions, schema_of, small_batches, table_path, text_key, text_or_empty, uncarried, written_tables
 from .repeats import Settled, anchor_entries, keyed, merged, run_rows, spans_by_text, window_spans
 from .windows import Words
 
@@ -129,9 +129,11 @@ def _without_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def _removed(docs: DataFrame, text_col: str, texts: DataFrame, repeated: DataFrame, width: int) -> DataFrame:
     """docs without the words of windows that repeat among texts, by the fingerprints that do."""
-    settled = Settled(run_rows(texts, Words, width), repeated, width, "substring")
-    spans = settled.spans.unionByName(window_spans(texts, settled.open, Words, width, "substring"))
-    by_text = spans_by_text(spans, "substring")
+    with written_tables(docs.sparkSession) as written:
+        settled = Settled(run_rows(texts, Words, width), repeated, width, "substring")
+        spans = settled.spans.unionByName(window_spans(texts, settled.open, Words, width, "substring"))
+        by_text = spans_by_text(spans, "substring")
+        last_stays(written)
     rest = others(docs, text_col, "n_words", "n_removed")
     rows = docs.select(carried(docs, rest).alias("row"), text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
     out = rows.join(by_text, "k", "left").select("row", "t", "x")

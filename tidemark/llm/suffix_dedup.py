@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import binary_values, carried, col, materialize, others, portions, schema_of, small_batches, text_key, text_or_empty, uncarried
+from .common import binary_values, carried, col, first_goes, last_stays, materialize, others, portions, schema_of, small_batches, text_key, text_or_empty, uncarried, written_tables
 from .repeats import SPAN, Settled, anchor_entries, keyed, merged, run_rows, spans_by_text, window_spans, with_text
 from .windows import Bytes
 
@@ -252,15 +252,18 @@ def _without_bytes(whole: bool):
 def suffix_dedup(docs: DataFrame, text_col: str = "text", width: int = 400, bucket_rows: int = 4096, whole: bool = False) -> DataFrame:
     """docs with `kept` (binary; with `whole` a string of whole characters) and n_bytes, n_removed, n_spans: repeated strings of `width` bytes removed."""
     texts = keyed(small_batches(docs), text_col)
-    runs = materialize(run_rows(texts, Bytes, width), "suffix-windows")
-    entries = anchor_entries(runs).filter("n > 1")
-    repeated = materialize(entries.select("a", (F.col("c_min") == F.col("c_max")).alias("uniform")), "suffix-repeated")
-    settled = Settled(runs, repeated, width, "suffix")
-    spans = settled.spans.unionByName(suffix_spans(texts, settled.open.filter(F.col("contents") <= bucket_rows), width))
-    large = settled.open.filter(F.col("contents") > bucket_rows)
-    if not large.isEmpty():
-        spans = spans.unionByName(window_spans(texts, large, Bytes, width, "suffix"))
-    by_text = spans_by_text(spans, "suffix")
+    with written_tables(docs.sparkSession) as written:
+        runs = materialize(run_rows(texts, Bytes, width), "suffix-windows")
+        entries = anchor_entries(runs).filter("n > 1")
+        repeated = materialize(entries.select("a", (F.col("c_min") == F.col("c_max")).alias("uniform")), "suffix-repeated")
+        settled = Settled(runs, repeated, width, "suffix")
+        first_goes(docs.sparkSession, written)  # the runs
+        spans = settled.spans.unionByName(suffix_spans(texts, settled.open.filter(F.col("contents") <= bucket_rows), width))
+        large = settled.open.filter(F.col("contents") > bucket_rows)
+        if not large.isEmpty():
+            spans = spans.unionByName(window_spans(texts, large, Bytes, width, "suffix"))
+        by_text = spans_by_text(spans, "suffix")
+        last_stays(written)
     rest = others(docs, "kept", "n_bytes", "n_removed", "n_spans")
     rows = docs.select(carried(docs, rest).alias("row"), text_key(text_col).alias("k"), text_or_empty(text_col).alias("t"))
     out = rows.join(by_text, "k", "left").select("row", "t", "x")
