@@ -268,3 +268,12 @@ def test_penalties_and_splits():
     mixed = [box(1, 1, 0, 10), box(90, 90, 10**14, 10**14 + 5), box(2, 2, 5, 20), box(88, 88, 10**14 - 9, 10**14)]
     assert [sorted(s) for s in pages.pick_split(mixed)] == [[0, 2], [1, 3]]
     assert pages.kind(still) == "CURRENT" and pages.kind([history]) == "HISTORY" and pages.kind([history, current]) == "MIXED"
+
+
+def test_a_lateral_limit_ranks_by_its_order(spark, sf_dir):
+    """The rank carries the order itself; a sort before a shuffle does not survive it."""
+    from tidemark import queries
+
+    plan = queries.queries()["j_lateral"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    window = next(line for line in plan.splitlines() if "row_number()" in line)
+    assert "o_totalprice" in window and "DESC" in window and "+- Sort" not in plan
