@@ -41,6 +41,15 @@ def test_query_matches_sql(spark, sf_dir, oracle, name):
     assert rows(ours) == rows(theirs)
 
 
+def test_numerals_of_large_keys(spark, tmp_path):
+    """Sizes beyond the SQL's last unit."""
+    at = f"{tmp_path}/part.parquet"
+    duckdb.connect().execute(f"COPY (SELECT k::BIGINT AS p_partkey, 'x' AS p_name, 1 + (k % 50)::INT AS p_size, 900.5 + k % 7 AS p_retailprice FROM (SELECT unnest([0, 10, 11, 10737, 10738, 10739, 1200000, 20000000]) AS k)) TO '{at}'")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM read_parquet('{at}')")
+    assert rows(QUERIES["v_numerals"](spark, str(tmp_path)).toPandas()) == rows(con.execute(SQL["v_numerals"]).df())
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).columns

@@ -113,11 +113,12 @@ def int_array_enum(a: Column) -> Column:
 
 
 # Sizes.
-def size_pretty(n: Column) -> Column:
-    """Bytes in the largest unit that keeps them from 10 units up, rounded half up."""
+def size_pretty(n: Column, largest: str = "PB") -> Column:
+    """Bytes in the largest unit, up to `largest`, that keeps them from 10 units up, rounded half up."""
     n = n.cast("decimal(38,0)")
     out = F.concat(n.cast("string"), F.lit(" bytes"))
-    for i, u in enumerate(("kB", "MB", "GB", "TB", "PB"), 1):
+    units = ("kB", "MB", "GB", "TB", "PB")
+    for i, u in enumerate(units[: units.index(largest) + 1], 1):
         shown = F.floor((n / F.lit(1024**i) + F.lit(0.5)).cast("decimal(38,6)"))
         # The unit below would show 10240 or more.
         out = F.when(F.abs(n) >= 10240 * 1024 ** (i - 1) - (0 if i == 1 else 512 * 1024 ** (i - 2)), F.concat(shown.cast("string"), F.lit(f" {u}"))).otherwise(out)
