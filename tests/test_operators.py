@@ -1,5 +1,6 @@
 """Boundary cases and plans of the base library's operators."""
 
+import re
 from datetime import datetime, timedelta
 
 import pytest
@@ -277,3 +278,26 @@ def test_a_lateral_limit_ranks_by_its_order(spark, sf_dir):
     plan = queries.queries()["j_lateral"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     window = next(line for line in plan.splitlines() if "row_number()" in line)
     assert "o_totalprice" in window and "DESC" in window and "+- Sort" not in plan
+
+
+@pytest.mark.parametrize("bucket", [1, 50])
+def test_overlap_totals_equal_those_of_the_pairs(spark, bucket):
+    """Nulls and empty periods included; the plan makes no pairs."""
+    rows = [(i % 3 if i % 11 else None, i * 2 % 17, None if i % 7 == 0 else i * 2 % 17 + i % 5) for i in range(60)] + [(1, None, None), (1, None, 4), (2, 90, 95)]
+    left = table(spark, rows).withColumn("id", F.floor(F.col("id") / 2))
+    right = table(spark, rows[::2]).withColumn("id", F.when(F.col("id") % 3 > 0, F.col("id")))
+    live = F.expr("(l_hi IS NULL OR l_hi > l_lo) AND (r_hi IS NULL OR r_hi > r_lo) AND (r_hi IS NULL OR l_lo < r_hi) AND (l_hi IS NULL OR r_lo < l_hi)")
+    l, r = (df.select(*[F.col(c).alias(f"{p}{c}") for c in df.columns]) for df, p in ((left, "l_"), (right, "r_")))
+    for on in ([], ["attr"]):
+        pairs = l.join(r, [live, *[F.col(f"l_{c}") == F.col(f"r_{c}") for c in on]])
+        want = pairs.groupBy("l_id").agg(F.count("*").alias("n"), F.sum("r_id").alias("r_id"))
+        got = T.overlap_totals(left, right, "id", on, ["id"], bucket)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and want.count() > 5
+
+
+def test_interval_queries_make_no_pairs(spark, sf_dir):
+    from tidemark import queries
+
+    for name in ("t_interval_join",):
+        plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert not re.search(r"Join Inner, .* [<>]=? ", plan)
