@@ -298,6 +298,6 @@ def test_overlap_totals_equal_those_of_the_pairs(spark, bucket):
 def test_interval_queries_make_no_pairs(spark, sf_dir):
     from tidemark import queries
 
-    for name in ("t_interval_join",):
+    for name in ("t_interval_join", "t_interval_join_keyed"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"Join Inner, .* [<>]=? ", plan)
