@@ -301,3 +301,19 @@ def test_interval_queries_make_no_pairs(spark, sf_dir):
     for name in ("t_interval_join", "t_interval_join_keyed"):
         plan = queries.queries()[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert not re.search(r"Join Inner, .* [<>]=? ", plan)
+
+
+def test_drained_results_stay_out_of_the_driver(spark, tmp_path):
+    from tidemark.streaming import operators as S
+
+    source = tmp_path / "in"
+    for n in (3, 5):
+        spark.range(n).coalesce(1).write.mode("append").parquet(str(source))
+    stream = lambda: S.file_stream(spark, str(source), "id long", files_per_trigger=1)
+    totals, rows = S.drain(stream().groupBy("id").count()), S.drain(stream(), "append")
+    assert sorted(map(tuple, totals.collect())) == [(0, 2), (1, 2), (2, 2), (3, 1), (4, 1)]
+    assert sorted(r[0] for r in rows.collect()) == [0, 0, 1, 1, 2, 2, 3, 4]
+    (tmp_path / "none").mkdir()
+    assert S.drain(S.file_stream(spark, str(tmp_path / "none"), "id long"), "append").count() == 0
+    for df in (totals, rows):
+        assert len(df.inputFiles()) and "MemoryPlan" not in df._jdf.queryExecution().analyzed().toString()

@@ -1,7 +1,7 @@
 """Structured Streaming plans: the same windows and periods over a stream of events.
 
-Sources are folders of files with a given schema; sinks are in memory for
-tests, or any writer. State is bounded by watermarks.
+Sources are folders of files with a given schema; results are drained into
+files, or any writer. State is bounded by watermarks.
 """
 
 from __future__ import annotations
@@ -73,8 +73,17 @@ def close_out(stream: DataFrame, current: DataFrame, key: str, at: str, folder:
 
 
 def drain(df: DataFrame, mode: str = "complete") -> DataFrame:
-    """Run a stream over all that is there, into memory, and return the result as a table."""
-    name = f"drained_{uuid.uuid4().hex}"
-    query = df.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return df.sparkSession.table(name)
+    """Run a stream over all that is there, into files beside the warehouse's tables, and return the result as a table.
+
+    Each batch writes a folder of its own, again if it is run again; in complete mode the last one is the result.
+    """
+    spark = df.sparkSession
+    folder, done = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tidemark_drained_{uuid.uuid4().hex}", []
+
+    def on_batch(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/batch-{number}")
+        done.append(f"{folder}/batch-{number}")
+
+    df.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", f"{folder}/log").trigger(availableNow=True).start().awaitTermination()
+    found = done[-1:] if mode == "complete" else list(dict.fromkeys(done))
+    return spark.read.schema(df.schema).parquet(*found) if found else spark.createDataFrame([], df.schema)
