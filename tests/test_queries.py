@@ -50,6 +50,20 @@ def test_numerals_of_large_keys(spark, tmp_path):
     assert rows(QUERIES["v_numerals"](spark, str(tmp_path)).toPandas()) == rows(con.execute(SQL["v_numerals"]).df())
 
 
+def test_nearest_per_key_of_odd_values(spark, tmp_path):
+    """Equal values and ids, values that differ by less than rounding, nulls, infinities, few of a key; no pairs are joined."""
+    con = duckdb.connect()
+    con.execute("CREATE TABLE v AS SELECT * FROM (VALUES (0.0), (5.5), (5.5), (1e-18), (2e-18), (3e-18), (4e-18), (5e-18), (6e-18), (100.0), (-3.25), ('inf'), ('-inf'), ('nan'), (NULL), (NULL), (7.0), (1e308), (-1e308)) t(b)")
+    con.execute("CREATE TABLE customer AS SELECT (row_number() OVER () * 7919 % 1009)::BIGINT AS c_custkey, (i % 3)::INT AS c_nationkey, b::DOUBLE AS c_acctbal FROM v, range(4) t(i)")
+    con.execute("INSERT INTO customer VALUES (1, 7, 3.0), (2, 7, NULL), (5, NULL, 1.0)")
+    con.execute("CREATE TABLE supplier AS SELECT row_number() OVER () AS s_suppkey, k::INT AS s_nationkey, b::DOUBLE AS s_acctbal FROM v, (VALUES (0), (1), (7), (9), (NULL)) t(k)")
+    for name in ("customer", "supplier"):
+        con.execute(f"COPY {name} TO '{tmp_path}/{name}.parquet'")
+    df = QUERIES["j_knn_per_key"](spark, str(tmp_path))
+    assert rows(df.toPandas()) == rows(con.execute(SQL["j_knn_per_key"]).df())
+    assert "(s_nationkey#" not in "".join(x for x in df._jdf.queryExecution().optimizedPlan().toString().splitlines() if "c_nationkey" in x and "Join" in x)
+
+
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(SQL)))
 def test_query_runs(spark, sf_dir, name):
     assert QUERIES[name](spark, sf_dir).columns
