@@ -108,6 +108,37 @@ def test_the_stopping_test_leaves_rows_of_other_clusters_unread():
     assert search.reach(low, high, Q, kth, np.ones(len(Q), bool)).mean() < 1
 
 
+class Counted(np.ndarray):
+    """Counts the rows that are taken out one by one."""
+
+    taken = 0
+
+    def __getitem__(self, key):
+        if isinstance(key, np.ndarray):
+            Counted.taken += len(key)
+        return super().__getitem__(key)
+
+
+def test_a_block_of_queries_measures_few_pairs_singly_and_finds_what_single_queries_find():
+    r = np.random.default_rng(3)
+    X = r.normal(0, 1, (4096, 64)) / 8
+    X[1000:1100] = X[32]
+    ids, at = r.permutation(4096), np.arange(0, 4096, 16)
+    search = ann.ProjectedSearch(64, float((X**2).sum(1).max()))
+    index = search.prepare(ids, X)
+    index = (index[0], index[1].view(Counted), *index[2:])
+    kth = np.sort([(X * q).sum(1) for q in X[at]], axis=1)[:, -40]
+    for bounds, known in ((np.zeros(256), np.zeros(256, bool)), (kth, np.arange(256) % 8 > 0)):
+        found = []
+        for block in (256, 1):
+            Counted.taken = 0
+            parts = [search.run(index, ids[at[i : i + block]], X[at[i : i + block]], bounds[i : i + block], known[i : i + block], 20) for i in range(0, 256, block)]
+            found.append([(q + i * block, j, s) for i, part in enumerate(parts) for q, j, s in zip(*(x.tolist() for x in part), strict=True)])
+            assert Counted.taken < 0.2 * 256 * 4096
+        assert found[0] == found[1]
+        assert [j for q, j, _ in found[0] if q == 2] == sorted(ids[1000:1100].tolist())[:20]
+
+
 def test_top_k_skips_cells_whose_corner_cannot_reach():
     search = topk_search.ThresholdSearch()
     low, high = np.array([[0.0, 0.0], [8.0, 8.0]]), np.array([[1.0, 1.0], [9.0, 9.0]])

@@ -31,7 +31,11 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .vectors import PROJECTED, Search, best, top_of_all, valid_vectors
+from .vectors import PROJECTED, Search, top_of_all, valid_vectors
+
+EPS = np.finfo(float).eps
+#: Components multiplied at a time where scores are measured one by one.
+VERIFIED_VALUES = 1 << 22
 
 
 def chi_square_quantile(p: float, dof: int) -> float:
@@ -63,6 +67,15 @@ class Tree:
     order: np.ndarray
 
 
+@dataclass
+class Walk(Tree):
+    """A tree as a block of queries has walked it: where each query's leaves begin, the leaves, nearest first, and their distances."""
+
+    first: np.ndarray
+    leaf: np.ndarray
+    away: np.ndarray
+
+
 def kd_tree(P: np.ndarray, leaf_rows: int) -> Tree:
     """Nodes split at the median of the widest dimension; equal points stay together."""
     low, high, child, start, end, order = [], [], [], [], [], []
@@ -124,47 +137,72 @@ class ProjectedSearch(Search):
         tree = kd_tree(P, self.leaf_rows)
         return ids[tree.order], X[tree.order], P[tree.order], tree
 
-    def leaves(self, tree: Tree, p: np.ndarray, limit: float) -> tuple[np.ndarray, np.ndarray]:
-        """Leaves that pass the limit and their distances, nearest first; branches that don't are not entered."""
-        level, out, away = np.zeros(1, np.int64), [], []
-        while len(level):
-            gap = gaps(tree.low[level], tree.high[level], p)
-            level, gap = level[gap <= limit], gap[gap <= limit]
-            leaf = tree.child[level, 0] < 0
-            out.append(level[leaf])
-            away.append(gap[leaf])
-            level = tree.child[level[~leaf]].ravel()
-        out, away = np.concatenate(out), np.concatenate(away)
-        near = np.argsort(away, kind="stable")
-        return out[near], away[near]
+    def walk(self, tree: Tree, PQ: np.ndarray, limits: np.ndarray) -> Walk:
+        """All queries from the root, a level at a time; a query enters no branch that doesn't pass its limit."""
+        at, node, found = np.arange(len(PQ)), np.zeros(len(PQ), np.int64), []
+        while len(node):
+            gap = gaps(tree.low[node], tree.high[node], PQ[at])
+            passed = gap <= limits[at]
+            at, node, gap = at[passed], node[passed], gap[passed]
+            leaf = tree.child[node, 0] < 0
+            found.append((at[leaf], node[leaf], gap[leaf]))
+            at, node = np.repeat(at[~leaf], 2), tree.child[node[~leaf]].ravel()
+        at, node, gap = (np.concatenate(x) for x in zip(*found, strict=True))
+        near = np.lexsort((gap, at))
+        return Walk(**vars(tree), first=np.searchsorted(at[near], np.arange(len(PQ) + 1)), leaf=node[near], away=gap[near])
+
+    def leaves(self, walk: Walk, i: int, limit: float) -> tuple[np.ndarray, np.ndarray]:
+        """Query i's leaves within the limit and their distances, nearest first."""
+        begin, end = walk.first[i : i + 2]
+        here = slice(begin, begin + np.searchsorted(walk.away[begin:end], limit, side="right"))
+        return walk.leaf[here], walk.away[here]
 
     def run(self, index: tuple, query_ids: np.ndarray, Q: np.ndarray, bounds: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         ids, X, P, tree = index
         PQ, limits, norms = Q @ self.matrix[:-1], self.limit(Q, bounds, known), np.einsum("ij,ij->i", Q, Q)
-        out_at, out_ids, out_scores = [], [], []
-        for i, qid in enumerate(query_ids.tolist()):
-            limit = limits[i]
-            leaves, away = self.leaves(tree, PQ[i], limit)
-            got_ids, got = np.empty(0, np.int64), np.empty(0)
-            met, stride = 0, 4
-            while met < len(leaves) and away[met] <= limit:
-                some = leaves[met : met + stride]
-                met, stride = met + stride, stride * 2
-                rows = np.concatenate([np.arange(tree.start[x], tree.end[x]) for x in some])
-                rows = rows[np.square(P[rows] - PQ[i]).sum(1) <= limit]
-                rows = rows[ids[rows] != qid]
-                score = (X[rows] * Q[i]).sum(1)
-                if known[i]:
-                    rows, score = rows[score >= bounds[i]], score[score >= bounds[i]]
-                got_ids, got = np.concatenate([got_ids, ids[rows]]), np.concatenate([got, score])
-                keep = best(got_ids, got, k)
-                got_ids, got = got_ids[keep], got[keep]
-                if len(got) == k:
-                    limit = min(limit, self.quantile * max(norms[i] + self.peak - 2 * got[-1], 0.0))
-            out_at.append(np.full(len(got), i))
-            out_ids.append(got_ids)
-            out_scores.append(got)
-        return np.concatenate(out_at), np.concatenate(out_ids), np.concatenate(out_scores)
+        # Products of whole leaves are rounded otherwise than single ones: they get this room, and what passes is measured again.
+        room = 4 * Q.shape[1] * EPS * np.sqrt(norms * np.einsum("ij,ij->i", X, X).max())
+        PP, PPQ = np.einsum("ij,ij->i", P, P), np.einsum("ij,ij->i", PQ, PQ)
+        near_room = 8 * PROJECTED * EPS * (PPQ + PP.max())
+        need = np.where(known, bounds, -np.inf)
+        walk = self.walk(tree, PQ, limits)
+        listed = [self.leaves(walk, i, limits[i]) for i in range(len(Q))]
+        lengths = np.array([len(x) for x, _ in listed])
+        of = np.repeat(np.arange(len(Q)), lengths)
+        turn = np.arange(len(of)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+        leaf, away = (np.concatenate(x) for x in zip(*listed, strict=True))
+        got_at, got_ids, got = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0)
+        met, stride = 0, 4
+        while met < lengths.max():
+            now = np.flatnonzero((turn >= met) & (turn < met + stride) & (away <= limits[of]))
+            met, stride = met + stride, stride * 2
+            if not len(now):
+                break
+            now = now[np.argsort(leaf[now], kind="stable")]
+            asked = np.split(of[now], np.flatnonzero(np.diff(leaf[now])) + 1)
+            some_at, some_rows = [], []
+            for at, node in zip(asked, np.unique(leaf[now]).tolist(), strict=True):
+                rows = slice(tree.start[node], tree.end[node])
+                near = PPQ[at, None] + PP[rows] - 2 * (PQ[at] @ P[rows].T)
+                score = Q[at] @ X[rows].T
+                y, x = np.nonzero(~((near > (limits + near_room)[at, None]) | (score < (need - room)[at, None])))
+                some_at.append(at[y])
+                some_rows.append(x + tree.start[node])
+            at, rows = np.concatenate(some_at), np.concatenate(some_rows)
+            other = ids[rows] != query_ids[at]
+            at, rows = at[other], rows[other]
+            step = max(1, VERIFIED_VALUES // Q.shape[1])
+            score = np.concatenate([np.empty(0), *((X[rows[i : i + step]] * Q[at[i : i + step]]).sum(1) for i in range(0, len(rows), step))])
+            enough = score >= need[at]
+            got_at, got_ids, got = np.concatenate([got_at, at[enough]]), np.concatenate([got_ids, ids[rows[enough]]]), np.concatenate([got, score[enough]])
+            order = np.lexsort((got_ids, -got, got_at))
+            got_at, got_ids, got = got_at[order], got_ids[order], got[order]
+            rank = np.arange(len(got)) - np.searchsorted(got_at, got_at)
+            kth = rank == k - 1
+            need[got_at[kth]] = got[kth]
+            limits[got_at[kth]] = np.minimum(limits[got_at[kth]], self.quantile * np.maximum(norms[got_at[kth]] + self.peak - 2 * got[kth], 0))
+            got_at, got_ids, got = got_at[rank < k], got_ids[rank < k], got[rank < k]
+        return got_at, got_ids, got
 
 
 def nearest_neighbours(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "vec_id", vec_col: str = "embedding", shard_rows: int = 8192, confidence: float = 0.95) -> DataFrame:
