@@ -139,6 +139,26 @@ def test_a_block_of_queries_measures_few_pairs_singly_and_finds_what_single_quer
         assert [j for q, j, _ in found[0] if q == 2] == sorted(ids[1000:1100].tolist())[:20]
 
 
+def test_copies_of_the_longest_vector_are_few_to_measure_and_all_in_reach():
+    r = np.random.default_rng(4)
+    X = r.normal(0, 1, (3000, 64)) / 8
+    X[:2000] = X[0] * 3
+    ids, peak = r.permutation(3000), float(sum(x * x for x in X[0].tolist()))
+    ids[[10, 20, 30]] = ids[5]
+    search = ann.ProjectedSearch(64, peak)
+    index = search.prepare(ids, X)
+    index = (index[0], index[1].view(Counted), *index[2:])
+    Q, own = X[:64], np.full(64, (X[0] * X[0]).sum())
+    low = high = search.coordinates(X[:1])[0][None]
+    assert search.reach(low, high, Q, own, np.ones(64, bool)).all()
+    for known in (np.zeros(64, bool), np.ones(64, bool)):
+        Counted.taken = 0
+        of, found, _ = search.run(index, ids[:64], Q, own, known, 20)
+        assert Counted.taken < 0.2 * 64 * 2000
+        for i in range(64):
+            assert found[of == i].tolist() == sorted(x for x in ids[:2000].tolist() if x != ids[i])[:20]
+
+
 def test_top_k_skips_cells_whose_corner_cannot_reach():
     search = topk_search.ThresholdSearch()
     low, high = np.array([[0.0, 0.0], [8.0, 8.0]]), np.array([[1.0, 1.0], [9.0, 9.0]])

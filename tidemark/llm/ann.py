@@ -13,6 +13,12 @@ test. The test: a point nearer than the query's kth would, with probability
 search stops when no leaf is left that passes. The same test picks the cells
 that a query visits at all (vectors.py).
 
+A block of queries walks together: of the queries that meet a leaf in one turn,
+projections and scores are matrix products, with room for their rounding, and
+what may be among the k best is then measured pair by pair. Of equal vectors of
+a shard only those of the smallest ids are looked at, as no other can be among
+the k best.
+
 On vectors without structure most points pass, as their distances differ
 little; the share verified is the chi-square distribution's at the test.
 
@@ -113,6 +119,20 @@ def gaps(low: np.ndarray, high: np.ndarray, p: np.ndarray) -> np.ndarray:
     return np.einsum("...i,...i->...", gap, gap)
 
 
+def earlier_copies(ids: np.ndarray, X: np.ndarray) -> np.ndarray:
+    """For each row, at least so many rows of smaller ids have its vector, whichever one id is left out."""
+    order = np.lexsort((ids, (np.ascontiguousarray(X).view(np.uint64) * np.arange(1, 2 * X.shape[1], 2, dtype=np.uint64)).sum(1)))
+    X, sorted_ids = X[order], ids[order]
+    vector = np.append(True, (X[1:] != X[:-1]).any(1))
+    row = vector | np.append(True, sorted_ids[1:] != sorted_ids[:-1])
+    begins, at, of = np.flatnonzero(row), np.cumsum(row) - 1, np.cumsum(vector) - 1
+    first = np.flatnonzero(vector)
+    most = np.maximum.reduceat(np.diff(begins, append=len(ids)), at[first])
+    out = np.empty(len(ids), np.int64)
+    out[order] = begins[at] - first[of] - most[of]
+    return out
+
+
 class ProjectedSearch(Search):
     """Nearest by the inner product; peak is the largest squared norm."""
 
@@ -127,15 +147,20 @@ class ProjectedSearch(Search):
 
     def limit(self, Q: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
         """The largest squared projected distance that passes the test of queries whose kth score is known."""
-        return np.where(known, self.quantile * np.maximum(np.einsum("ij,ij->i", Q, Q) + self.peak - 2 * bounds, 0), np.inf)
+        return np.where(known, self.farthest(np.einsum("ij,ij->i", Q, Q), bounds), np.inf)
+
+    def farthest(self, norms: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """The same for known scores; with room for their rounding, which matters where copies of the longest vector are nearest."""
+        return self.quantile * (np.maximum(norms + self.peak - 2 * kth, 0) + 4 * len(self.matrix) * EPS * (norms + self.peak))
 
     def reach(self, low: np.ndarray, high: np.ndarray, Q: np.ndarray, bounds: np.ndarray, known: np.ndarray) -> np.ndarray:
         return gaps(low[None], high[None], (Q @ self.matrix[:-1])[:, None]) <= self.limit(Q, bounds, known)[:, None]
 
-    def prepare(self, ids: np.ndarray, X: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tree]:
+    def prepare(self, ids: np.ndarray, X: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, Tree, np.ndarray]:
         P = self.coordinates(X)
         tree = kd_tree(P, self.leaf_rows)
-        return ids[tree.order], X[tree.order], P[tree.order], tree
+        ids, X = ids[tree.order], X[tree.order]
+        return ids, X, P[tree.order], tree, earlier_copies(ids, X)
 
     def walk(self, tree: Tree, PQ: np.ndarray, limits: np.ndarray) -> Walk:
         """All queries from the root, a level at a time; a query enters no branch that doesn't pass its limit."""
@@ -158,7 +183,9 @@ class ProjectedSearch(Search):
         return walk.leaf[here], walk.away[here]
 
     def run(self, index: tuple, query_ids: np.ndarray, Q: np.ndarray, bounds: np.ndarray, known: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        ids, X, P, tree = index
+        ids, X, P, tree, earlier = index
+        # Of a vector's copies only those of the smallest ids can be among the k best.
+        open_ = earlier < k
         PQ, limits, norms = Q @ self.matrix[:-1], self.limit(Q, bounds, known), np.einsum("ij,ij->i", Q, Q)
         # Products of whole leaves are rounded otherwise than single ones: they get this room, and what passes is measured again.
         room = 4 * Q.shape[1] * EPS * np.sqrt(norms * np.einsum("ij,ij->i", X, X).max())
@@ -185,7 +212,7 @@ class ProjectedSearch(Search):
                 rows = slice(tree.start[node], tree.end[node])
                 near = PPQ[at, None] + PP[rows] - 2 * (PQ[at] @ P[rows].T)
                 score = Q[at] @ X[rows].T
-                y, x = np.nonzero(~((near > (limits + near_room)[at, None]) | (score < (need - room)[at, None])))
+                y, x = np.nonzero(~((near > (limits + near_room)[at, None]) | (score < (need - room)[at, None])) & open_[rows])
                 some_at.append(at[y])
                 some_rows.append(x + tree.start[node])
             at, rows = np.concatenate(some_at), np.concatenate(some_rows)
@@ -200,7 +227,7 @@ class ProjectedSearch(Search):
             rank = np.arange(len(got)) - np.searchsorted(got_at, got_at)
             kth = rank == k - 1
             need[got_at[kth]] = got[kth]
-            limits[got_at[kth]] = np.minimum(limits[got_at[kth]], self.quantile * np.maximum(norms[got_at[kth]] + self.peak - 2 * got[kth], 0))
+            limits[got_at[kth]] = np.minimum(limits[got_at[kth]], self.farthest(norms[got_at[kth]], got[kth]))
             got_at, got_ids, got = got_at[rank < k], got_ids[rank < k], got[rank < k]
         return got_at, got_ids, got
 
